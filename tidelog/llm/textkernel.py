@@ -17,6 +17,7 @@ CHUNK_BYTES = 1 << 20
 
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+EXACT = _BYTE.copy()
 _BYTE[65:91] = _BYTE[97:123]  # A-Z as a-z
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
@@ -109,7 +110,8 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
 
-def words(chunk: Chunk) -> Words:
+def words(chunk: Chunk, table: np.ndarray = _BYTE) -> Words:
+    """`table` is EXACT where A-Z and a-z are to differ."""
     n = len(chunk.data)
     ink = np.zeros(n + 2, bool)
     ink[1 : n + 1] = ~_SPACE[chunk.data]
@@ -117,7 +119,7 @@ def words(chunk: Chunk) -> Words:
     edge[chunk.at] = True
     starts = np.flatnonzero(ink[1 : n + 1] & (~ink[:n] | edge[:n]))
     ends = np.flatnonzero(ink[1 : n + 1] & (~ink[2:] | edge[1:])) + 1
-    return Words(starts, ends, span_hash(prefix_sums(chunk.data), starts, ends), np.searchsorted(starts, chunk.at))
+    return Words(starts, ends, span_hash(prefix_sums(chunk.data, table), starts, ends), np.searchsorted(starts, chunk.at))
 
 
 def shingles(hashes: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
