@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .class_lm import language_scores
+from .decontamination import benchmark_matches
 from .embedding_join import near_duplicate_vectors
 from .minhash import near_duplicates
 from .packing import pack
@@ -28,6 +29,11 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "score", "predicted")
 
 
+def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = benchmark_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "similarity", "start_word", "n_words")
+
+
 def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_repeats(table(spark, sf_dir, "documents"))
 
@@ -43,6 +49,7 @@ def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op5_suffix_array_dedup": op5_suffix_array_dedup,
     "op6_class_ngram_lm": op6_class_ngram_lm,
     "op9_embedding_near_dedup": op9_embedding_near_dedup,
@@ -66,6 +73,33 @@ WITH RECURSIVE w AS MATERIALIZED (
 ), c AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY 1)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept
 FROM documents d JOIN c USING (doc_id) LEFT JOIN n USING (doc_id)""",
+    "op4_benchmark_decontamination": f"""
+WITH w AS MATERIALIZED (
+  SELECT doc_id, regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), v AS MATERIALIZED (
+  SELECT item_id, regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+') AS w FROM benchmark
+), d AS MATERIALIZED (
+  SELECT doc_id, n, words, s.i - 1 AS pos, s.t AS s FROM (
+    SELECT doc_id, len(w) AS words, greatest(len(w) - 4, 1) AS n,
+      unnest([{{'i': i, 't': array_to_string(w[i:i+4], ' ')}} FOR i IN range(1, greatest(len(w) - 4, 1) + 1)]) AS s FROM w WHERE len(w) > 0)
+), b AS MATERIALIZED (
+  SELECT item_id, width, size, s, count(*) AS c FROM (
+    SELECT item_id, len(w) AS width, greatest(len(w) - 4, 1) AS size,
+      unnest([array_to_string(w[i:i+4], ' ') FOR i IN range(1, greatest(len(w) - 4, 1) + 1)]) AS s FROM v WHERE len(w) > 0) GROUP BY ALL
+), hit AS MATERIALIZED (
+  SELECT doc_id, n, words, pos, item_id, width, size, d.s, c, least(size, n) AS span FROM d JOIN b USING (s)
+), place AS (
+  SELECT DISTINCT doc_id, item_id, words, width, size, span,
+    unnest(range(greatest(pos - span + 1, 0), least(pos, n - span) + 1)) AS p FROM hit
+), met AS (
+  SELECT p.doc_id, p.item_id, p.words, p.width, p.size, p.span, p.p, h.s, least(count(*), any_value(h.c)) AS m
+  FROM place p JOIN hit h ON h.doc_id = p.doc_id AND h.item_id = p.item_id AND h.pos >= p.p AND h.pos < p.p + p.span GROUP BY ALL
+), scored AS (
+  SELECT doc_id, item_id, p, least(width, words) AS n_words, sum(m)::DOUBLE / (span + size - sum(m))::DOUBLE AS similarity
+  FROM met GROUP BY doc_id, item_id, p, width, words, size, span
+)
+SELECT doc_id, item_id, max(similarity) AS similarity, arg_min(p, struct_pack(a := -similarity, b := p)) AS start_word, any_value(n_words) AS n_words
+FROM scored WHERE similarity >= 0.75 GROUP BY doc_id, item_id""",
     "op9_embedding_near_dedup": """
 WITH RECURSIVE v AS MATERIALIZED (
   SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
