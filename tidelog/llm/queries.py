@@ -11,6 +11,7 @@ from .decontamination import benchmark_matches
 from .embedding_join import near_duplicate_vectors
 from .minhash import near_duplicates
 from .packing import pack
+from .pii import personal_data_digest
 from .quality import quality
 from .repeats import without_repeats
 from .tables import table
@@ -42,6 +43,10 @@ def op6_class_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_scores(table(spark, sf_dir, "documents"))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data_digest(table(spark, sf_dir, "documents"))
+
+
 def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
 
@@ -52,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op5_suffix_array_dedup": op5_suffix_array_dedup,
     "op6_class_ngram_lm": op6_class_ngram_lm,
+    "op8_pii": op8_pii,
     "op9_embedding_near_dedup": op9_embedding_near_dedup,
     "op10_quality_classifier": op10_quality_classifier,
 }
