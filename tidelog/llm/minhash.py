@@ -11,11 +11,15 @@ on MATCHES coordinates meet in at least one posting that both keep, so the longe
 lists are skipped without losing a candidate.
 
 Large groups: every posting list first meets only its hub (the class with most
-copies), which is linear. After components form, only pairs of different
-components remain to be tried; of these, a pair whose disagreement with the hub
-differs by more than COORDS - MATCHES coordinates cannot agree on MATCHES, as
-disagreement is a metric, and is left out. A link at exactly 0.75 is missed with a
-chance of about 1e-7 (binomial tail of 64 draws).
+copies, then with the most shared coordinates), which is linear. After components
+form, only pairs of different components remain to be tried. Lists of at most
+LONG_LIST classes try them all, except pairs whose disagreement with the hub
+differs by more than COORDS - MATCHES coordinates: disagreement is a metric, so
+they cannot agree on MATCHES. The classes of longer lists meet by their rarest
+shingles instead: sets of n that reach 0.75 share one of each other's
+n - ceil(0.75 n) + 1 rarest, and variants of one text have rare shingles of their
+own, so the group's size squared never arises. A link at exactly 0.75 is missed
+with a chance of about 1e-7 (binomial tail of 64 draws).
 """
 
 from __future__ import annotations
@@ -35,6 +39,7 @@ COORDS = 64
 MATCHES = 28
 SHINGLE = 5
 SIMILAR = (75, 100)
+LONG_LIST = 48
 
 _rng = np.random.default_rng(7)
 _MULT = _rng.integers(1, 2**63, COORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -89,6 +94,18 @@ def _sets(shingle: int):
     return run
 
 
+def _exploded(shingle: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for c in tk.chunks(batch.column("text")):
+                w = tk.words(c)
+                sets, begin = tk.distinct_by_row(*tk.shingles(w.hashes, w.first, shingle))
+                of = pa.array(np.repeat(np.arange(c.lo, c.hi), np.diff(begin)))
+                yield pa.RecordBatch.from_arrays([batch.column("cid").take(of), batch.column("part").take(of), pa.array(np.repeat(np.diff(begin), np.diff(begin))), pa.array(sets.view(np.int64))], names=["cid", "part", "size", "shingle"])
+
+    return run
+
+
 def _overlap(similar: tuple[int, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -137,12 +154,13 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similar: tuple[int,
     shared = posts.groupBy("post").agg(F.count("*").alias("n")).where("n > 1")
     by_rarity = Window.partitionBy("cid").orderBy("n", "post")
     prefix = scratch.keep(
-        posts.join(shared, "post").withColumn("rank", F.row_number().over(by_rarity)).withColumn("held", F.count("*").over(Window.partitionBy("cid"))).where(f"rank <= held - {MATCHES - 1}").select("cid", "post"),
+        posts.join(shared, "post").withColumn("rank", F.row_number().over(by_rarity)).withColumn("held", F.count("*").over(Window.partitionBy("cid"))).where(f"rank <= held - {MATCHES - 1}").select("cid", "post", "n"),
         "prefix",
     )
     # Round 1: every list against its hub.
-    posted = prefix.join(classes.select("cid", "copies"), "cid")
-    hubs = posted.groupBy("post").agg(F.max(F.struct("copies", "cid")).alias("top"), F.count("*").alias("n")).where("n > 1").select("post", F.col("top.cid").alias("hub"))
+    support = prefix.groupBy("cid").agg(F.sum("n").alias("support")).join(classes.select("cid", "copies"), "cid")
+    posted = prefix.select("cid", "post").join(support, "cid")
+    hubs = posted.groupBy("post").agg(F.max(F.struct("copies", "support", "cid")).alias("top"), F.count("*").alias("n")).where("n > 1").select("post", F.col("top.cid").alias("hub"))
     signature = classes.select("cid", "sig")
     agreed = F.aggregate(F.zip_with("sa", "sb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
 
@@ -154,16 +172,15 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similar: tuple[int,
             .select("a", "b", agreed.alias("agree"))
         )
 
+    def texts(wanted: DataFrame) -> DataFrame:
+        """`wanted` with one text of each class; a repeated row may give it twice."""
+        reps = classes.select("cid", F.col("rep.doc_id").alias("rep_id"), F.col("rep.text_key").alias("rep_key")).join(wanted, "cid")
+        return rows.join(reps, (F.col("text_key") == F.col("rep_key")) & F.col("doc_id").eqNullSafe(F.col("rep_id"))).select(*wanted.columns, "text")
+
     def confirmed(pairs: DataFrame) -> DataFrame:
         """Those pairs whose full shingle sets reach the similarity."""
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
-        reps = classes.join(wanted, "cid").select("cid", F.col("rep.doc_id").alias("rep_id"), F.col("rep.text_key").alias("rep_key"))
-        sets = (
-            rows.join(reps, (F.col("text_key") == F.col("rep_key")) & F.col("doc_id").eqNullSafe(F.col("rep_id")))
-            .select("cid", "text")
-            .mapInArrow(_sets(shingle), "cid long, shingles binary")
-            .dropDuplicates(["cid"])
-        )
+        wanted = pairs.select("a").union(pairs.select("b")).toDF("cid").distinct()
+        sets = texts(wanted).mapInArrow(_sets(shingle), "cid long, shingles binary").dropDuplicates(["cid"])
         return (
             pairs.join(sets.select(F.col("cid").alias("a"), F.col("shingles").alias("sa")), "a")
             .join(sets.select(F.col("cid").alias("b"), F.col("shingles").alias("sb")), "b")
@@ -182,14 +199,22 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similar: tuple[int,
         .select("post", "cid", F.coalesce("root", "cid").alias("part"), (F.col("cid") == F.col("hub")).alias("is_hub"), F.coalesce("agree", F.lit(COORDS)).alias("agree"))
     )
     # A list with one member apart from a hub's component holds no further pair of its own.
-    mixed = listed.groupBy("post").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.count(F.when(~F.col("is_hub"), 1)).alias("n")).where("p <> q and n > 1").select("post")
+    mixed = listed.groupBy("post").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.count(F.when(~F.col("is_hub"), 1)).alias("n")).where("p <> q and n > 1").select("post", F.col("n").alias("length"))
     listed = scratch.keep(listed.where("not is_hub").join(mixed, "post"), "listed")
-    x, y = listed.alias("x"), listed.alias("y")
-    rest = (
-        x.join(y, F.expr(f"x.post = y.post and x.cid < y.cid and x.part <> y.part and abs(x.agree - y.agree) <= {COORDS - MATCHES}"))
-        .select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b"))
-        .distinct()
-    )
+    short, crowd = listed.where(f"length <= {LONG_LIST}"), listed.where(f"length > {LONG_LIST}").select("cid", "part").distinct()
+    x, y = short.alias("x"), short.alias("y")
+    rest = x.join(y, F.expr(f"x.post = y.post and x.cid < y.cid and x.part <> y.part and abs(x.agree - y.agree) <= {COORDS - MATCHES}"))
+    own = texts(crowd).mapInArrow(_exploded(shingle), "cid long, part long, size long, shingle long").dropDuplicates(["cid", "shingle"])
+    seen = own.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1")
+    least = F.ceil(F.col("size") * similar[0] / similar[1])
+    rare = (
+        own.join(seen, "shingle").withColumn("rank", F.row_number().over(Window.partitionBy("cid").orderBy("n", "shingle"))).withColumn("held", F.count("*").over(Window.partitionBy("cid")))
+        .where(F.col("rank") <= F.col("held") - least + 1).select("shingle", "cid", "part", "size")
+    )
+    rare = scratch.keep(rare, "rare")
+    x, y = rare.alias("x"), rare.alias("y")
+    crossed = x.join(y, F.expr(f"x.shingle = y.shingle and x.cid < y.cid and x.part <> y.part and {similar[1]} * least(x.size, y.size) >= {similar[0]} * greatest(x.size, y.size)"))
+    rest = rest.select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b")).union(crossed.select(F.col("x.cid"), F.col("y.cid"))).distinct()
     tried = star.select(F.greatest("a", "b").alias("b"), F.least("a", "b").alias("a"))
     rest = scratch.keep(compared(rest.join(tried, ["a", "b"], "left_anti")).where(f"agree >= {MATCHES}").select("a", "b"), "rest")
     if not rest.isEmpty():

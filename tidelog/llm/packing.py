@@ -19,6 +19,7 @@ import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +31,10 @@ from .scratch import Scratch
 
 CAPACITY = 2048
 END_ID = 0
-#: Words whose ids one task remembers before it starts anew (about 100 bytes each).
-REMEMBERED = 300_000
+#: Words whose ids a Python worker remembers before it starts anew (about 50 bytes each).
+REMEMBERED = 1_000_000
+#: Words given to the tokenizer at once; each costs about a kilobyte until its ids are taken.
+AT_ONCE = 8192
 PART_ROWS = 1_000_000
 
 
@@ -62,30 +65,41 @@ class WordIds:
         if len(self.known) > REMEMBERED:
             self._clear()
         distinct, first, place = np.unique(w.hashes, return_index=True, return_inverse=True)
-        new = ~np.isin(distinct, self.known, assume_unique=True) if len(self.known) else np.ones(len(distinct), bool)
+        at = np.searchsorted(self.known, distinct)
+        new = np.ones(len(distinct), bool)
+        inside = at < len(self.known)
+        new[inside] = self.known[at[inside]] != distinct[inside]
         if new.any():
-            raw = data.tobytes()
-            texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(w.starts[first[new]].tolist(), w.ends[first[new]].tolist(), strict=True)]
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-            size = np.fromiter(map(len, found), np.int64, len(found))
-            flat = np.fromiter((i for ids in found for i in ids), np.uint32, int(size.sum()))
+            begin, end = w.starts[first[new]].tolist(), w.ends[first[new]].tolist()
+            sizes, flat = [], []
+            for i in range(0, len(begin), AT_ONCE):
+                texts = [data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(begin[i : i + AT_ONCE], end[i : i + AT_ONCE], strict=True)]
+                ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+                sizes.append(np.fromiter(map(len, ids), np.int64, len(ids)))
+                flat.append(np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes[-1].sum())))
+            size = np.concatenate(sizes)
             start = len(self.ids) + np.cumsum(size) - size
-            self.ids = np.concatenate([self.ids, flat])
-            known = np.concatenate([self.known, distinct[new]])
-            order = np.argsort(known)
-            self.known, self.start, self.size = known[order], np.concatenate([self.start, start])[order], np.concatenate([self.size, size])[order]
-        at = np.searchsorted(self.known, distinct)[place.ravel()]
+            self.ids = np.concatenate([self.ids, *flat])
+            self.known, self.start, self.size = (np.insert(old, at[new], own) for old, own in ((self.known, distinct[new]), (self.start, start), (self.size, size)))
+            at = np.searchsorted(self.known, distinct)
+        at = at[place.ravel()]
         return self.start[at], self.size[at]
 
 
+@lru_cache(maxsize=1)
+def _word_ids(path: str) -> WordIds:
+    """Kept by the worker from task to task."""
+    return WordIds(path)
+
+
 def _pieces(path: str, capacity: int, end_id: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        ids_of, nr = WordIds(path), 0
+        ids_of, nr = _word_ids(path), 0
         for batch in batches:
-            for c in tk.chunks(batch.column("text"), 4 * tk.CHUNK_BYTES):
+            for c in tk.chunks(batch.column("text"), 2 * tk.CHUNK_BYTES):
                 w = tk.words(c, tk.EXACT)
                 begin = np.zeros(c.rows + 1, np.int64)
                 if len(w.hashes):

@@ -6,17 +6,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import licenses
 from .class_lm import language_scores
 from .decontamination import benchmark_matches
 from .embedding_join import near_duplicate_vectors
+from .licenses import license_matches
 from .minhash import near_duplicates
 from .packing import pack
 from .pii import personal_data_digest
 from .quality import quality
 from .repeats import without_repeats
+from .sharding import contents, sharded
 from .tables import table
 
 
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return contents(sharded(docs), docs)
+
+
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
@@ -43,6 +51,10 @@ def op6_class_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_scores(table(spark, sf_dir, "documents"))
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_matches(table(spark, sf_dir, "documents"))
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data_digest(table(spark, sf_dir, "documents"))
 
@@ -52,11 +64,13 @@ def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sharding": op1_sharding,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op5_suffix_array_dedup": op5_suffix_array_dedup,
     "op6_class_ngram_lm": op6_class_ngram_lm,
+    "op7_license_scan": op7_license_scan,
     "op8_pii": op8_pii,
     "op9_embedding_near_dedup": op9_embedding_near_dedup,
     "op10_quality_classifier": op10_quality_classifier,
@@ -106,6 +120,9 @@ WITH w AS MATERIALIZED (
 )
 SELECT doc_id, item_id, max(similarity) AS similarity, arg_min(p, struct_pack(a := -similarity, b := p)) AS start_word, any_value(n_words) AS n_words
 FROM scored WHERE similarity >= 0.75 GROUP BY doc_id, item_id""",
+    "op1_sharding": """
+SELECT doc_id, octet_length(encode(coalesce(text, ''))) AS n_bytes, sha256(coalesce(text, '')) AS text_sha256, true AS settled FROM documents""",
+    "op7_license_scan": licenses.oracle(),
     "op9_embedding_near_dedup": """
 WITH RECURSIVE v AS MATERIALIZED (
   SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
