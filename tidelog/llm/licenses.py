@@ -125,7 +125,7 @@ def oracle() -> str:
 WITH t(license, bigrams) AS (VALUES {values}
 ), l AS (
   SELECT doc_id, x.i AS line, string_split(trim(regexp_replace(lower(x.t), '[^a-z0-9]+', ' ', 'g')), ' ') AS w FROM (
-    SELECT doc_id, unnest(list_transform(string_split(text, chr(10)), (t, i) -> {{'i': i - 1, 't': t}})) AS x FROM documents)
+    SELECT doc_id, unnest(list_transform(string_split(text, chr(10)), lambda t, i: {{'i': i - 1, 't': t}})) AS x FROM documents)
 ), b AS (
   SELECT doc_id, line, list_distinct([w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))]) AS bigrams FROM l WHERE len(w) > 1
 ), s AS (
