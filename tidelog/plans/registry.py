@@ -6,5 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from . import events, texts
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = events.QUERIES | texts.QUERIES
+ORACLES: dict[str, str] = events.ORACLES | texts.ORACLES
