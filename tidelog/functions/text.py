@@ -61,6 +61,6 @@ def secret_classes(text: Column) -> Column:
 def exception_signature(text: Column) -> Column:
     """Type and normalised detail of the last exception line; numbers and long hexadecimal become <*>."""
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"^\s*(?:Caused by: )?(?:[\w$]+\.)*[A-Z][\w$]*(?:Exception|Error|Panic)\b"))
-    last = F.element_at(lines, F.when(F.size(lines) > 0, -1).otherwise(F.lit(None).cast("int")))
+    last = F.get(lines, F.size(lines) - 1)
     bare = F.regexp_replace(F.lower(F.trim(F.regexp_replace(last, "^\\s*Caused by: ", ""))), r"\b(?:0x)?[0-9a-f]{8,}\b|\d+", "<*>")
     return F.array_join(F.slice(F.split(bare, r"\s+"), 1, 24), " ")
