@@ -16,10 +16,10 @@ form, only pairs of different components remain to be tried. Lists of at most
 LONG_LIST classes try them all, except pairs whose disagreement with the hub
 differs by more than COORDS - MATCHES coordinates: disagreement is a metric, so
 they cannot agree on MATCHES. The classes of longer lists meet by their rarest
-shingles instead: sets of n that reach 0.75 share one of each other's
-n - ceil(0.75 n) + 1 rarest, and variants of one text have rare shingles of their
-own, so the group's size squared never arises. A link at exactly 0.75 is missed
-with a chance of about 1e-7 (binomial tail of 64 draws).
+shingles instead: the first that both have, from rare to common, must leave enough
+shingles after it on both sides for 0.75. Variants of one text have rare shingles of
+their own before it, so those that differ too much do not even meet. A link at
+exactly 0.75 is missed with a chance of about 1e-7 (binomial tail of 64 draws).
 """
 
 from __future__ import annotations
@@ -206,16 +206,16 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similar: tuple[int,
     rest = x.join(y, F.expr(f"x.post = y.post and x.cid < y.cid and x.part <> y.part and abs(x.agree - y.agree) <= {COORDS - MATCHES}"))
     own = texts(crowd).mapInArrow(_exploded(shingle), "cid long, part long, size long, shingle long").dropDuplicates(["cid", "shingle"])
     seen = own.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1")
-    least = F.ceil(F.col("size") * similar[0] / similar[1])
-    rare = (
-        own.join(seen, "shingle").withColumn("rank", F.row_number().over(Window.partitionBy("cid").orderBy("n", "shingle"))).withColumn("held", F.count("*").over(Window.partitionBy("cid")))
-        .where(F.col("rank") <= F.col("held") - least + 1).select("shingle", "cid", "part", "size")
-    )
-    rare = scratch.keep(rare, "rare")
-    x, y = rare.alias("x"), rare.alias("y")
-    crossed = x.join(y, F.expr(f"x.shingle = y.shingle and x.cid < y.cid and x.part <> y.part and {similar[1]} * least(x.size, y.size) >= {similar[0]} * greatest(x.size, y.size)"))
-    rest = rest.select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b")).union(crossed.select(F.col("x.cid"), F.col("y.cid"))).distinct()
-    tried = star.select(F.greatest("a", "b").alias("b"), F.least("a", "b").alias("a"))
+    # A link shares at least p / (p + q) of both sizes together. In the order from rare to
+    # common, the first shingle that both have leaves room for that on either side.
+    p, q = similar
+    ranked = own.join(seen, "shingle").withColumn("rank", F.row_number().over(Window.partitionBy("cid").orderBy("n", "shingle"))).withColumn("left", F.count("*").over(Window.partitionBy("cid")) - F.col("rank") + 1)
+    rare = scratch.keep(ranked.where(F.col("left") * q >= F.col("size") * p).select("shingle", "cid", "part", "size", "left"), "rare")
+    x, y = rare.where(f"left * {p + q} >= size * {2 * p}").alias("x"), rare.alias("y")
+    crossed = x.join(y, F.expr(f"x.shingle = y.shingle and struct(x.size, x.cid) < struct(y.size, y.cid) and x.part <> y.part and {q} * x.size >= {p} * y.size and {p + q} * least(x.left, y.left) >= {p} * (x.size + y.size)"))
+    crossed = crossed.select(F.least("x.cid", "y.cid").alias("a"), F.greatest("x.cid", "y.cid").alias("b"))
+    tried = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    rest = rest.select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b")).union(crossed).distinct()
     rest = scratch.keep(compared(rest.join(tried, ["a", "b"], "left_anti")).where(f"agree >= {MATCHES}").select("a", "b"), "rest")
     if not rest.isEmpty():
         more = scratch.keep(confirmed(rest), "links-2")
