@@ -88,8 +88,12 @@ def test_packing_round_trip(docs):
         assert at <= 2048
 
 
-def test_repeats(docs):
-    data = [(i, (t or "").encode()) for i, t in enumerate(TEXTS)] + [(5, BASE.encode()), (None, b"no id here")]
+@pytest.mark.parametrize("hot", [repeats.HOT, 1])
+def test_repeats(docs, hot, monkeypatch):
+    monkeypatch.setattr(repeats, "HOT", hot)
+    shift = [(100 + i, f"{'ab' * i} {rng.random()} {PASSAGE[: 700 - 9 * i]} {rng.random()}", None, None, None, None, None, None) for i in range(40)]
+    docs = docs.unionByName(docs.sparkSession.createDataFrame(shift, SCHEMA))
+    data = [(r[0], r[1].encode()) for r in shift] + [(i, (t or "").encode()) for i, t in enumerate(TEXTS)] + [(5, BASE.encode()), (None, b"no id here")]
     seen = Counter(b[i : i + 400] for _, b in data for i in range(len(b) - 399))
     want = Counter()
     for i, b in data:

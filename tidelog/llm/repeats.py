@@ -12,8 +12,11 @@ A suffix stands for a run of windows; its context is the bytes they span.
 2. Contexts that share leading bytes but differ are range-partitioned by those
    bytes with Spark's sampled splitters; each bucket sorts its windows and compares
    neighbours. Equal leading bytes share a bucket, so no repeat spans a boundary.
-   Leading bytes with more than HOT different contexts are not gathered: their
-   windows are counted one by one in an aggregation.
+   Leading bytes with more than HOT different contexts are not gathered. Their
+   contexts are cut into blocks of STEP windows, by distance from the leading
+   bytes. The bytes all windows of a block have in common are counted: where they
+   occur once, no window repeats. Where whole blocks are equal, all their windows
+   repeat. Windows of the few blocks left, at the borders, are counted one by one.
 3. Covered bytes are merged for each document and cut out.
 """
 
@@ -33,6 +36,7 @@ from .scratch import Scratch
 LENGTH = 400
 GRAM = 48
 HOT = 400
+STEP = 16
 SEGMENT = 1 << 21
 POSITION_BITS = np.uint64(24)
 GATHER_ROWS = 4096
@@ -80,8 +84,27 @@ def _suffixes(length: int, gram: int):
     return run
 
 
+def _blocks(data: np.ndarray, lead: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.ListArray]:
+    """Blocks of a context's windows: first start, fingerprints of what all its windows share and of the whole, windows."""
+    sums = tk.prefix_sums(data, tk.EXACT)
+    gram, start = np.arange(len(data) - GRAM + 1), np.arange(len(data) - LENGTH + 1)
+    at = np.flatnonzero(tk.span_hash(sums, gram, gram + GRAM).view(np.int64) == lead)[0]
+    block = (at - start) // STEP
+    first = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
+    edge = np.append(first[1:], len(start))
+    block = block[first]
+    shared = at - block * STEP
+    core = tk.mix(tk.span_hash(sums, shared, shared - STEP + 1 + LENGTH) + block.astype(np.uint64))
+    full = tk.mix(tk.span_hash(sums, first, edge - 1 + LENGTH) + (at - first).astype(np.uint64))
+    windows = pa.ListArray.from_arrays(pa.array(np.append(0, edge), pa.int32()), pa.array(tk.span_hash(sums, start, start + LENGTH).view(np.int64)))
+    return first, core.view(np.int64), full.view(np.int64), windows
+
+
+_WHOLE = ["doc_id", "text_key", "lead", "copies", "lo", "bytes", "core", "full", "windows"]
+
+
 def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Contexts that are to be compared, cut out of their documents; hot ones as windows."""
+    """Contexts that are to be compared, cut out of their documents; hot ones as blocks of windows."""
     for batch in batches:
         texts, at = tk.byte_rows(batch.column("text"))
         runs = batch.column("runs")
@@ -94,14 +117,14 @@ def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             cold = some[~hot[some]]
             if len(cold):
                 bits = [texts[at[r] + a : at[r] + b + LENGTH].tobytes() for r, a, b in zip(row[cold], lo[cold], hi[cold], strict=True)]
-                none = pa.nulls(len(cold), pa.int64())
-                yield pa.RecordBatch.from_arrays([doc.take(pa.array(row[cold])), key.take(pa.array(row[cold])), pa.array(lead[cold]), pa.array(copies[cold]), pa.array(lo[cold]), none, pa.array(bits, pa.binary())], names=["doc_id", "text_key", "lead", "copies", "lo", "window", "bytes"])
+                n = len(cold)
+                columns = [doc.take(pa.array(row[cold])), key.take(pa.array(row[cold])), pa.array(lead[cold]), pa.array(copies[cold]), pa.array(lo[cold]), pa.array(bits, pa.binary())]
+                yield pa.RecordBatch.from_arrays([*columns, pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.list_(pa.int64()))], names=_WHOLE)
             for i in some[hot[some]]:
-                data = texts[at[row[i]] + lo[i] : at[row[i]] + hi[i] + LENGTH]
-                s = np.arange(hi[i] - lo[i] + 1)
-                windows = tk.span_hash(tk.prefix_sums(data, tk.EXACT), s, s + LENGTH).view(np.int64)
-                n = len(s)
-                yield pa.RecordBatch.from_arrays([doc.take(pa.array(np.full(n, row[i]))), key.take(pa.array(np.full(n, row[i]))), pa.array(np.full(n, lead[i])), pa.array(np.full(n, copies[i])), pa.array(s + lo[i]), pa.array(windows), pa.nulls(n, pa.binary())], names=["doc_id", "text_key", "lead", "copies", "lo", "window", "bytes"])
+                first, core, full, windows = _blocks(texts[at[row[i]] + lo[i] : at[row[i]] + hi[i] + LENGTH], lead[i])
+                n = len(first)
+                columns = [doc.take(pa.array(np.full(n, row[i]))), key.take(pa.array(np.full(n, row[i]))), pa.array(np.full(n, lead[i])), pa.array(np.full(n, copies[i])), pa.array(first + lo[i]), pa.nulls(n, pa.binary())]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(core), pa.array(full), windows], names=_WHOLE)
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,7 +220,8 @@ def without_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     found = scratch.keep(rows.where(F.octet_length("text") >= LENGTH).mapInArrow(_suffixes(LENGTH, GRAM), "doc_id long, text_key long, lead long, context long, lo long, hi long"), "suffixes")
     contexts = found.groupBy("lead", "context").agg(F.count("*").alias("copies"))
     leads = contexts.groupBy("lead").agg(F.sum("copies").alias("all"), F.count("*").alias("kinds")).where("all > 1")
-    shared = scratch.keep(found.join(leads.select("lead", "kinds"), "lead"), "shared")
+    leads = scratch.keep(leads.select("lead", "kinds"), "leads")  # written, so that hot leading bytes can be split in the join
+    shared = scratch.keep(found.join(leads, "lead"), "shared")
     copies = shared.groupBy("lead", "context").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "text_key", "lo", "hi")).alias("one"), F.first("kinds").alias("kinds"))
     copies = scratch.keep(copies, "contexts")
     scratch.drop("suffixes")
@@ -210,13 +234,18 @@ def without_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
         return rows.join(side, (F.col("text_key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id")), how)
 
     bits = with_rows(wanted, "inner").select("doc_id", "text_key", "text", "runs")
-    bits = scratch.keep(bits.mapInArrow(_whole, "doc_id long, text_key long, lead long, copies long, lo long, window long, bytes binary"), "bits")
+    bits = scratch.keep(bits.mapInArrow(_whole, "doc_id long, text_key long, lead long, copies long, lo long, bytes binary, core long, full long, windows array<long>"), "bits")
     cold = bits.where("bytes is not null").select("doc_id", "text_key", "lead", "copies", "lo", "bytes").repartitionByRange("lead").sortWithinPartitions("lead")
     cold = cold.mapInArrow(_compare, "doc_id long, text_key long, a long, b long")
-    windows = bits.where("window is not null").select("doc_id", "text_key", "copies", "lo", "window")
+    blocks = bits.where("core is not null").select("doc_id", "text_key", "core", "full", "copies", "lo", "windows")
+    each = scratch.keep(blocks.groupBy("core", "full").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "text_key", "lo", "copies", "windows")).alias("one")), "blocks")
+    alike = blocks.where("copies = 1").join(each.where("n > 1").select("core", "full"), ["core", "full"])
+    alike = alike.select("doc_id", "text_key", F.col("lo").alias("a"), (F.col("lo") + F.size("windows") - 1 + LENGTH).alias("b"))
+    mixed = each.groupBy("core").agg(F.count("*").alias("kinds")).where("kinds > 1").select("core")
+    windows = each.join(mixed, "core").select("one.doc_id", "one.text_key", "one.lo", ((F.col("n") == 1) & (F.col("one.copies") == 1)).alias("open"), F.posexplode("one.windows").alias("i", "window"))
     again = windows.groupBy("window").agg(F.count("*").alias("n")).where("n > 1").select("window")
-    hot = windows.where("copies = 1").join(again, "window").select("doc_id", "text_key", F.col("lo").alias("a"), (F.col("lo") + LENGTH).alias("b"))
-    spans = scratch.keep(full.unionByName(cold).unionByName(hot).groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("a", "b")).alias("spans")), "spans")
-    scratch.drop("bits", "shared", "contexts")
+    hot = windows.where("open").join(again, "window").select("doc_id", "text_key", (F.col("lo") + F.col("i")).alias("a"), (F.col("lo") + F.col("i") + LENGTH).alias("b"))
+    spans = scratch.keep(full.unionByName(cold).unionByName(alike).unionByName(hot).groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("a", "b")).alias("spans")), "spans")
+    scratch.drop("bits", "shared", "contexts", "leads", "blocks")
     joined = with_rows(spans, "left").select("doc_id", "text", F.coalesce("spans", F.array().cast("array<struct<a:bigint,b:bigint>>")).alias("spans"))
     return joined.mapInArrow(_cut(with_text), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept_text string" if with_text else ""))
