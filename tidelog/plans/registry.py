@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import events, texts
+from . import cases, events, texts
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = events.QUERIES | texts.QUERIES
-ORACLES: dict[str, str] = events.ORACLES | texts.ORACLES
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = events.QUERIES | texts.QUERIES | cases.QUERIES
+ORACLES: dict[str, str] = events.ORACLES | texts.ORACLES | cases.ORACLES
