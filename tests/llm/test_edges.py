@@ -119,6 +119,21 @@ def test_personal_data(docs):
     assert one["base_sha256"] == hashlib.sha256(base.encode()).hexdigest() and rows[0]["spans"] == ""
     assert {r["doc_id"]: r["text"] for r in pii.without_personal_data(docs).collect()}[12] == "mail <EMAIL> or <IP> and <CARD>, <PHONE> é"
 
+def test_secrets_by_long_or_quoted_keys_and_around_cards(spark):
+    digits = next(f"{n:016d}" for n in range(4111_0000_0000_0000, 4111_0000_0000_0100) if sum(d if i % 2 == 0 else d * 2 - 9 * (d > 4) for i, d in enumerate(map(int, reversed(f"{n:016d}")))) % 10 == 0)
+    texts = {
+        1: "aws_secret_access_key = wJalrXUtnFEMI7K7MDENGbPxRfiCYEXAMPLEKEY1 end",
+        2: '{"password": "hunter2hunter2"}',
+        3: f"token=deadbeef{digits}cafebabe end",
+        4: "password=hunter2hunter2 end",
+        5: f"token={digits} end",
+        6: "call +1 (555) 123-4567 now",
+    }
+    found = pii.without_personal_data(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
+    assert {r["doc_id"]: r["text"] for r in found.collect()} == {
+        1: "<SECRET> end", 2: '{"<SECRET>"}', 3: "<SECRET> end", 4: "<SECRET> end", 5: "token=<CARD> end", 6: "call <PHONE> now",
+    }
+
 
 def test_language_scores(docs):
     rows = class_lm.language_scores(docs).collect()

@@ -3,8 +3,8 @@
 Only DataFrame functions touch the rows. Patterns mark their matches with control
 characters, and splitting at these gives positions in code points.
 
-Further candidates are key-value pairs and national phone numbers that overlap no
-fixed match. A regex, a gazetteer and a context labeler each vote for, against or
+Further candidates are key-value pairs and national phone numbers whose value no
+fixed match covers in full; where one covers a part, both spans are listed. A regex, a gazetteer and a context labeler each vote for, against or
 not at all. Spark counts the vote patterns (at most PATTERNS rows, whatever the
 corpus holds); expectation-maximisation over these counts estimates how reliable each
 labeler is, and a logistic classifier fitted to the posteriors decides each span. Its
@@ -39,7 +39,7 @@ _PATTERN = {
 #: What a text must hold for its pattern to be tried at all.
 _NEEDS = {"email": lambda t: t.contains("@"), "ip": lambda t: t.rlike(r"[0-9]\.[0-9]"), "card": lambda t: t.rlike(r"[0-9][\x20-]?[0-9]"), "phone": lambda t: t.contains("+")}
 _PART = "0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{0,2})"
-_PAIR = r"(?<![A-Za-z_])[A-Za-z_]{2,20}+ ?[=:] ?\"?[A-Za-z0-9+/_-]{8,}+"
+_PAIR = r"(?<![A-Za-z_])[A-Za-z_]{2,}+[\"']? ?[=:] ?[\"']?[A-Za-z0-9+/_-]{8,}+"
 _NATIONAL = r"(?<![0-9+])\(?[0-9]{3}\)?[ .-][0-9]{3}[.-][0-9]{4}(?![0-9])"
 _MARKS = "\x01\x02"
 #: Gazetteers.
@@ -93,7 +93,7 @@ def _candidates(text: Column, base: Column) -> Column:
         key, value = F.lower(F.regexp_extract(s["match"], "^([A-Za-z_]+)", 1)), F.regexp_extract(s["match"], "([A-Za-z0-9+/_-]+)$", 1)
         mixed = value.rlike("[0-9]") & value.rlike("[A-Za-z]")
         return F.struct(
-            s["start"].alias("start"), s["end"].alias("end"), F.lit(0).alias("group"),
+            s["start"].alias("start"), s["end"].alias("end"), (s["end"] - F.length(value)).alias("value"), F.lit(0).alias("group"),
             vote(value.rlike("^[0-9a-f]{12,}$") | value.rlike("^[A-Za-z0-9+/_-]{20,}$"), ~value.rlike("[0-9]")).alias("regex"),
             vote(key.isin(*_PRIVATE_KEYS), key.isin(*_PLAIN_KEYS)).alias("gazetteer"), vote(mixed, ~value.rlike("[0-9]")).alias("context"),
             F.when(F.length(value) < 12, 0).when(F.length(value) < 24, 1).otherwise(2).alias("size"),
@@ -102,15 +102,20 @@ def _candidates(text: Column, base: Column) -> Column:
     def national(s: Column) -> Column:
         before = F.substring(text, F.greatest(F.lit(1), s["start"] - 23), F.least(F.lit(24), s["start"]))
         return F.struct(
-            s["start"].alias("start"), s["end"].alias("end"), F.lit(1).alias("group"), vote(s["match"].rlike(r"^\([0-9]{3}\) [0-9]{3}-[0-9]{4}$"), s["match"].rlike("^[01]")).alias("regex"),
+            s["start"].alias("start"), s["end"].alias("end"), s["start"].alias("value"), F.lit(1).alias("group"), vote(s["match"].rlike(r"^\([0-9]{3}\) [0-9]{3}-[0-9]{4}$"), s["match"].rlike("^[01]")).alias("regex"),
             vote(before.rlike(_PHONE_WORDS), F.lit(False)).alias("gazetteer"), vote(before.rlike(r"(?:^|[\s:,;])$"), before.rlike("[A-Za-z0-9]$")).alias("context"), F.lit(1).alias("size"),
         )
 
-    none = F.array().cast("array<struct<start:int,end:int,group:int,regex:int,gazetteer:int,context:int,size:int>>")
+    none = F.array().cast("array<struct<start:int,end:int,value:int,group:int,regex:int,gazetteer:int,context:int,size:int>>")
     found = F.concat(
         F.when(text.rlike("[=:]"), F.transform(_found(text, _PAIR), pair)).otherwise(none), F.when(text.rlike("[0-9]{3}[.-][0-9]{4}"), F.transform(_found(text, _NATIONAL), national)).otherwise(none)
     )
-    return F.filter(found, lambda c: ~F.exists(base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
+
+    def covered(c: Column) -> Column:
+        met = F.array_sort(F.filter(base, lambda b: (b["start"] < c["end"]) & (c["value"] < b["end"])), lambda a, b: a["start"] - b["start"])
+        return F.aggregate(met, c["value"], lambda at, b: F.when(b["start"] <= at, F.greatest(at, b["end"])).otherwise(at)) >= c["end"]
+
+    return F.filter(found, lambda c: ~covered(c))
 
 
 LABELERS = ("regex", "gazetteer", "context")
@@ -171,8 +176,8 @@ def personal_data(docs: DataFrame) -> DataFrame:
     `docs` needs doc_id and text; other columns are ignored. A null text is empty and
     has no spans. Rows are judged one by one, so repeated rows get the same spans.
     kind is a position in KINDS; start and end are code points, end exclusive. spans
-    holds those of base and the ones the classifier adds, in order. text_key is
-    xxhash64 of the text.
+    holds those of base and the ones the classifier adds, in order; they may overlap.
+    text_key is xxhash64 of the text.
     """
     scratch = Scratch(docs.sparkSession, "pii")
     clean = F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), _MARKS, "\x03\x03")
