@@ -4,6 +4,7 @@ import hashlib
 import os
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter
 
@@ -153,6 +154,42 @@ def test_licenses(spark, docs):
     assert [(r["license"], r["first_line"]) for r in licenses.license_matches(held).collect()] == [("MIT", 1)]
 
 
+def test_licenses_across_and_within_lines(spark):
+    grant = licenses.TEMPLATES["MIT"][2]
+    texts = {
+        1: "intro here\n" + textwrap.fill(grant, 72) + "\n\nbye",
+        2: "Copyright (c) 2021 Acme Corp. All rights reserved.",
+        3: "This tool is made available to all and is licensed under the MIT License.",
+        4: "some prose, then " + grant + " " + PASSAGE,
+        5: "one\nAll rights\nreserved. And later:\nAll rights reserved.",
+        6: "all the rights are reserved\nunder the licence of the mit",
+    }
+    found = licenses.license_matches(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["license"], r["dice"], r["n_lines"], r["first_line"]) for r in found) == [
+        (1, "MIT", 1.0, 1, 1), (2, "all-rights-reserved", 1.0, 1, 0), (3, "MIT", 1.0, 1, 0), (4, "MIT", 1.0, 1, 0), (5, "all-rights-reserved", 1.0, 2, 1),
+    ]
+
+
+def test_license_runs_against_brute_force(spark):
+    draw, texts = random.Random(7), {}
+    for i in range(40):
+        words = licenses.plain_words(draw.choice([t for own in licenses.TEMPLATES.values() for t in own]))
+        words = [draw.choice(["the", "x", w]) if draw.random() < 0.1 else w for w in words if draw.random() > 0.05]
+        texts[i] = "".join(w + draw.choice(" \n   ") for w in ["lead"] * draw.randrange(1, 30) + words + ["tail"] * draw.randrange(1, 30))
+    expected = {}
+    for i, text in texts.items():
+        w = licenses.plain_words(text)
+        b = [f"{x} {y}" for x, y in zip(w, w[1:], strict=False)]
+        for name, t in licenses.template_rows():
+            sets = (set(b[a : a + n]) for a in range(len(b)) for n in range(1, len(t) * 3 // 2 + 1))
+            top = max(2.0 * len(s & set(t)) / (len(s) + len(t)) for s in sets)
+            if top >= licenses.DICE:
+                expected[i, name] = max(top, expected.get((i, name), 0))
+    found = licenses.license_matches(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["license"]) for r in found} == set(expected) and len(expected) > 20
+    assert all(r["dice"] <= expected[r["doc_id"], r["license"]] for r in found)
+
+
 def test_sharding(docs):
     store = sharding.sharded(docs, target_bytes=4096)
     assert sorted(map(repr, store.read().collect())) == sorted(map(repr, docs.collect()))

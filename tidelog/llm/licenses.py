@@ -1,7 +1,11 @@
-"""Licence notices in texts, by Dice's coefficient over word bigrams of lines.
+"""Licence notices in texts, by Dice's coefficient over word bigrams of lines and of runs of words.
 
 DataFrame functions only. A line is lower-cased, everything but a-z and 0-9 becomes
 one space, and its distinct word bigrams are compared with those of each template.
+So are those of runs of words anywhere in the text, across line breaks and within
+lines, that begin and end with a bigram of the template (any other run has a better
+one within it) and have at most (2 - d) / d times as many bigrams. Lines that match a
+licence as a whole are left out of its runs, and of runs that overlap the best counts.
 Two bounds spare comparisons without losing a match at the threshold d: the sizes
 must lie within d / (2 - d) of each other, and since a match shares at least
 d / (2 - d) of a template's bigrams, a line must hold one of any
@@ -11,6 +15,7 @@ n - ceil(n d / (2 - d)) + 1 of them; the longest are tried first.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -72,6 +77,50 @@ def clue(rows: list[tuple[str, list[str]]], dice: float = DICE) -> str:
     return r"\b(?:" + "|".join(sorted(wanted)) + r")\b"
 
 
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """`then` of `value`, which is computed once."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
+def _runs(pairs: Column, hits: Column, rows: list[tuple[str, list[str]]], dice: float) -> Column:
+    """Best runs of words per licence: license, dice and the line where each begins, as in `hits`.
+
+    `pairs` holds the bigrams of a text (b) and the lines of their two words (first, last).
+    """
+    known = F.array(*(
+        F.struct(F.lit(n).alias("license"), F.array(*map(F.lit, b)).alias("bigrams"), F.lit(math.ceil(len(b) * dice / (2 - dice) - 1e-9)).alias("need"), F.lit(math.floor(len(b) * (2 - dice) / dice + 1e-9)).alias("most"))
+        for n, b in rows
+    ))
+    every = F.array(*(F.lit(b) for b in sorted({b for _, bigrams in rows for b in bigrams})))
+    placed = F.transform(pairs, lambda p, i: F.struct(i.alias("at"), p["b"].alias("b"), p["first"].alias("first"), p["last"].alias("last")))
+    near = F.filter(placed, lambda p: F.array_contains(every, p["b"]))
+
+    def best(near: Column, t: Column) -> Column:
+        settled = F.transform(F.filter(hits, lambda h: h["license"] == t["license"]), lambda h: h["line"])
+        own = F.filter(near, lambda p: F.array_contains(t["bigrams"], p["b"]) & ~F.array_contains(settled, p["first"]) & ~F.array_contains(settled, p["last"]))
+
+        def scored(p: Column, q: Column) -> Column:
+            run = F.array_distinct(F.transform(F.slice(pairs, p["at"] + 1, q["at"] - p["at"] + 1), lambda x: x["b"]))
+            share = lambda r: F.lit(2.0) * F.size(F.array_intersect(r, t["bigrams"])) / (F.size(r) + F.size(t["bigrams"]))
+            return F.struct((-_let(run, share)).alias("less"), p["at"].alias("start"), (q["at"] + 2).alias("end"), p["first"].alias("line"), t["license"].alias("license"))
+
+        def begun(own: Column) -> Column:
+            ends = lambda p, i: F.filter(F.slice(own, i + t["need"], t["most"]), lambda q: (q["at"] - p["at"] < t["most"]) & ~F.exists(settled, lambda m: m.between(p["first"], q["last"])))
+            found = F.flatten(F.transform(own, lambda p, i: F.transform(ends(p, i), lambda q: scored(p, q))))
+            return F.filter(found, lambda r: r["less"] <= -dice)
+
+        return _let(own, begun)
+
+    none = F.array().cast("array<struct<less:double,start:int,end:int,line:int,license:string>>")
+    found = _let(near, lambda near: F.array_sort(F.flatten(F.transform(known, lambda t: best(near, t)))))
+
+    def step(kept: Column, r: Column) -> Column:
+        met = F.exists(kept, lambda k: (k["license"] == r["license"]) & (k["start"] < r["end"]) & (r["start"] < k["end"]))
+        return F.when(met, kept).otherwise(F.concat(kept, F.array(r)))
+
+    return F.transform(F.aggregate(found, none, step), lambda r: F.struct(r["license"].alias("license"), (-r["less"]).alias("dice"), r["line"].alias("line")))
+
+
 def normalised(line: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(line), "[^a-z0-9]+", " "))
 
@@ -80,17 +129,16 @@ def license_matches(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES
     """One row per row of `docs` and licence: doc_id, license, dice, n_lines, first_line.
 
     `docs` needs doc_id and text; other columns are ignored. dice is the best of the
-    lines that reach the threshold, n_lines their number and first_line the first
-    one's number, from 0. Null and blank texts, and lines of fewer than two words,
-    match nothing. Repeated rows give repeated results.
+    lines and runs of words that reach the threshold, n_lines the number of lines that
+    match or in which a matching run begins, and first_line the first one's number,
+    from 0. Null and blank texts, and texts of fewer than two words, match nothing.
+    Repeated rows give repeated results.
     """
     rows = template_rows(templates)
     known = F.array(*(F.struct(F.lit(n).alias("license"), F.array(*map(F.lit, b)).alias("bigrams")) for n, b in rows))
     bound = dice / (2 - dice)
-    lines = F.filter(
-        F.transform(F.split(F.col("text").cast("string"), "\n", -1), lambda line, i: F.struct(i.alias("line"), normalised(line).alias("plain"))), lambda x: x["plain"].rlike(clue(rows, dice))
-    )
-    held = docs.select(F.col("doc_id").cast("long").alias("doc_id"), lines.alias("lines")).where(F.size("lines") > 0)
+    text, wanted = F.col("text").cast("string"), clue(rows, dice)
+    held = docs.where(normalised(text).rlike(wanted)).select(F.col("doc_id").cast("long").alias("doc_id"), F.transform(F.split(text, "\n", -1), normalised).alias("plain"))
 
     def bigrams(plain: Column) -> Column:
         w = F.split(plain, " ")
@@ -103,8 +151,13 @@ def license_matches(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES
         scored = F.transform(near, lambda t: F.struct(t["license"].alias("license"), share(t).alias("dice"), x["line"].alias("line")))
         return F.filter(scored, lambda s: s["dice"] >= dice)
 
-    held = held.withColumn("lines", F.transform("lines", lambda x: F.struct(x["line"].alias("line"), bigrams(x["plain"]).alias("bigrams"))))
-    held = held.select("doc_id", F.flatten(F.transform("lines", compared)).alias("hits")).where(F.size("hits") > 0)
+    lines = F.filter(F.transform("plain", lambda x, i: F.struct(i.alias("line"), x.alias("plain"))), lambda x: x["plain"].rlike(wanted))
+    words = F.flatten(F.transform("plain", lambda x, i: F.transform(F.filter(F.split(x, " "), lambda w: w != ""), lambda w: F.struct(w.alias("w"), i.alias("line")))))
+    held = held.select("doc_id", F.transform(lines, lambda x: F.struct(x["line"].alias("line"), bigrams(x["plain"]).alias("bigrams"))).alias("lines"), words.alias("words"))
+    rest = F.greatest(F.size("words") - 1, F.lit(0))
+    pairs = F.zip_with(F.slice("words", 1, rest), F.slice("words", 2, rest), lambda a, b: F.struct(F.concat_ws(" ", a["w"], b["w"]).alias("b"), a["line"].alias("first"), b["line"].alias("last")))
+    both = _let(pairs, lambda p: _let(F.flatten(F.transform("lines", compared)), lambda h: F.concat(h, _runs(p, h, rows, dice))))
+    held = held.select("doc_id", both.alias("hits")).where(F.size("hits") > 0)
 
     def told(name: Column) -> Column:
         own = F.filter("hits", lambda h: h["license"] == name)
