@@ -1,6 +1,7 @@
 """Nulls, blanks, repeated rows, clashing columns and empty tables, and small brute-force comparisons."""
 
 import hashlib
+import math
 import os
 import random
 import re
@@ -120,6 +121,7 @@ def test_personal_data(docs):
     assert one["base_sha256"] == hashlib.sha256(base.encode()).hexdigest() and rows[0]["spans"] == ""
     assert {r["doc_id"]: r["text"] for r in pii.without_personal_data(docs).collect()}[12] == "mail <EMAIL> or <IP> and <CARD>, <PHONE> é"
 
+
 def test_secrets_by_long_or_quoted_keys_and_around_cards(spark):
     digits = next(f"{n:016d}" for n in range(4111_0000_0000_0000, 4111_0000_0000_0100) if sum(d if i % 2 == 0 else d * 2 - 9 * (d > 4) for i, d in enumerate(map(int, reversed(f"{n:016d}")))) % 10 == 0)
     texts = {
@@ -142,6 +144,19 @@ def test_language_scores(docs):
     assert {r["n_tokens"] for r in rows if r["doc_id"] in (0, 1, 2)} == {1}
 
 
+def test_language_counts_against_brute_force(docs):
+    words = lambda text: [w.lower() for w in re.findall(r"[^\x20\x09-\x0D]+", text or "")] + [None]
+    given = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    held_out = lambda i: i is not None and zlib.crc32(str(i).encode()) % 5 == 1
+    count = Counter(w for i, t in given if not held_out(i) for w in words(t))
+    tokens, low = sum(count.values()), sum(count.values()) + 0.5 * (len(count) + 1)
+    key = lambda r: (-1 if r[0] is None else r[0], r[2])
+    expected = sorted(((i, held_out(i), len(words(t)), sum(count[w] > 0 for w in words(t)), tokens, sum(math.log10((count[w] + 0.5) / low) for w in words(t))) for i, t in given), key=key)
+    found = sorted((tuple(r)[:6] for r in class_lm.language_scores(docs).collect()), key=key)
+    assert [r[:5] for r in found] == [r[:5] for r in expected] and any(r[1] for r in found)
+    assert [r[5] for r in found] == pytest.approx([r[5] for r in expected])
+
+
 def test_quality(docs, labels):
     rows = quality.quality(docs, labels).collect()
     assert len(rows) == len(TEXTS) + 2 and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.7) for r in rows)
@@ -214,3 +229,45 @@ def test_pipeline_stages(spark, docs, labels, benchmark, tmp_path):
         df.write.parquet(os.path.join(tmp_path, f"{name}.parquet"))
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, str(tmp_path)).columns == docs.columns, name
+
+
+def test_pipeline_rows_against_brute_force(spark, benchmark, tmp_path, monkeypatch):
+    class Kept(corpus_pipeline.Scratch):
+        def keep(self, df, name):
+            tables[name] = super().keep(df, name)
+            return tables[name]
+
+    tables = {}
+    monkeypatch.setattr(corpus_pipeline, "Scratch", Kept)
+    given = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
+    marks = spark.createDataFrame([(i, int(i < 13), 0) for i in range(15)], "doc_id long, quality int, toxic int")
+    for name, df in (("documents", given), ("labels", marks), ("benchmark", benchmark)):
+        df.write.parquet(os.path.join(tmp_path, f"{name}.parquet"))
+    placed = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    rows = {name: {r["doc_id"]: r["text"] for r in df.collect()} for name, df in tables.items()}
+
+    good = {r["doc_id"] for r in quality.quality(given, marks).collect() if r["predicted"]}
+    expected = {i: t for i, t in enumerate(TEXTS) if i in good}
+    assert rows["quality"] == expected and {5, 6, 10, 12} <= good
+    sets = {i: shingles(t) for i, t in expected.items()}
+    root = {i: i for i in sets}
+    for _ in sets:
+        for a in sets:
+            for b in sets:
+                if 100 * len(sets[a] & sets[b]) >= 75 * max(1, len(sets[a] | sets[b])):
+                    root[a] = min(root[a], root[b])
+    expected = {i: t for i, t in expected.items() if root[i] == i}
+    assert rows["near_duplicates"] == expected and 6 not in expected
+    expected = {i: t for i, t in expected.items() if PASSAGE not in (t or "")}
+    assert rows["decontamination"] == expected and 10 not in expected
+    expected[12] = "mail <EMAIL> or <IP> and <CARD>, <PHONE> é"
+    assert rows["personal_data"] == expected
+    assert {r["doc_id"] for r in placed} == set(expected)
+    used = {}
+    for r in sorted(placed, key=lambda r: (r["sequence_id"], r["offset"])):
+        assert r["offset"] == used.get(r["sequence_id"], 0)
+        used[r["sequence_id"]] = r["offset"] + r["length"]
+    assert max(used.values()) <= packing.CAPACITY
+    for i in expected:
+        own = sorted((r["piece"], r["start"], r["length"]) for r in placed if r["doc_id"] == i)
+        assert [start for _, start, _ in own] == [sum(n for *_, n in own[:k]) for k in range(len(own))] and [p for p, *_ in own] == list(range(len(own)))
