@@ -12,7 +12,8 @@ from collections import Counter
 import pytest
 
 import corpus_pipeline
-from tidelog.llm import class_lm, decontamination, embedding_join, licenses, minhash, packing, pii, quality, repeats, sharding
+from tidelog.llm import class_lm, decontamination, embedding_join, graph, licenses, minhash, packing, pii, quality, repeats, sharding
+from tidelog.llm.scratch import Scratch
 
 rng = random.Random(5)
 WORDS = [f"w{i}" for i in range(60)]
@@ -224,6 +225,49 @@ def test_empty_tables(spark, docs, labels, benchmark):
         assert found.count() == 0
 
 
+def test_stages_keep_clashing_columns_and_blank_rows(spark, labels, benchmark):
+    names = ["_row_key", "_id", "_group", "_key", "_bad_id", "row_id", "row_key", "no_id", "new_text", "f", "base", "spans", "blank", "a", "cid"]
+    rows = [(None, "", *names), (None, " ", *names), (1, "", *names), (1, " ", *names), (2, None, *names), (3, "mail a.b@c.de now", *names), (4, PASSAGE, *names), (4, PASSAGE, *names)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    kept = sorted(map(tuple, docs.collect()), key=repr)
+    assert sorted(map(tuple, minhash.without_near_duplicates(docs).collect()), key=repr) == sorted(set(kept), key=repr)
+    assert sorted(map(tuple, quality.accepted(docs, labels.limit(0)).collect()), key=repr) == kept
+    assert sorted(map(tuple, decontamination.without_benchmark(docs, benchmark).collect()), key=repr) == [r for r in kept if r[0] != 4]
+    assert sorted(map(tuple, pii.without_personal_data(docs).collect()), key=repr) == sorted(((r[0], "mail <EMAIL> now", *r[2:]) if r[0] == 3 else r for r in kept), key=repr)
+
+
+def test_items_without_id_and_windows_of_repeats(spark):
+    item = " ".join(f"head{i}" for i in range(60)) + " dull" * 40
+    text = " ".join(f"head{i}" for i in range(60)) + " gray" * 8 + " dull" * 32
+    docs = spark.createDataFrame([(1, text), (2, "other text of few words")], "doc_id long, text string")
+    asked = spark.createDataFrame([(None, item)], "item_id long, text string")
+    assert [(r["doc_id"], r["item_id"]) for r in decontamination.benchmark_matches(docs, asked).collect()] == [(1, None)]
+    assert [r["doc_id"] for r in decontamination.without_benchmark(docs, asked).collect()] == [2]
+
+
+def test_components_against_brute_force(spark, monkeypatch):
+    draw = random.Random(3)
+    for n, alone in ((60, 100), (60, 0), (0, 100)):
+        monkeypatch.setattr(graph, "ALONE", alone)
+        edges = [(draw.randrange(80), draw.randrange(80)) for _ in range(n)] + ([(i, i + 1) for i in range(100, 140)] if n else []) + [(None, 5), (7, 7)]
+        draw.shuffle(edges)
+        root = {x: x for a, b in edges if a is not None and a != b for x in (a, b)}
+        for _ in root:
+            for a, b in edges:
+                if a in root and b in root:
+                    root[a] = root[b] = min(root[a], root[b])
+        df = spark.createDataFrame(edges, "a long, b long").repartition(7)
+        found = graph.components(df, Scratch(spark, "test"), "c").collect()
+        assert sorted(map(tuple, found)) == sorted(root.items())
+
+
+def test_many_spans_in_one_text(spark):
+    text = " ".join(f"u{i}@mail{i}.org" for i in range(3000))
+    row = pii.personal_data_digest(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    spans = ",".join(f"email:{m.start()}:{m.end()}" for m in re.finditer(r"\S+", text))
+    assert row["n_email"] == 3000 and row["spans"] == spans and row["base_sha256"] == hashlib.sha256(spans.encode()).hexdigest()
+
+
 def test_pipeline_stages(spark, docs, labels, benchmark, tmp_path):
     for name, df in (("labels", labels), ("benchmark", benchmark)):
         df.write.parquet(os.path.join(tmp_path, f"{name}.parquet"))

@@ -9,15 +9,18 @@ to RADIUS // BLOCKS bits in some block, and the index lists an item under all su
 values, so no fingerprint within the radius is missed. Hits are verified by the
 weighted Jaccard similarity, sum of smaller counts over sum of larger ones.
 
-A window at exactly 0.75 has an expected distance of 11 bits; the chance that it lies
-beyond RADIUS is about 1e-6. The benchmark is taken in blocks of about BLOCK_ITEMS
-items, so what a task holds does not grow with it.
+A window at exactly 0.75 whose shingles differ from each other has an expected distance
+of 11 bits; the chance that it lies beyond RADIUS is about 1e-6. Shingles that occur
+again and again in a window sway its fingerprint together, so windows with AGAIN or
+more repeats are verified without it. The benchmark is taken in blocks of about
+BLOCK_ITEMS items, so what a task holds does not grow with it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +33,9 @@ SHINGLE = 5
 SIMILAR = 0.75
 RADIUS = 26
 BLOCKS = 8
-BLOCK_ITEMS = 1000
+BLOCK_ITEMS = 8192
+#: Repeated shingles from which a window is verified whatever its fingerprint.
+AGAIN = 4
 #: Window starts fingerprinted at once.
 STARTS = 1 << 15
 
@@ -99,10 +104,14 @@ def _similarities(own: np.ndarray, span: int, item: tuple[np.ndarray, np.ndarray
 
 def _search(items: dict[int, Items], shingles: np.ndarray, widths: np.ndarray, similar: float):
     def document(own: np.ndarray, hits: np.ndarray, sizes: np.ndarray, n_words: int) -> dict[int, tuple[float, int, int]]:
-        best: dict[int, tuple[float, int, int]] = {}
+        best: dict[int | None, tuple[float, int, int]] = {}
+        order = np.argsort(own, kind="stable")
+        apart = np.full(len(own), len(own) + 1)  # distance to the last place of the same shingle
+        apart[order[1:]] = np.where(own[order[1:]] == own[order[:-1]], np.diff(order), len(own) + 1)
         for width in np.unique(sizes):
             group = items[int(width)]
             span = min(max(1, int(width) - SHINGLE + 1), len(own))
+            again = np.concatenate([[0], np.cumsum(apart < span)])
             edge = np.zeros(len(own) - span + 2, np.int64)
             q = hits[sizes == width]
             np.add.at(edge, np.maximum(q - span + 1, 0), 1)
@@ -113,10 +122,11 @@ def _search(items: dict[int, Items], shingles: np.ndarray, widths: np.ndarray, s
                 votes = _votes(own[starts[0] : starts[-1] + span])
                 prints = _fingerprints(votes[starts - starts[0] + span] - votes[starts - starts[0]])
                 near = np.zeros((len(starts), len(group.ids)), bool)
+                near[again[starts + span] - again[starts] >= AGAIN] = True
                 for b in range(BLOCKS):
                     near |= group.index[b][((prints >> np.uint64(8 * b)) & np.uint64(255)).astype(np.int64)]
                 p, i = np.nonzero(near)
-                close = np.bitwise_count(prints[p] ^ group.prints[i]) <= RADIUS
+                close = (np.bitwise_count(prints[p] ^ group.prints[i]) <= RADIUS) | (again[starts + span] - again[starts] >= AGAIN)[p]
                 p, i = p[close], i[close]
                 for k in np.unique(i):
                     places = starts[p[i == k]]
@@ -127,54 +137,68 @@ def _search(items: dict[int, Items], shingles: np.ndarray, widths: np.ndarray, s
                         best[group.ids[k]] = found
         return best
 
+    def each(text: pa.Array) -> Iterator[tuple[int, int | None, float, int, int]]:
+        """(row, item, similarity, start, words) of each row of a column and item it holds."""
+        for c in tk.chunks(text):
+            w = tk.words(c)
+            s, begin = tk.shingles(w.hashes, w.first, SHINGLE)
+            lo, hi = np.searchsorted(shingles, s, "left"), np.searchsorted(shingles, s, "right")
+            hits = np.flatnonzero(hi > lo)
+            row = np.searchsorted(begin, hits, "right") - 1
+            for r in np.unique(row):
+                own = hits[row == r]
+                n = hi[own] - lo[own]
+                sizes = widths[np.repeat(lo[own] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+                best = document(s[begin[r] : begin[r + 1]], np.repeat(own - begin[r], n), sizes, int(w.first[r + 1] - w.first[r]))
+                for item, (sim, start, words) in sorted(best.items(), key=lambda x: (x[0] is None, x[0])):
+                    yield c.lo + int(r), item, sim, -start, words
+
+    return each
+
+
+def _matches(each):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: list[int] = []
-            found: list[tuple[int, float, int, int]] = []
-            for c in tk.chunks(batch.column("text")):
-                w = tk.words(c)
-                s, begin = tk.shingles(w.hashes, w.first, SHINGLE)
-                lo, hi = np.searchsorted(shingles, s, "left"), np.searchsorted(shingles, s, "right")
-                hits = np.flatnonzero(hi > lo)
-                row = np.searchsorted(begin, hits, "right") - 1
-                for r in np.unique(row):
-                    own = hits[row == r]
-                    n = hi[own] - lo[own]
-                    sizes = widths[np.repeat(lo[own] - np.cumsum(n) + n, n) + np.arange(n.sum())]
-                    best = document(s[begin[r] : begin[r + 1]], np.repeat(own - begin[r], n), sizes, int(w.first[r + 1] - w.first[r]))
-                    for item, (sim, start, words) in sorted(best.items()):
-                        rows.append(c.lo + int(r))
-                        found.append((item, sim, -start, words))
-            of = pa.array(rows, pa.int64())
-            columns = [pa.array([f[j] for f in found], kind) for j, kind in enumerate((pa.int64(), pa.float64(), pa.int64(), pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(of), batch.column("text_key").take(of), *columns], names=["doc_id", "text_key", "item_id", "similarity", "start_word", "n_words"])
+            found = list(each(batch.column("text")))
+            columns = [pa.array([f[j] for f in found], kind) for j, kind in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(columns[0]), *columns[1:]], names=["doc_id", "item_id", "similarity", "start_word", "n_words"])
 
     return run
 
 
+def _holds(each):
+    def holds(text: pa.Array) -> pa.Array:
+        out = np.zeros(len(text), bool)
+        out[[f[0] for f in each(text)]] = True
+        return pa.array(out)
+
+    return F.arrow_udf(holds, "boolean")
+
+
+def _searches(benchmark: DataFrame, similar: float) -> list:
+    """A search for each block of items."""
+    asked = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
+    n = max(1, -(-asked.count() // BLOCK_ITEMS))
+    block = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
+    return [_search(*index_items([(r["item_id"], r["text"]) for r in asked.where(block == b).collect()]), similar) for b in range(n)]
+
+
 def benchmark_matches(docs: DataFrame, benchmark: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """One row per document row and item it holds: doc_id, item_id, similarity, start_word, n_words, text_key.
+    """One row per document row and item it holds: doc_id, item_id, similarity, start_word, n_words.
 
     `docs` needs doc_id and text, `benchmark` item_id and text. The row tells the most
     similar window (the first of equal ones). A document with fewer words than an item
     is one window. Null and blank texts match nothing on either side. Items with one
-    item_id count as versions of one item. Rows of `docs` with one doc_id are separate
-    documents. text_key is xxhash64 of the text.
+    item_id, or with none, count as versions of one item; the id of those is null.
+    Rows of `docs` with one doc_id are separate documents.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), F.col("text").cast("string").alias("text"))
-    asked = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
-    n = max(1, -(-asked.count() // BLOCK_ITEMS))
-    out = None
-    for b in range(n):
-        block = [(r["item_id"], r["text"]) for r in asked.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b).collect()]
-        found = rows.mapInArrow(_search(*index_items(block), similar), "doc_id long, text_key long, item_id long, similarity double, start_word long, n_words long")
-        out = found if out is None else out.unionByName(found)
-    return out
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    found = [rows.mapInArrow(_matches(each), "doc_id long, item_id long, similarity double, start_word long, n_words long") for each in _searches(benchmark, similar)]
+    return reduce(DataFrame.unionByName, found)
 
 
-def without_benchmark(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of `docs` that hold no benchmark item, all columns as they are."""
-    bad = benchmark_matches(docs, benchmark).select(F.col("doc_id").alias("_bad_id"), F.col("text_key").alias("_bad_key")).distinct()
-    keyed = docs.withColumn("_row_key", F.xxhash64("text"))
-    same = (keyed["_row_key"] == F.col("_bad_key")) & keyed["doc_id"].cast("long").eqNullSafe(F.col("_bad_id"))
-    return keyed.join(bad, same, "left_anti").select(*[keyed[f"`{c}`"] for c in docs.columns])
+def without_benchmark(docs: DataFrame, benchmark: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """The rows of `docs` that hold no benchmark item, all columns as they are. Items need no id; other edge cases are those of `benchmark_matches`."""
+    for each in _searches(benchmark, similar):
+        docs = docs.where(~_holds(each)(F.col("text").cast("string")))
+    return docs

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .graph import components
+from .graph import components, settle
 from .scratch import Scratch
 
 COSINE = 0.98
@@ -112,20 +112,6 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out(pd.concat(held, ignore_index=True))
 
 
-def _settle(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """The smallest node that each of n nodes reaches."""
-    root = np.arange(n)
-    while True:
-        low = np.minimum(root[u], root[v])
-        new = root.copy()
-        np.minimum.at(new, root[u], low)
-        np.minimum.at(new, root[v], low)
-        new = new[new]
-        if (new == root).all():
-            return root
-        root = new
-
-
 def _join(cosine: float, epsilon: float, dtype: str):
     reach = (epsilon + SLACK) ** 2
 
@@ -155,7 +141,7 @@ def _join(cosine: float, epsilon: float, dtype: str):
                 count_x[a:b] += hit @ my[c:d]
                 count_y[c:d] += mx[a:b] @ hit
                 i, j = np.nonzero(hit)
-                root = _settle(b - a + d - c, i, j + b - a)
+                root = settle(b - a + d - c, i, j + b - a)
                 node = np.concatenate([np.arange(a, b), np.arange(c, d) + (0 if same else nx)])
                 moved = root != np.arange(len(root))
                 us.append(node[moved])
@@ -172,7 +158,7 @@ def _join(cosine: float, epsilon: float, dtype: str):
                 cx, cy, u, v = pair(x, y, *(get(f"{s}_p", "<f8").reshape(-1, AXES) for s in "xy"), *(get(f"{s}_copies", "<i8") for s in "xy"), same)
                 node = ids[0] if same else np.concatenate(ids)
                 count = cx + cy if same else np.concatenate([cx, cy])
-                root = _settle(len(node), u, v)
+                root = settle(len(node), u, v)
                 some = np.flatnonzero(count)
                 yield pa.RecordBatch.from_arrays([pa.array(node[some]), pa.array(count[some]), pa.array(node[root[some]])], names=["cid", "links", "towards"])
 

@@ -12,14 +12,12 @@ lists are skipped without losing a candidate.
 
 Large groups: every posting list first meets only its hub (the class with most
 copies, then with the most shared coordinates), which is linear. After components
-form, only pairs of different components remain to be tried. Lists of at most
-LONG_LIST classes try them all, except pairs whose disagreement with the hub
-differs by more than COORDS - MATCHES coordinates: disagreement is a metric, so
-they cannot agree on MATCHES. The classes of longer lists meet by their rarest
-shingles instead: the first that both have, from rare to common, must leave enough
-shingles after it on both sides for 0.75. Variants of one text have rare shingles of
-their own before it, so those that differ too much do not even meet. A link at
-exactly 0.75 is missed with a chance of about 1e-7 (binomial tail of 64 draws).
+form, only pairs of different parts of a list remain to be tried. Far variants of one
+text agree on the threshold pair by pair without being links, so these lists are
+merged with a second prefix: the first shingle that two classes have in common, from
+rare to common, must leave enough shingles after it on both sides for the similarity.
+It is exact, so it only spares pairs that would fail, and holds for lists of any size.
+A link at exactly 0.75 is missed with a chance of about 1e-7 (binomial tail of 64 draws).
 """
 
 from __future__ import annotations
@@ -34,12 +32,12 @@ from pyspark.sql import functions as F
 from . import textkernel as tk
 from .graph import components
 from .scratch import Scratch
+from .tables import fresh
 
 COORDS = 64
 MATCHES = 28
 SHINGLE = 5
 SIMILAR = (75, 100)
-LONG_LIST = 48
 
 _rng = np.random.default_rng(7)
 _MULT = _rng.integers(1, 2**63, COORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -121,7 +119,7 @@ def _overlap(similar: tuple[int, int]):
                 at = np.minimum(np.searchsorted(left, own), max(len(left) - 1, 0))
                 both = int((left[at] == own).sum()) if len(left) else 0
                 keep.append(similar[1] * both >= similar[0] * (len(own) + len(left) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            yield batch.select([n for n in batch.schema.names if n not in ("sa", "sb")]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
@@ -148,29 +146,22 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similar: tuple[int,
         ),
         "classes",
     )
-    posts = classes.select("cid", F.posexplode("sig").alias("pos", "value")).select(
-        "cid", (F.shiftleft(F.col("pos").cast("long"), 32) + F.col("value").cast("long").bitwiseAND(0xFFFFFFFF)).alias("post")
+    posts = classes.select("cid", "copies", F.posexplode("sig").alias("pos", "value")).select(
+        "cid", "copies", (F.shiftleft(F.col("pos").cast("long"), 32) + F.col("value").cast("long").bitwiseAND(0xFFFFFFFF)).alias("post")
     )
     shared = posts.groupBy("post").agg(F.count("*").alias("n")).where("n > 1")
-    by_rarity = Window.partitionBy("cid").orderBy("n", "post")
-    prefix = scratch.keep(
-        posts.join(shared, "post").withColumn("rank", F.row_number().over(by_rarity)).withColumn("held", F.count("*").over(Window.partitionBy("cid"))).where(f"rank <= held - {MATCHES - 1}").select("cid", "post", "n"),
-        "prefix",
-    )
-    # Round 1: every list against its hub.
-    support = prefix.groupBy("cid").agg(F.sum("n").alias("support")).join(classes.select("cid", "copies"), "cid")
-    posted = prefix.select("cid", "post").join(support, "cid")
-    hubs = posted.groupBy("post").agg(F.max(F.struct("copies", "support", "cid")).alias("top"), F.count("*").alias("n")).where("n > 1").select("post", F.col("top.cid").alias("hub"))
+    own = Window.partitionBy("cid")
+    prefix = posts.join(shared, "post").withColumn("rank", F.row_number().over(own.orderBy("n", "post"))).withColumn("held", F.count("*").over(own)).where(f"rank <= held - {MATCHES - 1}")
+    prefix = scratch.keep(prefix.select("cid", "copies", "post", F.sum("n").over(own).alias("support")), "prefix")
+    hubs = prefix.groupBy("post").agg(F.max(F.struct("copies", "support", "cid")).alias("top"), F.count("*").alias("n")).where("n > 1").select("post", F.col("top.cid").alias("hub"))
+    listed = scratch.keep(prefix.join(hubs, "post").where("cid <> hub").select("post", "cid", "hub"), "listed")
     signature = classes.select("cid", "sig")
     agreed = F.aggregate(F.zip_with("sa", "sb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
 
     def compared(pairs: DataFrame) -> DataFrame:
-        """a, b and the number of coordinates on which they agree."""
-        return (
-            pairs.join(signature.select(F.col("cid").alias("a"), F.col("sig").alias("sa")), "a")
-            .join(signature.select(F.col("cid").alias("b"), F.col("sig").alias("sb")), "b")
-            .select("a", "b", agreed.alias("agree"))
-        )
+        """Those pairs that agree on MATCHES coordinates."""
+        sides = (signature.select(F.col("cid").alias(c), F.col("sig").alias(f"s{c}")) for c in "ab")
+        return pairs.join(next(sides), "a").join(next(sides), "b").where(agreed >= MATCHES).select(*pairs.columns)
 
     def texts(wanted: DataFrame) -> DataFrame:
         """`wanted` with one text of each class; a repeated row may give it twice."""
@@ -181,48 +172,40 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similar: tuple[int,
         """Those pairs whose full shingle sets reach the similarity."""
         wanted = pairs.select("a").union(pairs.select("b")).toDF("cid").distinct()
         sets = texts(wanted).mapInArrow(_sets(shingle), "cid long, shingles binary").dropDuplicates(["cid"])
-        return (
-            pairs.join(sets.select(F.col("cid").alias("a"), F.col("shingles").alias("sa")), "a")
-            .join(sets.select(F.col("cid").alias("b"), F.col("shingles").alias("sb")), "b")
-            .select("a", "b", "sa", "sb")
-            .mapInArrow(_overlap(similar), "a long, b long")
-        )
-
-    star = scratch.keep(compared(prefix.join(hubs, "post").where("cid <> hub").select(F.col("cid").alias("a"), F.col("hub").alias("b")).distinct()), "star")
-    links = scratch.keep(confirmed(star.where(f"agree >= {MATCHES}").select("a", "b")), "links-1")
-    root = components(links, scratch, "first")
-    # Round 2: what is left between different components of a list.
-    listed = (
-        prefix.join(hubs, "post")
-        .join(root.select(F.col("node").alias("cid"), "root"), "cid", "left")
-        .join(star.select(F.col("a").alias("cid"), F.col("b").alias("hub"), "agree"), ["cid", "hub"], "left")
-        .select("post", "cid", F.coalesce("root", "cid").alias("part"), (F.col("cid") == F.col("hub")).alias("is_hub"), F.coalesce("agree", F.lit(COORDS)).alias("agree"))
-    )
-    # A list with one member apart from a hub's component holds no further pair of its own.
-    mixed = listed.groupBy("post").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.count(F.when(~F.col("is_hub"), 1)).alias("n")).where("p <> q and n > 1").select("post", F.col("n").alias("length"))
-    listed = scratch.keep(listed.where("not is_hub").join(mixed, "post"), "listed")
-    short, crowd = listed.where(f"length <= {LONG_LIST}"), listed.where(f"length > {LONG_LIST}").select("cid", "part").distinct()
-    x, y = short.alias("x"), short.alias("y")
-    rest = x.join(y, F.expr(f"x.post = y.post and x.cid < y.cid and x.part <> y.part and abs(x.agree - y.agree) <= {COORDS - MATCHES}"))
+        sides = (sets.select(F.col("cid").alias(c), F.col("shingles").alias(f"s{c}")) for c in "ab")
+        return pairs.join(next(sides), "a").join(next(sides), "b").mapInArrow(_overlap(similar), ", ".join(f"{c} long" for c in pairs.columns))
+
+    # Round 1: every list against its hub.
+    star = scratch.keep(compared(listed.select(F.col("cid").alias("a"), F.col("hub").alias("b")).distinct()), "star")
+    links = scratch.keep(confirmed(star), "links-1")
+    part = components(links, scratch, "first").withColumnsRenamed({"node": "cid", "root": "part"})
+    # Round 2: what is left between different parts of a list, none of it the hub's.
+    parted = listed.join(part, "cid", "left").select("post", "cid", F.coalesce("part", "cid").alias("part"))
+    mixed = parted.groupBy("post").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("post")
+    crowd = parted.join(mixed, "post").select("cid", "part").distinct()
     own = texts(crowd).mapInArrow(_exploded(shingle), "cid long, part long, size long, shingle long").dropDuplicates(["cid", "shingle"])
     seen = own.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1")
     # A link shares at least p / (p + q) of both sizes together. In the order from rare to
     # common, the first shingle that both have leaves room for that on either side.
     p, q = similar
-    ranked = own.join(seen, "shingle").withColumn("rank", F.row_number().over(Window.partitionBy("cid").orderBy("n", "shingle"))).withColumn("left", F.count("*").over(Window.partitionBy("cid")) - F.col("rank") + 1)
+    each = Window.partitionBy("cid")
+    ranked = own.join(seen, "shingle").withColumn("rank", F.row_number().over(each.orderBy("n", "shingle"))).withColumn("left", F.count("*").over(each) - F.col("rank") + 1)
     rare = scratch.keep(ranked.where(F.col("left") * q >= F.col("size") * p).select("shingle", "cid", "part", "size", "left"), "rare")
     x, y = rare.where(f"left * {p + q} >= size * {2 * p}").alias("x"), rare.alias("y")
     crossed = x.join(y, F.expr(f"x.shingle = y.shingle and struct(x.size, x.cid) < struct(y.size, y.cid) and x.part <> y.part and {q} * x.size >= {p} * y.size and {p + q} * least(x.left, y.left) >= {p} * (x.size + y.size)"))
-    crossed = crossed.select(F.least("x.cid", "y.cid").alias("a"), F.greatest("x.cid", "y.cid").alias("b"))
-    tried = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = rest.select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b")).union(crossed).distinct()
-    rest = scratch.keep(compared(rest.join(tried, ["a", "b"], "left_anti")).where(f"agree >= {MATCHES}").select("a", "b"), "rest")
+    crossed = crossed.select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b"), F.col("x.part").alias("part_a"), F.col("y.part").alias("part_b")).distinct()
+    tried = star.unionByName(star.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    rest = scratch.keep(compared(crossed.join(tried, ["a", "b"], "left_anti")), "rest")
     if not rest.isEmpty():
-        more = scratch.keep(confirmed(rest), "links-2")
-        root = components(links.unionByName(more), scratch, "second")
-    labelled = classes.join(root.select(F.col("node").alias("cid"), "root"), "cid", "left").select("cid", "hi", F.coalesce("root", "cid").alias("group_key"), "first_id")
+        more = scratch.keep(confirmed(rest).select(F.col("part_a").alias("a"), F.col("part_b").alias("b")), "links-2")
+    if not rest.isEmpty() and not more.isEmpty():
+        whole = components(more, scratch, "second").withColumnsRenamed({"node": "part", "root": "whole"})
+        nodes = part.unionByName(part.select(F.col("part").alias("cid"), "part")).unionByName(more.select(F.col("a").alias("cid"), F.col("a").alias("part"))).unionByName(more.select(F.col("b").alias("cid"), F.col("b").alias("part"))).distinct()
+        part = nodes.join(whole, "part", "left").select("cid", F.coalesce("whole", "part").alias("part"))
+    labelled = classes.join(part, "cid", "left").select("cid", "hi", F.coalesce("part", "cid").alias("group_key"), "first_id")
     smallest = labelled.groupBy("group_key").agg(F.min("first_id").alias("component_id"))
-    named = labelled.join(smallest, "group_key").select("cid", "hi", "group_key", "component_id")
+    named = scratch.keep(labelled.join(smallest, "group_key").select("cid", "hi", "group_key", "component_id"), "named")
+    scratch.drop("classes", "prefix", "listed", "star", "links-1", "rare", "rest", "links-2", *(f"{a}-{b}" for a in ("first", "second") for b in ("local", "nodes", "met", "top")))
     full = sketched.where("cid is not null").join(named, ["cid", "hi"]).select("doc_id", "n_shingles", "component_id", "group_key", "text_key")
     blank = sketched.where("cid is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("group_key"), "text_key")
     return full.unionByName(blank).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
@@ -232,10 +215,14 @@ def without_near_duplicates(docs: DataFrame) -> DataFrame:
     """`docs` with one document of each near-duplicate group, all columns as they are.
 
     The row with the group's smallest doc_id stays; of repeated rows with that id
-    one stays. Blank texts are no duplicates of each other, except repeated rows.
+    one stays. Blank texts are no duplicates of each other, except repeated rows. A
+    row without an id stays where no row of its group has one.
     """
-    chosen = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_id"), F.coalesce("group_key", F.lit(0)).alias("_group"), F.col("text_key").alias("_key"))
-    chosen = chosen.groupBy("_id", "_group").agg(F.min("_key").alias("_key"))
-    keyed = docs.withColumn("_row_key", F.xxhash64("text"))
-    joined = keyed.join(chosen, keyed["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (keyed["_row_key"] == F.col("_key")))
-    return joined.dropDuplicates(["_id", "_group", "_key"]).select(*[keyed[f"`{c}`"] for c in docs.columns])
+    no_id, row_id, key, blank, group = fresh(docs, "no_id", "row_id", "row_key", "blank", "group")
+    chosen = near_duplicates(docs).where("kept").select(
+        F.col("doc_id").isNull().alias(no_id), F.coalesce("doc_id", F.lit(0)).alias(row_id), F.col("text_key").alias(key), F.col("group_key").isNull().alias(blank), F.coalesce("group_key", "text_key").alias(group)
+    )
+    chosen = chosen.groupBy(no_id, row_id, blank, group).agg(F.min(key).alias(key)).select(no_id, row_id, key)
+    named = docs["doc_id"].cast("long")
+    keyed = docs.withColumns({no_id: named.isNull(), row_id: F.coalesce(named, F.lit(0)), key: F.xxhash64("text")})
+    return keyed.join(chosen, [no_id, row_id, key], "left_semi").dropDuplicates([no_id, row_id, key]).drop(no_id, row_id, key)

@@ -14,12 +14,14 @@ weights go back into the plan as a sum of columns.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
+from .tables import fresh
 
 #: Kinds of spans, in the order in which they are listed.
 KINDS = ("email", "ip", "card", "phone", "secret")
@@ -49,17 +51,30 @@ _PHONE_WORDS = r"(?i)\b(?:tel|phone|call|fax|mobile|cell|ring|contact)\b"
 _SPAN = "array<struct<start:int,end:int,match:string>>"
 
 
+RUN = 256
+
+
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """`then` of `value`, which is computed once."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def _found(text: Column, pattern: str) -> Column:
     """Start, end and text of each match, leftmost first, in code points."""
     parts = F.split(F.regexp_replace(text, f"({pattern})", f"{_MARKS[0]}$1{_MARKS[1]}"), f"[{_MARKS}]", -1)
-    start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("inside"), F.array().cast(_SPAN).alias("spans"))
+    # Parts go by runs of RUN, as an array that grows by one is copied each time.
+    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / RUN).cast("int")), lambda i: F.slice(parts, i * RUN + 1, RUN))
 
     def step(s: Column, part: Column) -> Column:
         end = s["at"] + F.length(part)
         grown = F.concat(s["spans"], F.array(F.struct(s["at"].alias("start"), end.alias("end"), part.alias("match"))))
         return F.struct(end.alias("at"), (~s["inside"]).alias("inside"), F.when(s["inside"], grown).otherwise(s["spans"]).alias("spans"))
 
-    return F.aggregate(parts, start, step, lambda s: s["spans"])
+    def run(s: Column, parts: Column) -> Column:
+        own = F.aggregate(parts, F.struct(s["at"].alias("at"), s["inside"].alias("inside"), F.array().cast(_SPAN).alias("spans")), step)
+        return _let(own, lambda o: F.struct(o["at"].alias("at"), o["inside"].alias("inside"), F.concat(s["runs"], F.array(o["spans"])).alias("runs")))
+
+    return F.aggregate(runs, F.struct(F.lit(0).alias("at"), F.lit(False).alias("inside"), F.array().cast(f"array<{_SPAN}>").alias("runs")), run, lambda s: F.flatten(s["runs"]))
 
 
 def _digits(match: Column) -> Column:
@@ -170,26 +185,41 @@ def _accepted(c: Column, weights: list[float]) -> Column:
     return reduce(lambda a, b: a + b, (F.lit(w) * x for w, x in zip(weights, on, strict=True))) > 0
 
 
+def _clean() -> Column:
+    return F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), _MARKS, "\x03\x03")
+
+
+def _with_spans(text: Column) -> Column:
+    """Base spans and candidates of a text, computed once."""
+    typed = lambda t, kind: F.transform(_base(t, kind), lambda s: F.struct(F.lit(KINDS.index(kind)).alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+    both = lambda t: _let(F.concat(*(typed(t, kind) for kind in BASE)), lambda base: F.struct(base.alias("base"), _candidates(t, base).alias("candidates")))
+    return _let(text, both)
+
+
+def _weights(found: DataFrame) -> list[float]:
+    """Weights of the span classifier, from counts of the candidates' votes."""
+    names = ("group", *LABELERS, "size")
+    patterns = [r.asDict() for r in found.select(F.explode("candidates").alias("c")).select(*(F.col("c")[n].alias(n) for n in names)).groupBy(*names).agg(F.count("*").alias("n")).orderBy(*names).collect()]
+    return span_classifier(patterns, reliabilities(patterns))
+
+
+def _all(found: Column, weights: list[float]) -> Column:
+    """Base spans and accepted candidates, in order."""
+    added = F.transform(F.filter(found["candidates"], lambda c: _accepted(c, weights)), lambda c: F.struct(F.when(c["group"] == 1, 3).otherwise(4).alias("kind"), c["start"].alias("start"), c["end"].alias("end")))
+    return F.array_sort(F.concat(found["base"], added))
+
+
 def personal_data(docs: DataFrame) -> DataFrame:
-    """One row per row of `docs`: doc_id, text_key, base and spans, both arrays of (kind, start, end).
+    """One row per row of `docs`: doc_id, base and spans, both arrays of (kind, start, end).
 
     `docs` needs doc_id and text; other columns are ignored. A null text is empty and
     has no spans. Rows are judged one by one, so repeated rows get the same spans.
     kind is a position in KINDS; start and end are code points, end exclusive. spans
     holds those of base and the ones the classifier adds, in order; they may overlap.
-    text_key is xxhash64 of the text.
     """
     scratch = Scratch(docs.sparkSession, "pii")
-    clean = F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), _MARKS, "\x03\x03")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), clean.alias("text"))
-    typed = lambda kind: F.transform(_base(F.col("text"), kind), lambda s: F.struct(F.lit(KINDS.index(kind)).alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
-    found = rows.select("doc_id", "text_key", "text", F.concat(*(typed(kind) for kind in BASE)).alias("base"))
-    found = scratch.keep(found.select("doc_id", "text_key", "base", _candidates(F.col("text"), F.col("base")).alias("candidates")), "found")
-    names = ("group", *LABELERS, "size")
-    patterns = [r.asDict() for r in found.select(F.explode("candidates").alias("c")).select(*(F.col("c")[n].alias(n) for n in names)).groupBy(*names).agg(F.count("*").alias("n")).orderBy(*names).collect()]
-    weights = span_classifier(patterns, reliabilities(patterns))
-    added = F.transform(F.filter("candidates", lambda c: _accepted(c, weights)), lambda c: F.struct(F.when(c["group"] == 1, 3).otherwise(4).alias("kind"), c["start"].alias("start"), c["end"].alias("end")))
-    return found.select("doc_id", "text_key", "base", F.array_sort(F.concat("base", added)).alias("spans"))
+    found = scratch.keep(docs.select(F.col("doc_id").cast("long").alias("doc_id"), _with_spans(_clean()).alias("f")).select("doc_id", "f.base", "f.candidates"), "found")
+    return found.select("doc_id", "base", _all(F.struct("base", "candidates"), _weights(found)).alias("spans"))
 
 
 def listed(spans: Column) -> Column:
@@ -199,27 +229,34 @@ def listed(spans: Column) -> Column:
 
 
 def personal_data_digest(docs: DataFrame) -> DataFrame:
-    """Counts, digest and listing of the spans of each row of `docs`."""
+    """Counts, digest and listing of the spans of each row of `docs`; n_added counts those besides the fixed patterns, n_private all."""
     found = personal_data(docs)
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == KINDS.index(kind))).cast("long").alias(f"n_{kind}")
-    return found.select("doc_id", *(count(kind) for kind in BASE), F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+    return found.select(
+        "doc_id", *(count(kind) for kind in BASE), F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"), (F.size("spans") - F.size("base")).cast("long").alias("n_added"), F.size("spans").cast("long").alias("n_private")
+    )
 
 
 def without_personal_data(docs: DataFrame) -> DataFrame:
-    """`docs` with each span replaced by its kind in angle brackets; n_chars, if there, follows the text."""
-    spans = personal_data(docs).where(F.size("spans") > 0).select(F.col("doc_id").alias("_span_id"), F.col("text_key").alias("_span_key"), "spans").dropDuplicates(["_span_id", "_span_key"])
-    keyed = docs.withColumn("_row_key", F.xxhash64("text"))
-    same = (keyed["_row_key"] == F.col("_span_key")) & keyed["doc_id"].cast("long").eqNullSafe(F.col("_span_id"))
-    joined = keyed.join(spans.withColumnRenamed("spans", "_spans"), same, "left")
-    text, names = keyed["text"].cast("string"), F.array(*(F.lit(f"<{kind.upper()}>") for kind in KINDS))
-    ordered = F.array_sort(F.transform("_spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-
-    def step(s: Column, span: Column) -> Column:
-        inside = span["start"] < s["at"]
-        grown = F.concat(s["out"], F.substring(text, s["at"] + 1, span["start"] - s["at"]), names[span["kind"]])
-        return F.struct(F.greatest(s["at"], span["end"]).alias("at"), F.when(inside, s["out"]).otherwise(grown).alias("out"))
-
-    masked = F.aggregate(ordered, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
-    new = F.when(F.col("_spans").isNotNull(), masked).otherwise(text)
-    out = {"text": new, "n_chars": F.length(new).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {"text": new}
-    return joined.select(*(out[c].alias(c) if c in out else keyed[f"`{c}`"] for c in docs.columns))
+    """`docs` with each span replaced by its kind in angle brackets; n_chars, if there, follows the text.
+
+    Spans are found twice, once to fit the classifier and once where they are
+    replaced, so no text is shuffled. All other columns stay as they are.
+    """
+    weights = _weights(docs.select(_with_spans(_clean()).alias("f")).select("f.candidates"))
+    text, names = F.col("text").cast("string"), F.array(*(F.lit(f"<{kind.upper()}>") for kind in KINDS))
+
+    def masked(spans: Column) -> Column:
+        ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+
+        def step(s: Column, span: Column) -> Column:
+            grown = F.concat(s["out"], F.array(F.substring(text, s["at"] + 1, span["start"] - s["at"]), names[span["kind"]]))
+            return F.struct(F.greatest(s["at"], span["end"]).alias("at"), F.when(span["start"] < s["at"], s["out"]).otherwise(grown).alias("out"))
+
+        begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+        return F.aggregate(ordered, begin, step, lambda s: F.concat(F.array_join(s["out"], ""), F.substring(text, s["at"] + 1, F.length(text))))
+
+    (new,) = fresh(docs, "new_text")
+    held = docs.withColumn(new, _let(_with_spans(_clean()), lambda f: _let(_all(f, weights), lambda spans: F.when(F.size(spans) > 0, masked(spans)).otherwise(text))))
+    out = {"text": F.col(new), "n_chars": F.length(new).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {"text": F.col(new)}
+    return held.select(*(out[c].alias(c) if c in out else held[f"`{c}`"] for c in docs.columns))

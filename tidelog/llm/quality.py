@@ -8,15 +8,12 @@ arrays. Neither labels nor lang, source or doc_id are inputs of a score.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .scratch import Scratch
 from .trees import Forest, fit
 
 SAMPLE_ROWS = 20_000
@@ -93,51 +90,49 @@ def statistics(c: tk.Chunk) -> np.ndarray:
     ).astype(np.float32)
 
 
-def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for c in tk.chunks(batch.column("text")):
-            x = statistics(c)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(n).slice(c.lo, c.rows) for n in ("doc_id", "text_key")] + [pa.ListArray.from_arrays(pa.array(np.arange(c.rows + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))], names=["doc_id", "text_key", "x"]
-            )
+def _measured(text: pa.Array) -> pa.Array:
+    x = np.concatenate([*(statistics(c) for c in tk.chunks(text)), np.zeros((0, len(FEATURES)), np.float32)])
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * len(FEATURES), pa.int32()), pa.array(x.ravel()))
 
 
-def _apply(forest: Forest | None):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, len(FEATURES)).astype(np.float64)
-            score = forest.probability(x) if forest else np.ones(len(x))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(score, pa.float64())], names=["doc_id", "text_key", "score"])
+def _scored(forest: Forest | None):
+    def score(text: pa.Array) -> pa.Array:
+        parts = [forest.probability(statistics(c).astype(np.float64)) if forest else np.ones(c.rows) for c in tk.chunks(text)]
+        return pa.array(np.concatenate([*parts, np.zeros(0)]), pa.float64())
 
-    return run
+    return F.arrow_udf(score, "double")
 
 
 def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def classifier(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Forest | None:
+    """Trees fitted to at most `sample_rows` labelled rows, those whose ids have the smallest hashes; None without both labels."""
+    usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("quality in (0, 1) and doc_id is not null").where(~held_out())
+    taught = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(usable, "doc_id")
+    order = F.xxhash64("doc_id")
+    n = taught.select("doc_id").count()
+    if n > 2 * sample_rows:  # a fifth more than wanted, so that the driver is sent few rows besides
+        taught = taught.where(order < int(-(2**63) + 2**64 * (1.2 * sample_rows / n)))
+    sample = taught.select("doc_id", F.xxhash64("text").alias("text_key"), "quality", F.arrow_udf(_measured, "array<float>")("text").alias("x")).orderBy(order, "text_key", "quality").limit(sample_rows).select("x", "quality").toPandas()
+    return fit(np.stack(sample["x"].to_numpy()).astype(np.float64), sample["quality"].to_numpy(np.float64)) if sample["quality"].nunique() == 2 else None
+
+
 def quality(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, accept: float = ACCEPT) -> DataFrame:
-    """One row per row of `docs`: doc_id, held_out, score, predicted, text_key.
+    """One row per row of `docs`: doc_id, held_out, score, predicted.
 
     `docs` needs doc_id and text, `labels` doc_id and quality (0 or 1). Null and
     blank texts are scored like any other, by their statistics, which are zero.
     Labels that are null or belong to no document teach nothing; a doc_id with
     several labels teaches each of them. Without any usable label every score is 1,
-    as nothing speaks against a document. text_key is xxhash64 of the text.
+    as nothing speaks against a document.
     """
-    scratch = Scratch(docs.sparkSession, "quality")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), F.col("text").cast("string").alias("text"))
-    measured = scratch.keep(rows.mapInArrow(_measure, "doc_id long, text_key long, x array<float>"), "measured")
-    usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("quality in (0, 1) and doc_id is not null").where(~held_out())
-    taught = measured.join(usable, "doc_id").orderBy(F.xxhash64("doc_id"), "text_key", "quality").limit(sample_rows).select("x", "quality").toPandas()
-    forest = fit(np.stack(taught["x"].to_numpy()).astype(np.float64), taught["quality"].to_numpy(np.float64)) if taught["quality"].nunique() == 2 else None
-    scored = measured.mapInArrow(_apply(forest), "doc_id long, text_key long, score double")
-    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= accept).cast("int").alias("predicted"), "text_key")
-
-
-def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of `docs` whose text the classifier accepts, all columns as they are."""
-    bad = quality(docs, labels).where("predicted = 0").select("doc_id", F.col("text_key").alias("_bad_key")).distinct().withColumnRenamed("doc_id", "_bad_id")
-    keyed = docs.withColumn("_row_key", F.xxhash64("text"))
-    same = (keyed["_row_key"] == F.col("_bad_key")) & keyed["doc_id"].cast("long").eqNullSafe(F.col("_bad_id"))
-    return keyed.join(bad, same, "left_anti").select(*[keyed[f"`{c}`"] for c in docs.columns])
+    score = _scored(classifier(docs, labels, sample_rows))(F.col("text").cast("string"))
+    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), score.alias("score"))
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= accept).cast("int").alias("predicted"))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, accept: float = ACCEPT) -> DataFrame:
+    """The rows of `docs` whose text the classifier accepts, all columns as they are. Edge cases are those of `quality`."""
+    return docs.where(_scored(classifier(docs, labels))(F.col("text").cast("string")) >= accept)

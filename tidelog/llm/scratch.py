@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; a folder of our own where it is unset (local runs)."""
+    """The cluster's spark.checkpoint.dir. A local session without one gets a folder of its own; on a cluster that would be each machine's own, so it is refused."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="tidelog-scratch-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
