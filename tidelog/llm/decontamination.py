@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
+from .tables import short_batches
 
 SHINGLE = 5
 SIMILAR = 0.75
@@ -177,6 +178,7 @@ def _holds(each):
 
 def _searches(benchmark: DataFrame, similar: float) -> list:
     """A search for each block of items."""
+    short_batches(benchmark.sparkSession)
     asked = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     n = max(1, -(-asked.count() // BLOCK_ITEMS))
     block = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
+from .tables import short_batches
 from .trees import Forest, fit
 
 SAMPLE_ROWS = 20_000
@@ -109,6 +110,7 @@ def held_out(doc_id: str = "doc_id"):
 
 def classifier(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Forest | None:
     """Trees fitted to at most `sample_rows` labelled rows, those whose ids have the smallest hashes; None without both labels."""
+    short_batches(docs.sparkSession)
     usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("quality in (0, 1) and doc_id is not null").where(~held_out())
     taught = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(usable, "doc_id")
     order = F.xxhash64("doc_id")

@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .tables import short_batches
+
 
 def shared_root(spark: SparkSession) -> str:
     """The cluster's spark.checkpoint.dir. A local session without one gets a folder of its own; on a cluster that would be each machine's own, so it is refused."""
@@ -30,6 +32,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
+        short_batches(spark)
         self.base = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
     def path(self, name: str) -> str:
