@@ -97,15 +97,21 @@ def test_repeats(docs, hot, monkeypatch):
     shift = [(100 + i, f"{'ab' * i} {rng.random()} {PASSAGE[: 700 - 9 * i]} {rng.random()}", None, None, None, None, None, None) for i in range(40)]
     docs = docs.unionByName(docs.sparkSession.createDataFrame(shift, SCHEMA))
     data = [(r[0], r[1].encode()) for r in shift] + [(i, (t or "").encode()) for i, t in enumerate(TEXTS)] + [(5, BASE.encode()), (None, b"no id here")]
+    def covered(units, length, seen):
+        gone = bytearray(len(units))
+        for p in range(len(units) - length + 1):
+            if seen[units[p : p + length]] > 1:
+                gone[p : p + length] = b"\1" * length
+        return gone
+
+    words = [tuple(b.split()) for _, b in data]
     seen = Counter(b[i : i + 400] for _, b in data for i in range(len(b) - 399))
+    passages = Counter(w[i : i + 50] for w in words for i in range(len(w) - 49))
     want = Counter()
-    for i, b in data:
-        gone = bytearray(len(b))
-        for p in range(len(b) - 399):
-            if seen[b[p : p + 400]] > 1:
-                gone[p : p + 400] = b"\1" * 400
+    for (i, b), w in zip(data, words, strict=True):
+        gone = covered(b, 400, seen)
         left = bytes(x for x, g in zip(b, gone, strict=True) if not g)
-        want[i, len(b), sum(gone), len(re.findall(b"\1+", bytes(gone))), hashlib.sha256(left).hexdigest()] += 1
+        want[i, len(b), sum(gone), len(re.findall(b"\1+", bytes(gone))), hashlib.sha256(left).hexdigest(), sum(covered(w, 50, passages))] += 1
     assert Counter(tuple(r) for r in repeats.without_repeats(docs).collect()) == want
 
 

@@ -53,6 +53,13 @@ def prefix_sums(data: np.ndarray, table: np.ndarray = _BYTE) -> np.ndarray:
     return s
 
 
+def value_sums(values: np.ndarray) -> np.ndarray:
+    """As prefix_sums, of 64-bit values as they are."""
+    s = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * _power(_BASE, len(values)), out=s[1:])
+    return s
+
+
 def span_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Fingerprints of byte spans; equal bytes at any place get equal values."""
     return mix((sums[ends] - sums[starts]) * _power(_BASE_INV, len(sums))[starts] + (ends - starts).astype(np.uint64))
