@@ -9,7 +9,9 @@ import textwrap
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tidelog.llm import class_lm, decontamination, embedding_join, graph, licenses, minhash, packing, pii, quality, repeats, sharding
@@ -218,6 +220,54 @@ def test_sharding(docs):
     assert sharding.contents(store, docs).where("not settled").count() == 0
 
 
+def test_store_tiers_versions_and_two_writers(spark, tmp_path):
+    root = f"file://{tmp_path}/store"
+    store = sharding.ShardStore(spark, root, target_bytes=64 << 10)
+    rows = lambda a, b: spark.range(a, b).select("id", F.sha2(F.col("id").cast("string"), 256).alias("x")).coalesce(1)
+    for i in range(5):
+        store.append(rows(100 * i, 100 * i + 100))
+    assert store.version() == 5 and len(store.manifest()) == 5 and len(store.manifest(2)) == 2
+    before = {s.path for s in store.manifest()}
+    assert store.compact() == 6 and len(store.manifest()) == 1 and not {s.path for s in store.manifest()} & before
+    assert sorted(r["id"] for r in store.read().collect()) == list(range(500)) and store.read(3).count() == 300
+    # A writer that dies after its claim blocks others only for a while.
+    store._fs.createNewFile(store._hadoop.Path(f"{root}/manifest/{7:012d}.claim-0"))
+    with pytest.raises(sharding.ConcurrentCommit):
+        store.append(rows(500, 510))
+    patient = sharding.ShardStore(spark, root, target_bytes=64 << 10, claim_seconds=0)
+    assert patient.append(rows(500, 510)) == 7 and patient.read().count() == 510
+    # Of two writers after one version, one fails; vacuuming spares what a writer is about to commit.
+    late = store._written(rows(510, 520))
+    store.vacuum()
+    assert store._commit(store.manifest(7) + late, 7) == 8 and store.read().count() == 520
+    with pytest.raises(sharding.ConcurrentCommit):
+        store._commit(store.manifest(7), 7)
+    store.vacuum(grace_seconds=0)
+    assert store.read().count() == 520 and store.version() == 8
+    empty = sharding.sharded(spark.range(0).selectExpr("id as doc_id", "'' as text"))
+    assert sharding.contents(empty, spark.range(0).selectExpr("id as doc_id", "'' as text")).count() == 0
+
+
+def test_multikey_order_against_sorting(spark):
+    draw = random.Random(4)
+    data = bytes(draw.choice(b"ab\x00\xff") for _ in range(3000)) * 2
+    units = np.frombuffer(data, np.uint8)
+    starts = np.array(draw.sample(range(len(data) - 40), 800))
+    keys, step = repeats.BYTES.keys(units)
+    order, equal = repeats.multikey_order(keys, starts, 40, step)
+    found = [data[s : s + 40] for s in starts[order]]
+    assert found == sorted(found) and equal.tolist() == [i > 0 and found[i] == found[i - 1] for i in range(len(found))] and equal.any()
+
+
+def test_long_words_that_sums_confuse(spark):
+    thue = "a"
+    for _ in range(11):
+        thue += thue.translate(str.maketrans("ab", "ba"))
+    other = thue.translate(str.maketrans("ab", "ba"))
+    rows = packing.pack(spark.createDataFrame([(1, thue), (2, other)], "doc_id long, text string")).collect()
+    assert len({r["ids_crc32"] for r in rows if r["piece"] == 0}) == 2
+
+
 def test_vectors(spark):
     nan = float("nan")
     rows = [(1, [1.0, 0.0], 1), (2, [1.0, 0.01], 1), (3, [1.0, 0.0], 2), (4, None, 1), (5, [0.0, 0.0], 1), (6, [nan, 1.0], 1), (7, [1.0, 0.0], None), (8, [2.0, 0.0], 1), (8, [0.0, 1.0], 1), (9, [None, 1.0], 1)]

@@ -9,7 +9,12 @@ of their partitions: no row is shuffled, and no task holds more than a batch.
 Every change writes new files first and then commits a manifest that names all live
 shards. The commit claims its version by creating a file that must not exist, then
 renames the finished manifest into place, so a reader sees the old version or the new
-one, and of two writers one fails and can retry. Files outside the manifest, as a
+one, and of two writers one fails and can retry. A writer that dies after its claim
+blocks nobody for longer than CLAIM_SECONDS: then the version may be claimed anew, and
+a late writer whose claim has been overtaken gives up. Creating a file that must not
+exist has to be atomic, as on HDFS and local disks; on object stores it is where the
+connector offers conditional puts. Vacuuming spares unnamed files younger than
+GRACE_SECONDS, which a writer may be about to commit. Files outside the manifest, as a
 failed or lost task leaves them, are never read. As with Spark's own file index, the
 list of files is held by the driver; rows are not.
 """
@@ -18,6 +23,7 @@ from __future__ import annotations
 
 import json
 import math
+import time
 import uuid
 from dataclasses import asdict, dataclass
 
@@ -30,6 +36,9 @@ TARGET_BYTES = 128 << 20
 FANOUT = 4
 MERGE = 4
 ARRIVAL_ROWS = 2000
+#: Age from which a claim without a manifest counts as dead, and from which a file without a manifest may go.
+CLAIM_SECONDS = 900
+GRACE_SECONDS = 24 * 3600
 #: Files of one merge job.
 AT_ONCE = 10_000
 
@@ -45,8 +54,8 @@ class Shard:
 
 
 class ShardStore:
-    def __init__(self, spark: SparkSession, root: str, target_bytes: int = TARGET_BYTES, fanout: int = FANOUT, merge: int = MERGE):
-        self.spark, self.root, self.target, self.fanout, self.merge = spark, root.rstrip("/"), target_bytes, fanout, merge
+    def __init__(self, spark: SparkSession, root: str, target_bytes: int = TARGET_BYTES, fanout: int = FANOUT, merge: int = MERGE, claim_seconds: float = CLAIM_SECONDS):
+        self.spark, self.root, self.target, self.fanout, self.merge, self.claim_seconds = spark, root.rstrip("/"), target_bytes, fanout, merge, claim_seconds
         self._hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
         self._fs = self._hadoop.Path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         self._fs.mkdirs(self._hadoop.Path(f"{self.root}/manifest"))
@@ -65,16 +74,23 @@ class ShardStore:
         lines = self.spark.read.text(f"{self.root}/manifest/{version:012d}.json").collect()
         return [Shard(**json.loads(r["value"])) for r in lines]
 
+    def _claims(self, version: int) -> list:
+        """Claims of a version, oldest first."""
+        found = self._fs.globStatus(self._hadoop.Path(f"{self.root}/manifest/{version:012d}.claim-*")) or []
+        return sorted(found, key=lambda s: int(s.getPath().getName().rpartition("-")[2]))
+
     def _commit(self, shards: list[Shard], after: int) -> int:
         at = f"{self.root}/manifest/{after + 1:012d}"
         path = self._hadoop.Path
-        if self._fs.exists(path(f"{at}.claim")) or not self._fs.createNewFile(path(f"{at}.claim")):
+        before = self._claims(after + 1)
+        alive = before and time.time() - before[-1].getModificationTime() / 1000 < self.claim_seconds
+        if alive or self._fs.exists(path(f"{at}.json")) or not self._fs.createNewFile(path(f"{at}.claim-{len(before)}")):
             raise ConcurrentCommit(f"version {after + 1} is taken")
         draft = path(f"{at}.{uuid.uuid4().hex}.draft")
         out = self._fs.create(draft, False)
         out.write(bytearray("".join(json.dumps(asdict(s)) + "\n" for s in sorted(shards, key=lambda s: s.path)).encode()))
         out.close()
-        if not self._fs.rename(draft, path(f"{at}.json")):
+        if len(self._claims(after + 1)) > len(before) + 1 or self._fs.exists(path(f"{at}.json")) or not self._fs.rename(draft, path(f"{at}.json")):
             raise ConcurrentCommit(f"version {after + 1} could not be put in place")
         return after + 1
 
@@ -110,22 +126,28 @@ class ShardStore:
             merged = self._written(self.spark.read.parquet(*(s.path for s in runs)).coalesce(max(1, round(sum(s.bytes for s in runs) / self.target))))
             self._commit([s for s in live if s not in set(runs)] + merged, version)
 
-    def vacuum(self, keep: int = 1) -> None:
-        """Deletes data files that none of the newest `keep` manifests name, and older manifests."""
+    def vacuum(self, keep: int = 1, grace_seconds: float = GRACE_SECONDS) -> None:
+        """Deletes data files that none of the newest `keep` manifests name, and older manifests.
+
+        Files younger than `grace_seconds` stay; with 0, no other writer may be at work.
+        """
+        old = (time.time() - grace_seconds) * 1000
         newest = self.version()
         live = {s.path for v in range(max(1, newest - keep + 1), newest + 1) for s in self.manifest(v)}
         data = self._hadoop.Path(f"{self.root}/data")
         for folder in self._fs.listStatus(data) if self._fs.exists(data) else []:
-            files = [s.getPath() for s in self._fs.listStatus(folder.getPath())]
-            if not any(f.toString() in live for f in files):
+            files = list(self._fs.listStatus(folder.getPath()))
+            young = any(s.getModificationTime() > old for s in [folder, *files])
+            if not young and not any(s.getPath().toString() in live for s in files):
                 self._fs.delete(folder.getPath(), True)
                 continue
-            for f in files:
-                if f.getName().startswith("part-") and f.toString() not in live:
-                    self._fs.delete(f, False)
+            for s in files:
+                if s.getPath().getName().startswith("part-") and s.getPath().toString() not in live and s.getModificationTime() <= old:
+                    self._fs.delete(s.getPath(), False)
         for v in range(1, newest - keep + 1):
-            for end in ("json", "claim"):
-                self._fs.delete(self._hadoop.Path(f"{self.root}/manifest/{v:012d}.{end}"), False)
+            self._fs.delete(self._hadoop.Path(f"{self.root}/manifest/{v:012d}.json"), False)
+            for s in self._claims(v):
+                self._fs.delete(s.getPath(), False)
 
     def read(self, version: int | None = None) -> DataFrame | None:
         """The rows of a version; None if it has no shards."""
@@ -143,7 +165,7 @@ def sharded(docs: DataFrame, arrivals: int = 4, target_bytes: int = TARGET_BYTES
     for a in range(arrivals):
         store.append(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(arrivals)) == a))
         store.compact()
-        store.vacuum()
+        store.vacuum(grace_seconds=0)  # the store is this call's own
     return store
 
 

@@ -12,8 +12,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 CHUNK_BYTES = 1 << 20
+#: Bytes from which a word gets a hash of its own kind.
+LONG_WORD = 256
 
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -126,7 +129,12 @@ def words(chunk: Chunk, table: np.ndarray = _BYTE) -> Words:
     edge[chunk.at] = True
     starts = np.flatnonzero(ink[1 : n + 1] & (~ink[:n] | edge[:n]))
     ends = np.flatnonzero(ink[1 : n + 1] & (~ink[2:] | edge[1:])) + 1
-    return Words(starts, ends, span_hash(prefix_sums(chunk.data, table), starts, ends), np.searchsorted(starts, chunk.at))
+    hashes = span_hash(prefix_sums(chunk.data, table), starts, ends)
+    # Sums modulo 2**64 do not tell some very long strings apart.
+    for i in np.flatnonzero(ends - starts >= LONG_WORD):
+        raw = chunk.data[starts[i] : ends[i]].tobytes()
+        hashes[i] = xxhash.xxh3_64_intdigest(raw if table is EXACT else raw.lower())
+    return Words(starts, ends, hashes, np.searchsorted(starts, chunk.at))
 
 
 def shingles(hashes: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
