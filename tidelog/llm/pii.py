@@ -45,8 +45,10 @@ _PAIR = r"(?<![A-Za-z_])[A-Za-z_]{2,}+[\"']? ?[=:] ?[\"']?[A-Za-z0-9+/_-]{8,}+"
 _NATIONAL = r"(?<![0-9+])\(?[0-9]{3}\)?[ .-][0-9]{3}[.-][0-9]{4}(?![0-9])"
 _MARKS = "\x01\x02"
 #: Gazetteers.
-_PRIVATE_KEYS = ("password", "passwd", "pwd", "passphrase", "token", "secret", "apikey", "api_key", "access_key", "auth", "credential", "pin", "ssn")
+_PRIVATE_KEYS = r"(?:^|_)(?:pass(?:word|wd|code|phrase)?|pwd|token|secret|api_?key|(?:access|private|signing|encryption)_key|auth(?:orization)?|bearer|credentials?|cookie|session(?:_?id)?|pin|ssn|iban|otp)(?:_|$)"
 _PLAIN_KEYS = ("http", "https", "ftp", "isbn", "version", "page", "title", "note", "ref", "see", "www")
+#: Words before a key-value pair that speak of settings or of access.
+_SETTING = r"(?i)(?:^|\b(?:export|set|env|config|conf|login|user|account|header|auth|access|connect|curl)\b[^\n]{0,8}|\n\s*)$"
 _PHONE_WORDS = r"(?i)\b(?:tel|phone|call|fax|mobile|cell|ring|contact)\b"
 _SPAN = "array<struct<start:int,end:int,match:string>>"
 
@@ -106,11 +108,12 @@ def _candidates(text: Column, base: Column) -> Column:
 
     def pair(s: Column) -> Column:
         key, value = F.lower(F.regexp_extract(s["match"], "^([A-Za-z_]+)", 1)), F.regexp_extract(s["match"], "([A-Za-z0-9+/_-]+)$", 1)
+        before = F.substring(text, F.greatest(F.lit(1), s["start"] - 23), F.least(F.lit(24), s["start"]))
         mixed = value.rlike("[0-9]") & value.rlike("[A-Za-z]")
         return F.struct(
             s["start"].alias("start"), s["end"].alias("end"), (s["end"] - F.length(value)).alias("value"), F.lit(0).alias("group"),
-            vote(value.rlike("^[0-9a-f]{12,}$") | value.rlike("^[A-Za-z0-9+/_-]{20,}$"), ~value.rlike("[0-9]")).alias("regex"),
-            vote(key.isin(*_PRIVATE_KEYS), key.isin(*_PLAIN_KEYS)).alias("gazetteer"), vote(mixed, ~value.rlike("[0-9]")).alias("context"),
+            vote(value.rlike("^[0-9A-Fa-f]{12,}$") | value.rlike("^[A-Za-z0-9+/_-]{20,}$") | (mixed & (F.length(value) >= 10)), ~value.rlike("[0-9]")).alias("regex"),
+            vote(key.rlike(_PRIVATE_KEYS), key.isin(*_PLAIN_KEYS)).alias("gazetteer"), vote(s["match"].rlike("[=:] ?[\"']") | before.rlike(_SETTING), before.rlike("[?&/#]$")).alias("context"),
             F.when(F.length(value) < 12, 0).when(F.length(value) < 24, 1).otherwise(2).alias("size"),
         )
 
