@@ -13,7 +13,7 @@ is the units they span.
 2. Contexts that share leading units but differ are range-partitioned by these, with
    Spark's sampled splitters; each bucket sorts the windows of its contexts, which are
    suffixes cut at `length`, by multikey quicksort, and compares neighbours unit by
-   unit. Equal leading units share a bucket, so no repeat spans a boundary.
+   unit; windows whose fingerprint is their own are left out. Equal leading units share a bucket, so no repeat spans a boundary.
    Leading units with more than HOT different contexts are too many for one bucket.
    Their contexts are cut into blocks of STEP windows, by distance from the leading
    units. What all windows of a block have in common is counted: where it
@@ -94,16 +94,25 @@ def multikey_order(keys: np.ndarray, starts: np.ndarray, length: int, step: int)
     order = np.argsort(keys[starts], kind="stable")
     first = keys[starts[order]]
     new = np.append(True, first[1:] != first[:-1])[: len(order)]
+    changed = True
     for depth in range(step, length, step):
-        group = np.cumsum(new) - 1
-        open_ = np.flatnonzero(np.bincount(group)[group] > 1)
-        if not len(open_):
-            break
-        own, key = order[open_], keys[starts[order[open_]] + depth]
-        again = np.lexsort((key, group[open_]))
-        order[open_] = own[again]
-        key, at = key[again], group[open_]
-        new[open_] |= np.append(True, (key[1:] != key[:-1]) | (at[1:] != at[:-1]))
+        if changed:
+            group = np.cumsum(new) - 1
+            open_ = np.flatnonzero(np.bincount(group)[group] > 1)
+            if not len(open_):
+                break
+            group = group[open_]
+            begin = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+            size = np.diff(np.append(begin, len(group)))
+        key = keys[starts[order[open_]] + depth]
+        differs = key != np.repeat(key[begin], size)
+        changed = bool(differs.any())
+        if changed:
+            torn = np.repeat(np.logical_or.reduceat(differs, begin), size)
+            at, of, key = open_[torn], group[torn], key[torn]
+            again = np.lexsort((key, of))
+            order[at], key = order[at][again], key[again]
+            new[at] |= np.append(True, (key[1:] != key[:-1]) | (of[1:] != of[:-1]))
     return order, ~new
 
 
@@ -210,9 +219,14 @@ def _compare(kind: Kind):
         row = np.repeat(np.arange(table.num_rows), n)
         offset = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
         keys, step = kind.keys(data)
-        order, equal = multikey_order(keys, at[row] + offset, length, step)
-        repeated = np.zeros(len(order), bool)
-        repeated[order] = equal | np.append(equal[1:], False)
+        start = at[row] + offset
+        # A window with a fingerprint of its own equals no other and needs no place in the order.
+        prints = tk.span_hash(kind.sums(data), start, start + length)
+        _, place, times = np.unique(prints, return_inverse=True, return_counts=True)
+        some = np.flatnonzero(times[place.ravel()] > 1)
+        order, equal = multikey_order(keys, start[some], length, step)
+        repeated = np.zeros(len(start), bool)
+        repeated[some[order]] = equal | np.append(equal[1:], False)[: len(order)]
         repeated &= table.column("copies").to_numpy()[row] == 1
         first = repeated & ~(np.concatenate([[False], repeated[:-1]]) & (offset > 0))
         last = repeated & ~(np.concatenate([repeated[1:], [False]]) & (offset + 1 < n[row]))
