@@ -43,3 +43,13 @@ def severity(raw: Column) -> Column:
 def band(level: Column) -> Column:
     """Index into SERIES."""
     return F.coalesce(_lookup(BANDS, F.lower(level)), F.lit(4))
+
+
+# Documented severity tokens as numbers of the OpenTelemetry scale.
+OTEL = {"trace": 1, "debug": 5, "info": 9, "notice": 10, "warn": 13, "warning": 13, "error": 17, "critical": 18, "alert": 19, "fatal": 21, "emergency": 24}
+
+
+def otel_severity(token: Column) -> Column:
+    """1 to 24 for documented tokens, null for others."""
+    known = F.create_map(*(F.lit(x) for pair in OTEL.items() for x in pair))
+    return F.element_at(known, F.lower(F.trim(token)))

@@ -36,21 +36,23 @@ def title(html: Column) -> Column:
     return F.nullif(F.trim(F.regexp_replace(found, r"\s+", " ")), F.lit(""))
 
 
-#: What secrets look like, and the class that stands in for them.
+#: What secrets look like, and the class that stands in for them. The first group is what stands before, and stays.
+_START = "(^|[^A-Za-z0-9_])"
 SECRETS = (
-    ("PRIVATE_KEY", r"-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]*?-----END [A-Z ]*PRIVATE KEY-----"),
-    ("JWT", r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{4,}"),
-    ("AWS_KEY", r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b"),
-    ("GITHUB_TOKEN", r"\bgh[pousr]_[A-Za-z0-9]{20,}"),
-    ("API_KEY", r"\b(?:sk|xai)-[A-Za-z0-9_-]{16,}"),
-    ("BEARER", r"(?i)\bbearer\s+[A-Za-z0-9._~+/-]{12,}=*"),
-    ("URL_CREDENTIALS", r"(?<=://)[^\s/:@]+:[^\s/@]+(?=@)"),
+    ("PRIVATE_KEY", r"()-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]*?-----END [A-Z ]*PRIVATE KEY-----"),
+    ("JWT", _START + r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{4,}"),
+    ("AWS_KEY", _START + r"(?:AKIA|ASIA)[0-9A-Z]{16}"),
+    ("GITHUB_TOKEN", _START + r"gh[pousr]_[A-Za-z0-9]{20,}"),
+    ("API_KEY", _START + r"(?:sk|xai)-[A-Za-z0-9_-]{16,}"),
+    ("BEARER", r"((?:^|[^A-Za-z0-9_])[Bb][Ee][Aa][Rr][Ee][Rr][ \t]+)[A-Za-z0-9._~+/-]{12,}=*"),
+    ("URL_CREDENTIALS", r"(://)[^\s/:@]+:[^\s/@]+@"),
+    ("ASSIGNMENT", r"((?:^|[^A-Za-z0-9_])[A-Za-z0-9_-]*(?i:token|secret|password|passwd|passphrase|credential|api[_-]?key|access[_-]?key)[\"']?[ \t]*[=:][ \t]*[\"']?)[A-Za-z0-9+/_.-]{8,}"),
 )
 
 
 def redacted(text: Column) -> Column:
     for name, pattern in SECRETS:
-        text = F.regexp_replace(text, pattern, f"[REDACTED:{name}]")
+        text = F.regexp_replace(text, pattern, f"$1[REDACTED:{name}]")
     return text
 
 
@@ -58,6 +60,39 @@ def secret_classes(text: Column) -> Column:
     return F.array_compact(F.array(*(F.when(text.rlike(p), F.lit(n)) for n, p in SECRETS)))
 
 
+def lexical_overlap(asked: Column, text: Column) -> Column:
+    """How many distinct words of one text another has."""
+    return F.size(F.array_intersect(F.array_distinct(tokens(asked)), tokens(text))).cast("long")
+
+
+def feed_score(asked: Column, title: Column, snippet: Column) -> Column:
+    """2 for each asked word in the title, else 1 for each in the snippet; with four words or more, one hit is none."""
+    words, head, body = F.array_distinct(tokens(asked)), tokens(title), tokens(snippet)
+    hits = F.filter(words, lambda w: F.array_contains(head, w) | F.array_contains(body, w))
+    score = F.aggregate(hits, F.lit(0).cast("long"), lambda s, w: s + F.when(F.array_contains(head, w), 2).otherwise(1))
+    return F.when((F.size(words) >= 4) & (F.size(hits) < 2), F.lit(0).cast("long")).otherwise(score)
+
+
+def source_identity(path: Column) -> Column:
+    """A relative path with forward slashes; null for absolute paths, drives and steps upwards."""
+    slashed = F.regexp_replace(path, r"\\\\", "/")
+    parts = F.filter(F.split(slashed, "/"), lambda p: (p != "") & (p != "."))
+    bad = slashed.rlike("^/|^[A-Za-z]:") | F.array_contains(parts, "..") | (F.size(parts) == 0)
+    return F.when(~bad, F.array_join(parts, "/"))
+
+
+def citation_id(kind: Column, number: Column) -> Column:
+    return F.concat_ws(":", kind, number.cast("string"))
+
+
+def citation_parts(raw: Column, kinds: tuple[str, ...]) -> tuple[Column, Column]:
+    """Kind and number of a canonical citation id; null for leading zeros, signs, unknown kinds and numbers past 64 bits."""
+    pattern = f"^({'|'.join(kinds)}):(0|[1-9][0-9]{{0,19}})$"
+    number = F.regexp_extract(raw, pattern, 2).try_cast("decimal(20,0)")
+    good = raw.rlike(pattern) & (number <= F.lit(str(2**64 - 1)).cast("decimal(20,0)"))
+    return F.when(good, F.regexp_extract(raw, pattern, 1)), F.when(good, number)
+
+
 def exception_signature(text: Column) -> Column:
     """Type and normalised detail of the last exception line; numbers and long hexadecimal become <*>."""
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"^\s*(?:Caused by: )?(?:[\w$]+\.)*[A-Z][\w$]*(?:Exception|Error|Panic)\b"))

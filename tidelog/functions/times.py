@@ -18,6 +18,39 @@ def epoch_seconds(raw: Column) -> Column:
     return F.when((n >= 0) & ~date & (seconds <= LATEST), seconds.cast("long"))
 
 
+# Zone suffixes that always mean UTC, and those that name several zones.
+UTC_ZONES = ("Z", "UTC", "GMT", "UCT", "ZULU")
+AMBIGUOUS_ZONES = ("EST", "EDT", "CST", "CDT", "MST", "MDT", "PST", "PDT", "BST", "IST", "CET", "CEST")
+_STAMP = r"^([0-9]{4}-[0-9]{2}-[0-9]{2})[T ]([0-9]{2}:[0-9]{2}:[0-9]{2})(?:[.,][0-9]+)? ?"
+
+
+def explicit_time(raw: Column) -> tuple[Column, Column]:
+    """Whole seconds of a date and time with an offset or a UTC suffix, and why not: explicit, unresolved_local, or none."""
+    local = F.try_to_timestamp(F.concat_ws(" ", F.regexp_extract(raw, _STAMP, 1), F.regexp_extract(raw, _STAMP, 2)), F.lit("yyyy-MM-dd HH:mm:ss"))
+    rest = F.regexp_replace(F.trim(raw), _STAMP, "")
+    sign = F.when(rest.startswith("-"), -1).otherwise(1)
+    offset = r"^[+-]([01][0-9]|2[0-3]):?([0-5][0-9])$"
+    shift = sign * (F.regexp_extract(rest, offset, 1).try_cast("long") * 3600 + F.regexp_extract(rest, offset, 2).try_cast("long") * 60)
+    whole = F.trim(raw).rlike(_STAMP) & local.isNotNull()
+    seconds = F.when(whole & F.upper(rest).isin(*UTC_ZONES), F.unix_seconds(local)).when(whole & rest.rlike(offset), F.unix_seconds(local) - shift)
+    open_ = whole & ((rest == "") | F.upper(rest).isin(*AMBIGUOUS_ZONES))
+    return seconds, F.when(seconds.isNotNull(), "explicit").when(open_, "unresolved_local").otherwise("none")
+
+
+def rfc3339(seconds: Column) -> Column:
+    return F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def recency(age_days: Column, half_life: Column | float = 90.0) -> Column:
+    """1 for now, a half after the half-life; ages below 0 count as 0."""
+    return 1 / (1 + F.greatest(age_days, F.lit(0)) / half_life)
+
+
+def valid_at(start: Column, end: Column, now: Column) -> Column:
+    """start <= now < end, where a null bound is open."""
+    return F.coalesce(start <= now, F.lit(True)) & F.coalesce(now < end, F.lit(True))
+
+
 def quality(total: Column, wall: Column) -> Column:
     return F.when((total == 0) | (wall == 0), "order_only").when(total == wall, "wall").otherwise("mixed")
 

@@ -20,12 +20,18 @@ def revised(events: DataFrame, updates: DataFrame) -> DataFrame:
 
 
 def ledger(runs: DataFrame, keys: list[str], amount: str, passed: str) -> DataFrame:
-    """Sums that are unknown if any part is, a lower-of-middles integer median, and a pass rate without inconclusive runs."""
-    values = F.array_sort(F.collect_list(amount))
-    half = F.floor(F.col("known") / 2).cast("int")
-    out = runs.groupBy(*keys).agg(F.count("*").alias("runs"), F.count(amount).alias("known"), F.sum(amount).alias("total"), values.alias("v"), F.count_if(F.col(passed) == "pass").alias("passes"), F.count_if(F.col(passed).isin("pass", "fail")).alias("judged"))
-    median = F.when(F.col("known") == 0, None).when(F.col("known") % 2 == 1, F.get("v", half)).otherwise(F.floor((F.get("v", half - 1) + F.get("v", half)) / 2))
-    return out.select(*keys, "runs", F.when(F.col("known") == F.col("runs"), F.col("total")).alias("total"), median.cast("long").alias("median"), F.round(F.col("passes") / F.nullif(F.col("judged"), F.lit(0)), 6).alias("pass_rate"))
+    """Sums that are unknown if any part is, an integer median (the middles' mean, rounded down), and a pass rate without inconclusive runs.
+
+    The median comes from running sums over counts of equal amounts, so a key with very
+    many runs is never gathered. Keys must not be null.
+    """
+    out = runs.groupBy(*keys).agg(F.count("*").alias("runs"), F.count(amount).alias("known"), F.sum(amount).alias("total"), F.count_if(F.col(passed) == "pass").alias("passes"), F.count_if(F.col(passed).isin("pass", "fail")).alias("judged"))
+    counts = runs.where(F.col(amount).isNotNull()).groupBy(*keys, F.col(amount).alias("amount")).agg(F.count("*").alias("n"))
+    by = Window.partitionBy(*keys)
+    below = counts.withColumn("upto", F.sum("n").over(by.orderBy("amount"))).withColumn("known", F.sum("n").over(by))
+    middle = lambda at: F.min(F.when(F.col("upto") > at, F.col("amount")))
+    medians = below.groupBy(*keys).agg(F.floor((middle(F.floor((F.col("known") - 1) / 2)) + middle(F.floor(F.col("known") / 2))) / 2).alias("median"))
+    return out.join(medians, keys, "left").select(*keys, "runs", F.when(F.col("known") == F.col("runs"), F.col("total")).alias("total"), F.col("median").cast("long").alias("median"), F.round(F.col("passes") / F.nullif(F.col("judged"), F.lit(0)), 6).alias("pass_rate"))
 
 
 def anchors(claims: DataFrame) -> DataFrame:

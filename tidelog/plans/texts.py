@@ -38,10 +38,7 @@ def vector_topk(spark, sf_dir):
 
 def retrieval_metrics(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings")
-    asked = vectors.where("vec_id % 50 = 0")
-    ranking = retrieval.nearest_vectors(vectors, asked, 10)
-    truth = asked.select(F.col("vec_id").alias("query_id"), "label").join(vectors.select("vec_id", "label"), "label").where("vec_id <> query_id").select("query_id", "vec_id", F.lit(1.0).alias("gain"))
-    return retrieval.metrics(ranking, truth, "vec_id", 10)
+    return retrieval.label_metrics(retrieval.nearest_vectors(vectors, vectors.where("vec_id % 50 = 0"), 10), vectors, 10)
 
 
 def html_text(spark, sf_dir):
@@ -117,7 +114,19 @@ _RUNS = """r AS (SELECT l_returnflag AS role, l_suppkey AS model, l_orderkey AS
   CASE WHEN l_quantity < 20 THEN 'pass' WHEN l_quantity < 35 THEN 'fail' ELSE 'inconclusive' END AS status FROM lineitem)"""
 _RANK10 = {"key": "vec_id", "of": "n WHERE score > 0", "top": 10}
 
+
+
+def _redact_sql() -> str:
+    quoted = lambda s: "'" + s.replace("'", "''") + "'"
+    gone = "text"
+    for name, pattern in text.SECRETS:
+        gone = f"regexp_replace({gone}, {quoted(pattern)}, '\\1[REDACTED:{name}]', 'g')"
+    classes = ", ".join(f"CASE WHEN regexp_matches(text, {quoted(p)}) THEN {quoted(n)} END" for n, p in text.SECRETS)
+    return f"SELECT doc_id, array_to_string(list_filter([{classes}], lambda c: c IS NOT NULL), ',') AS classes, sha256({gone}) AS redacted_sha256 FROM documents WHERE classes <> ''"
+
+
 ORACLES = {
+    "redact_secrets": _redact_sql(),
     "dedup_exact": "SELECT sha256(coalesce(text, '')) AS content, min(doc_id) AS first_id, count(*) AS n FROM documents GROUP BY 1 HAVING n > 1",
     "bm25_search": f"WITH {_WORDS} {_RANKED.format(key='doc_id', of='bm', top=10)}",
     "tfidf_search": f"WITH {_WORDS} {_RANKED.format(key='doc_id', of='ti', top=10)}",
@@ -136,6 +145,6 @@ SELECT query_id, round(count(rank) / count(*), 6) AS recall, round(coalesce(1 /
 }
 
 #: Rows only: expression dialects differ between Spark and SQL; tests hold them against fixtures.
-ROWS_ONLY = {"html_text": html_text, "redact_secrets": redact_secrets, "line_formats": line_formats, "exception_signatures": exception_signatures, "dst_resolve": dst_resolve}
+ROWS_ONLY = {"html_text": html_text, "line_formats": line_formats, "exception_signatures": exception_signatures, "dst_resolve": dst_resolve}
 
 QUERIES = {name: globals()[name] for name in ORACLES} | ROWS_ONLY
