@@ -75,7 +75,7 @@ def feed_score(asked: Column, title: Column, snippet: Column) -> Column:
 
 def source_identity(path: Column) -> Column:
     """A relative path with forward slashes; null for absolute paths, drives and steps upwards."""
-    slashed = F.regexp_replace(path, r"\\\\", "/")
+    slashed = F.translate(path, "\\", "/")
     parts = F.filter(F.split(slashed, "/"), lambda p: (p != "") & (p != "."))
     bad = slashed.rlike("^/|^[A-Za-z]:") | F.array_contains(parts, "..") | (F.size(parts) == 0)
     return F.when(~bad, F.array_join(parts, "/"))
