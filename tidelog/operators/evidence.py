@@ -17,8 +17,10 @@ def delta(rows: DataFrame, at: str, key: str, cursor: int, limit: int = 1000) ->
 
 
 def resident(held: DataFrame, page: DataFrame, cap: int) -> DataFrame:
-    """The newest `cap` rows of two pages, each (ts, seq) once."""
-    return held.unionByName(page).dropDuplicates(["ts", "seq"]).orderBy(F.desc("ts"), F.desc("seq")).limit(cap)
+    """The newest `cap` rows of two pages, each (ts, seq) once; where the pages differ, the held row stays."""
+    both = held.withColumn("_page", F.lit(0)).unionByName(page.withColumn("_page", F.lit(1)))
+    kept = both.groupBy("ts", "seq").agg(F.min_by(F.struct(*held.columns), "_page").alias("r")).select("r.*")
+    return kept.orderBy(F.desc("ts"), F.desc("seq")).limit(cap)
 
 
 def reconciled(claims: DataFrame) -> DataFrame:

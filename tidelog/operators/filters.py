@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -34,8 +35,8 @@ class EventFilter:
     def condition(self) -> Column:
         if len(set(self.excluded_templates)) > MAX_EXCLUDED:
             raise ValueError(f"more than {MAX_EXCLUDED} excluded templates")
-        if any(x in self.pattern for x in ("(?=", "(?!", "(?<")) or len(self.pattern) > 256:
-            raise ValueError("look-around and patterns of more than 256 characters are refused")
+        if re.search(r"\(\?(?:=|!|<)|\\(?:[1-9]|k<)", self.pattern) or len(self.pattern) > 256:
+            raise ValueError("look-around, back-references and patterns of more than 256 characters are refused")
         c, out = F.col, [F.lit(True)]
         for bound, test in (
             (self.ts_from, lambda v: c("ts") >= v), (self.ts_to, lambda v: c("ts") < v), (self.seq_from, lambda v: c("seq") >= v), (self.seq_to, lambda v: c("seq") <= v), (self.trace_id, lambda v: c("trace_id") == v),
@@ -49,7 +50,7 @@ class EventFilter:
             out.append(~c("template_id").isin(*sorted(set(self.excluded_templates))))
         if self.keyword.strip():
             word = F.lit(self.keyword.lower())
-            out.append(F.lower("message").like(f"%{self.keyword.lower()}%") if self.wildcards else F.contains(F.lower("message"), word))
+            out.append(F.like(F.lower("message"), F.lit(f"%{self.keyword.lower()}%"), F.lit("\x00")) if self.wildcards else F.contains(F.lower("message"), word))
         if self.literal:
             out.append(F.contains(c("message"), F.lit(self.literal)))
         if self.pattern:

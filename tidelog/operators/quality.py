@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.maths import scaled
@@ -26,15 +26,20 @@ def concentration(events: DataFrame) -> DataFrame:
     return shares.agg(F.coalesce(F.max("share"), F.lit(0)).alias("top_share_bps"), F.least(F.floor(F.coalesce(F.sum(F.col("share") * F.col("share")), F.lit(0)) / 100), F.lit(10_000)).alias("hhi_bps"), F.coalesce(F.max("total"), F.lit(0)).alias("n"))
 
 
-def grade(events: DataFrame) -> DataFrame:
-    """One row: the score of each dimension, their weighted mean and its grade."""
-    total = events.agg(F.count("*").alias("n"), F.count("ts").alias("wall"), F.count("trace_id").alias("traced"), F.count_if(F.coalesce("level", F.lit("unknown")) != "unknown").alias("known"))
-    one = total.crossJoin(concentration(events).drop("n"))
+def grade(events: DataFrame, structured: Column, sources: DataFrame) -> DataFrame:
+    """One row: the score of each dimension, their weighted mean and its grade.
+
+    `structured` tells which events a grammar could read; `sources` has source and
+    selected for all that were found, so what was left out counts as not covered.
+    """
+    found = F.broadcast(sources.agg(F.count("*").alias("sources"), F.count_if("selected").alias("selected")))  # one row
+    total = events.agg(F.count_if(structured).alias("structured"), F.count("*").alias("n"), F.count("ts").alias("wall"), F.count("trace_id").alias("traced"), F.count_if(F.coalesce("level", F.lit("unknown")) != "unknown").alias("known"))
+    one = total.crossJoin(concentration(events).drop("n")).crossJoin(found)
     top, hhi = F.col("top_share_bps"), F.col("hhi_bps")
     percent = lambda c: F.floor(scaled(F.col(c), F.col("n")) / 100)
     crowded = F.when(top >= 5000, 35).when(top >= 2500, 15).otherwise(0) + F.when(hhi >= 4000, 20).otherwise(0)
     scores = {
-        "timestamp_certainty": percent("wall"), "selection_coverage": F.lit(100), "parse_structure": F.lit(50), "stored_level_usefulness": percent("known"), "noise_concentration_review": 80 - crowded, "trace_id_coverage": percent("traced"),
+        "timestamp_certainty": percent("wall"), "selection_coverage": F.floor(scaled(F.col("selected"), F.col("sources")) / 100), "parse_structure": percent("structured"), "stored_level_usefulness": percent("known"), "noise_concentration_review": 80 - crowded, "trace_id_coverage": percent("traced"),
     }
     mean = sum(scores[d] * w for d, w in WEIGHTS.items()) / sum(WEIGHTS.values())
     one = one.select(*(s.cast("long").alias(d) for d, s in scores.items()), F.floor(mean).cast("long").alias("score"))

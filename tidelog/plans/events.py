@@ -163,7 +163,9 @@ def quality_concentration(spark, sf_dir):
 
 
 def quality_grade(spark, sf_dir):
-    return quality.grade(events(spark, sf_dir))
+    rows = events(spark, sf_dir)
+    sources = rows.select("source").distinct().withColumn("selected", F.col("source") != "src7")
+    return quality.grade(rows, F.col("template_id") % 5 != 0, sources)
 
 
 def metric_downsample(spark, sf_dir):
@@ -255,9 +257,9 @@ GROUP BY silent, island"""),
     "quality_concentration": _with("SELECT max(n * 10000 // total) AS top_share_bps, least(CAST(sum((n * 10000 // total) * (n * 10000 // total)) AS BIGINT) // 100, 10000) AS hhi_bps, max(total) AS n FROM (SELECT count(*) AS n, (SELECT count(*) FROM e) AS total FROM e GROUP BY template_id)"),
     "quality_grade": _with("""SELECT *, CASE WHEN score >= 85 THEN 'A' WHEN score >= 70 THEN 'B' WHEN score >= 50 THEN 'C' WHEN score >= 25 THEN 'D' ELSE 'F' END AS grade FROM (
   SELECT *, (timestamp_certainty * 2500 + (selection_coverage + parse_structure + stored_level_usefulness + noise_concentration_review + trace_id_coverage) * 1500) // 10000 AS score FROM (
-  SELECT wall * 10000 // n // 100 AS timestamp_certainty, 100::BIGINT AS selection_coverage, 50::BIGINT AS parse_structure, known * 10000 // n // 100 AS stored_level_usefulness,
+  SELECT wall * 10000 // n // 100 AS timestamp_certainty, chosen * 10000 // sources // 100 AS selection_coverage, structured * 10000 // n // 100 AS parse_structure, known * 10000 // n // 100 AS stored_level_usefulness,
     CAST(80 - CASE WHEN top >= 5000 THEN 35 WHEN top >= 2500 THEN 15 ELSE 0 END - CASE WHEN hhi >= 4000 THEN 20 ELSE 0 END AS BIGINT) AS noise_concentration_review, traced * 10000 // n // 100 AS trace_id_coverage
-  FROM (SELECT count(*) AS n, count(ts) AS wall, count(trace_id) AS traced, count(*) FILTER (level <> 'unknown') AS known FROM e),
+  FROM (SELECT count(*) AS n, count(ts) AS wall, count(trace_id) AS traced, count(*) FILTER (level <> 'unknown') AS known, count(*) FILTER (template_id % 5 <> 0) AS structured, count(DISTINCT source) AS sources, count(DISTINCT source) FILTER (source <> 'src7') AS chosen FROM e),
     (SELECT max(n * 10000 // total) AS top, least(CAST(sum((n * 10000 // total) * (n * 10000 // total)) AS BIGINT) // 100, 10000) AS hhi FROM (SELECT count(*) AS n, (SELECT count(*) FROM e) AS total FROM e GROUP BY template_id))))"""),
     "metric_downsample": _with("""SELECT service, CAST(floor(ts / 21600) AS BIGINT) AS bucket, arg_min(seq, (value, ts, seq)) AS low_seq, min(value) AS low, arg_min(seq, (-value, ts, seq)) AS high_seq, max(value) AS high FROM e GROUP BY 1, 2"""),
     "revision_apply": _with("SELECT seq, CASE WHEN seq % 20 = 0 THEN ts - 3600 ELSE ts END AS ts, seq % 20 = 0 AS changed FROM e"),

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import analyses, cases, events, texts
+from . import analyses, cases, events, lines, texts
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = events.QUERIES | texts.QUERIES | cases.QUERIES | analyses.QUERIES
-ORACLES: dict[str, str] = events.ORACLES | texts.ORACLES | cases.ORACLES | analyses.ORACLES
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = events.QUERIES | texts.QUERIES | cases.QUERIES | analyses.QUERIES | lines.QUERIES
+ORACLES: dict[str, str] = events.ORACLES | texts.ORACLES | cases.ORACLES | analyses.ORACLES | lines.ORACLES
