@@ -13,7 +13,7 @@ def rows(spark, values, name="line"):
 def test_malformed_tails_stay_whole(spark):
     lines = [None, "", "<999>1 2024-01-01T00:00:00Z h a 1 - - x", "12:00:00,1 INFO [a] (b) c", "{not json", '{"msg": "a", "level": 50}', "CEF:0|v|p|1|7|name|10|", "<8>Jan  1 00:00:00 h app: m", "[2024-01-01T00:00:00,1][WARN ][x.y] [n] m"]
     found = formats.parsed(rows(spark, lines), "line").orderBy("i").collect()
-    assert [(r["format"], r["level"]) for r in found] == [("plain", "unknown"), ("plain", "unknown"), ("rfc5424", "unknown"), ("plain", "info"), ("plain", "unknown"), ("json", "error"), ("cef", "fatal"), ("syslog", "fatal"), ("elasticsearch", "warn")]
+    assert [(r["format"], r["level"]) for r in found] == [("plain", "unknown"), ("plain", "unknown"), ("plain", "unknown"), ("plain", "info"), ("plain", "unknown"), ("json", "error"), ("cef", "fatal"), ("syslog", "fatal"), ("elasticsearch", "warn")]
     assert found[4]["message"] == "{not json" and found[5]["message"] == "a" and found[6]["message"] == "name" and found[8]["ts"] is None
 
 

@@ -37,8 +37,8 @@ GRAMMARS = (
     Grammar("docker", 95, r'^\s*\{(?=[\s\S]*"log" ?:)(?=[\s\S]*"stream" ?:)[\s\S]*\}\s*$'),
     Grammar("json", 90, r"^\s*\{[\s\S]*\}\s*$"),
     Grammar("cef", 95, r"^CEF:[0-9]+\|[^|]*\|([^|]*)\|[^|]*\|[^|]*\|([^|]*)\|([0-9]+)\|", level=3, service=1, message=2),
-    Grammar("rfc5424", 95, rf"^<([0-9]{{1,3}})>1 {_TIME} (\S+) (\S+) \S+ \S+ (?:-|\[[^\]]*\]) ?([\s\S]*)$", 2, 1, 4, 5),
-    Grammar("syslog", 90, r"^<([0-9]{1,3})>([A-Z][a-z]{2} [ 0-9][0-9] [0-9:]{8}) \S+ ([^\s:\[]+)(?:\[[0-9]+\])?: ([\s\S]*)$", 0, 1, 3, 4),
+    Grammar("rfc5424", 95, rf"^<(1[0-8][0-9]|19[01]|[1-9]?[0-9])>1 {_TIME} (\S+) (\S+) \S+ \S+ (?:-|\[[^\]]*\]) ?([\s\S]*)$", 2, 1, 4, 5),
+    Grammar("syslog", 90, r"^<(1[0-8][0-9]|19[01]|[1-9]?[0-9])>([A-Z][a-z]{2} [ 0-9][0-9] [0-9:]{8}) \S+ ([^\s:\[]+)(?:\[[0-9]+\])?: ([\s\S]*)$", 0, 1, 3, 4),
     Grammar("postgres", 90, rf"^{_TIME} \[[0-9]+\] (?:\S+ )?(DEBUG[1-5]|INFO|NOTICE|WARNING|LOG|ERROR|FATAL|PANIC): +([\s\S]*)$", 1, 2, 0, 3),
     Grammar("postgres_csv", 85, rf'^{_TIME},"[^"]*","[^"]*",[0-9]+,', 1),
     Grammar("wildfly", 90, r"^[0-9]{2}:[0-9]{2}:[0-9]{2},[0-9]{3} ([A-Z]+) +\[([^\]]+)\] \([^)]*\) ([\s\S]*)$", 0, 1, 2, 3),
@@ -57,8 +57,11 @@ _NUMERIC = {10: "trace", 20: "debug", 30: "info", 40: "warn", 50: "error", 60: "
 def fingerprint(text: Column) -> Column:
     """Name of the grammar with the highest score, ambiguous if two share it, plain if none matches."""
     scored = F.array_compact(F.array(*(F.when(text.rlike(g.pattern), F.struct(F.lit(g.score).alias("score"), F.lit(g.name).alias("name"))) for g in GRAMMARS)))
-    top = F.filter(scored, lambda s: s["score"] == F.array_max(scored)["score"])
-    return F.when(F.size(scored) == 0, "plain").when(F.size(top) > 1, "ambiguous").otherwise(F.get(top, 0)["name"])
+    best = lambda found: F.array_max(F.transform(found, lambda s: s["score"]))
+    top = lambda found: F.filter(found, lambda s: s["score"] == best(found))
+    named = lambda of: F.when(F.size(of) == 0, "plain").when(F.size(of) > 1, "ambiguous").otherwise(F.get(of, F.lit(0))["name"])
+    # Arrays of one element, so that each step is computed once.
+    return F.get(F.transform(F.transform(F.array(scored), top), named), F.lit(0))
 
 
 def parsed(rows: DataFrame, text: str) -> DataFrame:
