@@ -32,7 +32,7 @@ def test_explicit_times(spark):
 def test_secrets_identities_and_citations(spark):
     given = ['token = "0123456789abcdef"', "my_api_key: abcdefgh1", "Bearer abcdefghijklmnop", "http://u:p@host/", "the token is lost", None]
     found = [r[0] for r in rows(spark, given).orderBy("i").select(text.redacted(F.col("line"))).collect()]
-    assert found == ['token = "[REDACTED:ASSIGNMENT]"', "my_api_key: [REDACTED:ASSIGNMENT]", "Bearer [REDACTED:BEARER]", "http://[REDACTED:URL_CREDENTIALS]host/", "the token is lost", None]
+    assert found == ['token = "[REDACTED:ASSIGNMENT]"', "my_api_key: [REDACTED:ASSIGNMENT]", "[REDACTED:BEARER]", "http://[REDACTED:URL_CREDENTIALS]@host/", "the token is lost", None]
     assert [r[0] for r in rows(spark, ["a\\b", "../a", "a//b/.", "C:\\x", None]).orderBy("i").select(text.source_identity(F.col("line"))).collect()] == ["a/b", None, "a/b", None, None]
     kind, number = text.citation_parts(F.col("line"), ("event",))
     assert [tuple(map(str, r)) for r in rows(spark, ["event:0", "event:01", "event:18446744073709551615", "event:18446744073709551616", "x:1"]).orderBy("i").select(kind, number).collect()] == [("event", "0"), ("None", "None"), ("event", "18446744073709551615"), ("None", "None"), ("None", "None")]

@@ -44,15 +44,19 @@ SECRETS = (
     ("AWS_KEY", _START + r"(?:AKIA|ASIA)[0-9A-Z]{16}"),
     ("GITHUB_TOKEN", _START + r"gh[pousr]_[A-Za-z0-9]{20,}"),
     ("API_KEY", _START + r"(?:sk|xai)-[A-Za-z0-9_-]{16,}"),
-    ("BEARER", r"((?:^|[^A-Za-z0-9_])[Bb][Ee][Aa][Rr][Ee][Rr][ \t]+)[A-Za-z0-9._~+/-]{12,}=*"),
+    ("BEARER", _START + r"[Bb][Ee][Aa][Rr][Ee][Rr][ \t]+[A-Za-z0-9._~+/-]{12,}=*"),
     ("URL_CREDENTIALS", r"(://)[^\s/:@]+:[^\s/@]+@"),
     ("ASSIGNMENT", r"((?:^|[^A-Za-z0-9_])[A-Za-z0-9_-]*(?i:token|secret|password|passwd|passphrase|credential|api[_-]?key|access[_-]?key)[\"']?[ \t]*[=:][ \t]*[\"']?)[A-Za-z0-9+/_.-]{8,}"),
 )
 
 
+#: What a pattern takes along behind the secret, and is put back.
+AFTER = {"URL_CREDENTIALS": "@"}
+
+
 def redacted(text: Column) -> Column:
     for name, pattern in SECRETS:
-        text = F.regexp_replace(text, pattern, f"$1[REDACTED:{name}]")
+        text = F.regexp_replace(text, pattern, f"$1[REDACTED:{name}]{AFTER.get(name, '')}")
     return text
 
 

@@ -99,7 +99,7 @@ def _redact_sql() -> str:
     quoted = lambda s: "'" + s.replace("'", "''") + "'"
     gone = "text"
     for name, pattern in text.SECRETS:
-        gone = f"regexp_replace({gone}, {quoted(pattern)}, '\\1[REDACTED:{name}]', 'g')"
+        gone = f"regexp_replace({gone}, {quoted(pattern)}, '\\1[REDACTED:{name}]{text.AFTER.get(name, '')}', 'g')"
     classes = ", ".join(f"CASE WHEN regexp_matches(text, {quoted(p)}) THEN {quoted(n)} END" for n, p in text.SECRETS)
     return f"SELECT doc_id, array_to_string(list_filter([{classes}], lambda c: c IS NOT NULL), ',') AS classes, sha256({gone}) AS redacted_sha256 FROM documents WHERE classes <> ''"
 
