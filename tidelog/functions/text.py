@@ -64,6 +64,73 @@ def secret_classes(text: Column) -> Column:
     return F.array_compact(F.array(*(F.when(text.rlike(p), F.lit(n)) for n, p in SECRETS)))
 
 
+#: What may not be shared besides secrets, in this order, and what stands for it.
+_PRIVATE = (
+    ("[credential-redacted]", r"(?i)\b(?:proxy-authorization|authorization|x-api-key|api[-_ ]?key)\b\s*[:=]\s*[\"']?(?:[a-z][a-z0-9_-]*\s+)?[^\s,;}\]]+"),
+    ("[endpoint-redacted]", r"(?i)\bhttps?://[^\s<>\"']+"),
+    ("[local-path]/$1", r"(?<![\w.\]/])(?:[A-Za-z]:[\\/]|/(?:home|Users|root|var|tmp|etc|opt|usr|mnt|srv|private)/)(?:[^\s\"'<>|:;,()\\/]+[\\/])*([^\s\"'<>|:;,()\\/]*)"),
+)
+
+
+def share_safe(text: Column, identifiers: tuple[str, ...] = (), limit: int = 4000) -> Column:
+    """Text without secrets, credentials, endpoints, folders of local paths and the given identifiers, whatever their case; cut at `limit` characters with an ellipsis."""
+    out = redacted(text)
+    for stand_in, pattern in _PRIVATE:
+        out = F.regexp_replace(out, pattern, stand_in.replace("[", "\\[").replace("]", "\\]"))
+    for name in identifiers:
+        if name.strip():
+            out = F.regexp_replace(out, r"(?iu)\Q" + name.strip() + r"\E", "[identity-redacted]")
+    return F.when(F.length(out) > limit, F.concat(F.substring(out, 1, limit), F.lit("…"))).otherwise(out)
+
+
+# Words that a search does without.
+STOP_WORDS = (
+    "who what when where which whom whose how why is are was were be been being have has had do does did the a an of in on at to for from by with about into over "
+    "after before between and or but if as than that this these those any some many much most more can could would should will just please tell me you your i we they their there here"
+).split()
+
+
+def condensed(query: Column) -> Column:
+    """The words of a question, parted by blanks, slashes and bars, without stop words."""
+    bare = lambda w: F.lower(F.regexp_replace(w, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", ""))
+    return F.array_join(F.filter(F.split(query, r"[\s/\\|]+"), lambda w: (bare(w) != "") & ~bare(w).isin(STOP_WORDS)), " ")
+
+
+# What announces something to keep, its kind and the name of the cue, and what each kind adds to salience and confidence.
+CUES = (
+    ("remember that ", "fact", "explicit_remember_that"), ("remember: ", "fact", "explicit_remember_colon"), ("please remember ", "fact", "explicit_please_remember"),
+    ("don't forget ", "fact", "explicit_dont_forget"), ("note that ", "fact", "explicit_note_that"), ("we decided ", "decision", "decision_we_decided"),
+    ("we chose ", "decision", "decision_we_chose"), ("decision: ", "decision", "decision_label"), ("i decided ", "decision", "decision_i_decided"), ("going with ", "decision", "decision_going_with"),
+    ("i prefer ", "preference", "pref_i_prefer"), ("my preference is ", "preference", "pref_my_preference"), ("i always want ", "preference", "pref_always_want"), ("please always ", "preference", "pref_please_always"),
+    ("todo: ", "task", "task_todo"), ("i need to ", "task", "task_need_to"), ("remind me to ", "task", "task_remind"),
+)
+KINDS = {"decision": (35, 15), "preference": (28, 12), "fact": (25, 10), "task": (20, 8)}
+
+
+def cues(text: Column) -> Column:
+    """Structs of cue, kind and content, one for each cue of a text: what follows its first occurrence up to the end of the sentence, of 8 characters or more."""
+    found = []
+    for words, kind, name in CUES:
+        rest = F.regexp_extract(text, r"(?is)^.*?\Q" + words + r"\E\s*([^\n.!?]*[.!?]?)", 1)
+        content = F.regexp_replace(F.trim(rest), "^[\"'`]+|[\"'`]+$", "")
+        content = F.when(F.length(content) > 500, F.concat(F.substring(content, 1, 500), F.lit("…"))).otherwise(content)
+        found.append(F.when(F.length(content) >= 8, F.struct(F.lit(name).alias("cue"), F.lit(kind).alias("kind"), content.alias("content"))))
+    return F.array_compact(F.array(*found))
+
+
+def salience(kind: Column, content: Column, cue: Column) -> tuple[Column, Column]:
+    """Salience and confidence of a memory in hundredths, 0 to 100: by kind, how plainly it was said, its length, and how concrete it is."""
+    n, low = F.greatest(F.length(content), F.lit(1)), F.lower(content)
+    base = [F.lit(15), F.lit(5)]
+    for name, (s, c) in KINDS.items():
+        base = [F.when(kind == name, s).otherwise(base[0]), F.when(kind == name, c).otherwise(base[1])]
+    plain, decided = cue.startswith("explicit_"), cue.startswith("decision_")
+    solid, vague = low.rlike("http://|https://|postgres|sqlite|port |v1|api"), low.rlike("something|maybe|i think")
+    s = 30 + base[0] + F.when(plain, 15).otherwise(0) + F.when(n < 12, -10).when((n >= 20) & (n < 200), 5).otherwise(0) + F.when(solid, 5).otherwise(0) - F.when(vague, 5).otherwise(0)
+    c = 45 + base[1] + F.when(plain, 20).when(decided, 10).otherwise(0) + F.when(n < 12, -15).when((n >= 20) & (n < 200), 10).when(n > 400, -5).otherwise(0) + F.when(solid, 8).otherwise(0) - F.when(vague, 12).otherwise(0)
+    return tuple(F.greatest(F.lit(0), F.least(F.lit(100), x)) for x in (s, c))
+
+
 def lexical_overlap(asked: Column, text: Column) -> Column:
     """How many distinct words of one text another has."""
     return F.size(F.array_intersect(F.array_distinct(tokens(asked)), tokens(text))).cast("long")

@@ -41,6 +41,16 @@ def rfc3339(seconds: Column) -> Column:
     return F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd'T'HH:mm:ss'Z'")
 
 
+def calendar_text(value: Column) -> Column:
+    """A time as C prints it (Sun Jun 15 12:00:00 2025), trimmed, if its day of the month and of the week exist; it names no zone, so it is no instant."""
+    v = F.trim(value)
+    parts = r"^(Mon|Tue|Wed|Thu|Fri|Sat|Sun) (Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec) +(\d{1,2}) (\d{2}:\d{2}:\d{2}) (\d{4})$"
+    month = F.lpad(((F.instr(F.lit("JanFebMarAprMayJunJulAugSepOctNovDec"), F.regexp_extract(v, parts, 2)) + 2) / 3).cast("int").cast("string"), 2, "0")
+    day = F.concat_ws("-", F.regexp_extract(v, parts, 5), month, F.lpad(F.regexp_extract(v, parts, 3), 2, "0"))
+    at = F.try_to_timestamp(F.concat(day, F.lit(" "), F.regexp_extract(v, parts, 4)), F.lit("yyyy-MM-dd HH:mm:ss"))
+    return F.when(v.rlike(parts) & (F.length(v) <= 64) & (F.date_format(at, "EEE") == F.regexp_extract(v, parts, 1)), v)
+
+
 def recency(age_days: Column, half_life: Column | float = 90.0) -> Column:
     """1 for now, a half after the half-life; ages below 0 count as 0."""
     return 1 / (1 + F.greatest(age_days, F.lit(0)) / half_life)

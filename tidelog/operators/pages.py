@@ -41,3 +41,9 @@ def facets(events: DataFrame, wanted: EventFilter, top: int = 200) -> DataFrame:
     counted = wanted.apply(events).select(pairs.alias("p")).groupBy("p.dimension", "p.value").agg(F.count("*").alias("n"))
     ranked = counted.withColumn("rank", F.row_number().over(Window.partitionBy("dimension").orderBy(F.desc("n"), "value")))
     return ranked.where(F.col("rank") <= top)
+
+
+def originals(events: DataFrame, after: int | None, limit: int = 512) -> DataFrame:
+    """Events and what they were made from, `limit` at a time by seq behind `after`. No lens hides an original."""
+    rows = events if after is None else events.where(F.col("seq") > after)
+    return rows.orderBy("seq").limit(limit)
