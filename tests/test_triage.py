@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidelog.operators import exceptions, ranking, rules
-from tidelog.sources import documents
+from tidelog.sources import archives, documents
 
 
 def bags(a, b):
@@ -104,3 +104,34 @@ def test_export_is_written_by_source(spark, tmp_path):
     back = spark.read.text(str(tmp_path / "out"))
     checked = documents.checked_events(back.select("source", F.lit(1).alias("line_no"), F.col("value").alias("line"))).collect()
     assert {(r.source, r.seq, r.codes) for r in checked} == {("a", 1, ""), ("b", 2, "")}
+
+
+def test_archives_in_archives(spark):
+    import io
+    import zipfile
+
+    def packed(files):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            for name, data in files.items():
+                z.writestr(name, data)
+        return out.getvalue()
+
+    third = packed({"deep.log": b"3", "fourth.zip": packed({"x": b"4"})})
+    outer = packed({"a.log": b"1", "in.zip": packed({"b.log": b"2", "third.zip": third}), "../up.log": b"no", "bomb": b"0" * 9_000_000, "bad.zip": b"nope", "d/": b""})
+    rows = spark.createDataFrame([("o.zip", bytearray(outer)), ("n.zip", None)], "identity string, content binary")
+    monstrous = {r.identity: (bytes(r.content) if r.content is not None else None, r.error) for r in archives.members(rows).collect()}
+    bomb = monstrous.pop("o.zip!/bomb")
+    assert bomb[1] in (None, "ratio_exceeded")
+    assert monstrous == {
+        "o.zip!/a.log": (b"1", None), "o.zip!/in.zip!/b.log": (b"2", None), "o.zip!/in.zip!/third.zip!/deep.log": (b"3", None), "o.zip!/in.zip!/third.zip!/fourth.zip": (None, "depth_exceeded"),
+        "o.zip!/../up.log": (None, "unsafe_path"), "o.zip!/bad.zip": (None, "not_an_archive"), "n.zip": (None, "not_an_archive"),
+    }
+
+
+def test_an_empty_corpus_has_one_finding(spark):
+    from tidelog.operators import quality
+
+    events = spark.createDataFrame([], "seq long, source string, trace_id string, level string, template_id long")
+    sources = spark.createDataFrame([], "source string, state string")
+    assert [r.id for r in quality.findings(events, F.lit("wall"), F.lit(True), sources).collect()] == ["lq.corpus.empty"]

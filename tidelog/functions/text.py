@@ -131,6 +131,20 @@ def salience(kind: Column, content: Column, cue: Column) -> tuple[Column, Column
     return tuple(F.greatest(F.lit(0), F.least(F.lit(100), x)) for x in (s, c))
 
 
+def original(record: Column, limit: int = 65_536) -> Column:
+    """What is kept of a source record: its redacted text cut at `limit` bytes between characters, its size before, and whether it was cut or redacted."""
+    bare = F.regexp_replace(record, r"\r?\n?$", "")
+    out = redacted(bare)
+    # A cut inside a character leaves a replacement character at the end, which goes.
+    cut = F.regexp_replace(F.decode(F.substring(F.encode(out, "UTF-8"), 1, limit), "UTF-8"), "\ufffd+$", "") if limit else F.lit("")
+    long = F.octet_length(out) > limit
+    return F.struct(F.when(long, cut).otherwise(out).alias("text"), F.octet_length(bare).alias("source_bytes"), F.length(out).alias("redacted_chars"), long.alias("truncated"), (out != bare).alias("redaction_applied"))
+
+
+def redacted_params(params: Column) -> Column:
+    return F.transform(params, redacted)
+
+
 def lexical_overlap(asked: Column, text: Column) -> Column:
     """How many distinct words of one text another has."""
     return F.size(F.array_intersect(F.array_distinct(tokens(asked)), tokens(text))).cast("long")

@@ -13,6 +13,7 @@ SEQ_GAP, WALL_GAP = 512, 2
 THREAD_KEYS = ("thread=", "thread_id=", "threadId=", "tid=")
 REQUEST_KEYS = ("request_id=", "requestId=", "correlation_id=", "correlationId=", "transaction_id=", "transactionId=", "trace_id=", "traceId=")
 
+_BLANK_ENDS = r"^\s+|\s+$"
 _NAME = rf"[A-Za-z0-9_][A-Za-z0-9_./: -]{{0,{THREAD - 1}}}"
 #: What may stand before the text of an exception line: level, stream and thread.
 _LEAD = rf"^\s*(?:(?:ERROR|WARN|INFO|DEBUG|FATAL|TRACE|error|warn|info|debug|fatal|trace) +)?(?:\[stderr\]\s*)?(?:\([^)]{{0,{THREAD}}}\)\s*)?"
@@ -51,7 +52,7 @@ def envelope(message: Column) -> Column:
 
 def line_role(line: Column) -> Column:
     """What a line of a pattern is in a stack trace: frame, cause, scaffold, header, or null."""
-    x = F.trim(line)
+    x = F.regexp_replace(line, _BLANK_ENDS, "")
     frame = x.rlike(r"^at |^\.\.\. | at X") | (x.contains(" at ") & x.contains(".java:"))
     cause = x.rlike(_LEAD + r"(?:Caused by:|Suppressed:)") | x.rlike(r'^--- End of inner exception|^File "')
     scaffold = x.rlike(r"^Exception in thread|Exception wrapper|^Wrapped by:|^Nested exception")
@@ -69,6 +70,20 @@ def pattern_role(pattern: Column) -> Column:
     return F.when(has("cause"), "cause_suppressed").when(has("scaffold"), "wrapper_scaffold").when(has("header"), "header_or_full_stack").when(has("frame"), "stack_frame").when(vague, "unknown_suspicious")
 
 
+def graph(message: Column) -> Column:
+    """Struct of types from the outer to the root exception, the first frame below each, the root's detail, the site, and complete."""
+    lines = F.transform(F.split(message, "\n"), lambda x: F.regexp_replace(x, _BLANK_ENDS, ""))
+    typed = r"^(?:Caused by: |Suppressed: )?((?:[\w$]+\.)*[A-Z][\w$]*(?:Exception|Error|Throwable))(?::\s*(.*))?$"
+    kept = F.filter(lines, lambda x: x.rlike(typed) | x.rlike(r"^at \S"))
+    types = F.filter(kept, lambda x: x.rlike(typed))
+    # A frame is the first below a type if the line kept before it is a type.
+    heads = F.filter(kept, lambda x, i: x.rlike(r"^at \S") & (i > 0) & F.coalesce(F.get(kept, i - 1).rlike(typed), F.lit(False)))
+    frames = F.transform(heads, lambda x: F.regexp_extract(x, r"^at ([^(\s]+)", 1))
+    names, root = F.transform(types, lambda x: F.regexp_extract(x, typed, 1)), F.get(types, F.size(types) - 1)
+    site = F.coalesce(F.get(frames, F.lit(0)), F.concat(F.lit("sig:"), F.get(names, F.size(names) - 1)), F.lit("unknown_site"))
+    return F.struct(F.array_join(names, ">").alias("types"), F.array_join(frames, ">").alias("frames"), F.coalesce(F.regexp_extract(root, typed, 2), F.lit("")).alias("root_detail"), site.alias("site"), ((F.size(types) > 0) & (F.size(frames) > 0)).alias("complete"))
+
+
 def families(renderings: DataFrame, top: int) -> DataFrame:
     """The `top` signatures by records (signature, kind, occurrence, records): records, renderings and occurrences, and records an occurrence with the remainder."""
     counted = renderings.groupBy("signature").agg(

@@ -37,3 +37,21 @@ def within_budget(hits: DataFrame, key: str, order: list, max_chars: int, max_it
     stopped = F.first(stops, ignorenulls=True).over(ranked.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     own = F.when(F.col("_fit"), "selected").when(F.coalesce(F.col("score") < min_score, F.lit(True)), "below_min_score").otherwise("echo_suppressed")
     return taken.withColumn("decision", F.coalesce(stopped, own)).drop("_fit", "_at", "_chars")
+
+
+def packed(blocks: DataFrame, key: str, order: list[Column | str], budget: int, most: int = 256) -> DataFrame:
+    """The blocks of each key that a budget of characters takes: in order, and one that does not fit is passed over for smaller ones behind it.
+
+    `blocks` has length. At most `most` blocks of a key are tried, the first by order, so
+    the fold over them is bounded; the others are not included.
+    """
+    place = F.row_number().over(Window.partitionBy(key).orderBy(*order))
+    tried = blocks.withColumn("place", place).where(F.col("place") <= most)
+    lengths = tried.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", F.col("length").cast("long").alias("length")))), lambda x: x).alias("all"))
+    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<int>").alias("taken"))
+
+    def step(s: Column, x: Column) -> Column:
+        fits = s["used"] + x["length"] <= budget
+        return F.struct((s["used"] + F.when(fits, x["length"]).otherwise(0)).alias("used"), F.when(fits, F.array_append(s["taken"], x["place"])).otherwise(s["taken"]).alias("taken"))
+
+    return lengths.select(key, F.aggregate("all", start, step).alias("s")).select(key, F.col("s.used").alias("used"), F.array_join(F.col("s.taken").cast("array<string>"), ",").alias("places"))

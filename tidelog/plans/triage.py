@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text, times
-from ..operators import episodes, exceptions, pages, ranking, rules
-from ..sources import documents
+from ..operators import episodes, exceptions, pages, quality, ranking, rules, selection
+from ..sources import archives, documents
 from ..sources.events import events, table
 from .events import _with
 
@@ -29,7 +29,7 @@ def exception_envelopes(spark, sf_dir):
     return events(spark, sf_dir).select("seq", exceptions.envelope(made).alias("e")).select("seq", "e.*")
 
 
-_PATTERNS = ("at a.B.c(C.java:7)", "ERROR [stderr] (t-1) Caused by: java.io.IOException: <*>", "java.lang.IllegalStateException: job <*>", "Exception in thread main", "a throwable came", "user <*> came")
+_PATTERNS = ("\tat a.B.c(C.java:7)", "ERROR [stderr] (t-1) Caused by: java.io.IOException: <*>", "java.lang.IllegalStateException: job <*>", "Exception in thread main", "a throwable came", "user <*> came")
 _ROLES = ("stack_frame", "cause_suppressed", "header_or_full_stack", "wrapper_scaffold", "unknown_suspicious", None)
 
 
@@ -243,6 +243,55 @@ def substring_search(spark, sf_dir):
     return ranking.substring_hits(table(spark, sf_dir, "conversations").where("text is not null").distinct(), "thANd", ["conv_id", "turn"], 200)
 
 
+def quality_findings(spark, sf_dir):
+    basis = F.when(F.col("seq") % 10 < 6, "wall").when(F.col("seq") % 10 < 7, "unresolved").otherwise("order")
+    rows = events(spark, sf_dir)
+    state = _pick(F.substring("source", 4, 1).cast("int"), *map(F.lit, ("imported", "failed", "ignored")))
+    return quality.findings(rows, basis, F.col("template_id") % 3 == 0, rows.select("source").distinct().withColumn("state", state))
+
+
+def original_records(spark, sf_dir):
+    made = F.concat("message", F.when(F.col("seq") % 3 == 0, F.lit(" password=hunter2hunter2")).otherwise(F.lit(" äöü")), F.when(F.col("seq") % 2 == 0, F.lit("\r\n")).otherwise(F.lit("\n")))
+    return events(spark, sf_dir).select("seq", text.original(made, 60).alias("o")).select("seq", "o.*")
+
+
+def exception_graphs(spark, sf_dir):
+    name = F.col("template_id").cast("string")
+    trace = _pick(
+        F.col("seq"), F.concat(F.lit("boom\napp.JobError: job "), name, F.lit("\n\tat a.B.run(B.java:5)\n\tat a.C.go(C.java:1)\nCaused by: java.io.IOException: disk "), name, F.lit("\n\tat d.E.f(E.java:9)")), F.concat(F.lit("java.lang.IllegalStateException: k"), name), F.col("message"),
+    )
+    return events(spark, sf_dir).select("seq", exceptions.graph(trace).alias("g")).select("seq", "g.*")
+
+
+def bundle_check(spark, sf_dir):
+    key = F.col("s_suppkey")
+    files = table(spark, sf_dir, "supplier").select(F.concat(F.lit("f"), key.cast("string")).alias("path"), F.encode("s_name", "UTF-8").alias("content"), key.alias("key"))
+    declared = files.where("key % 7 <> 0").select("path", F.when(F.col("key") % 5 == 0, F.lit("00")).otherwise(F.upper(F.sha2("content", 256))).alias("sha256"), (F.octet_length("content") + F.when(F.col("key") % 3 == 0, 1).otherwise(0)).cast("long").alias("n_bytes"))
+    declared = declared.unionByName(declared.where("path like '%1'")).unionByName(files.where("key % 11 = 1").select(F.concat(F.lit("g"), "path").alias("path"), F.lit("00").alias("sha256"), F.lit(1).cast("long").alias("n_bytes")))
+    return archives.verified(declared, files.select("path", "content"))
+
+
+def reviewed_selection(spark, sf_dir):
+    key = F.col("s_suppkey")
+    found = table(spark, sf_dir, "supplier").select(F.concat(F.lit("f"), key.cast("string")).alias("identity"), F.sha2("s_name", 256).alias("sha256"), key.alias("key"))
+    allowed = found.where("key % 2 = 0").select("identity", F.when(F.col("key") % 3 == 0, F.lit("old")).otherwise(F.col("sha256")).alias("sha256"))
+    return archives.selected(found.where("key % 5 <> 0"), allowed)
+
+
+def bounded_lines(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", archives.bounded(F.coalesce("text", F.lit("")), 500).alias("b")).select("doc_id", F.sha2("b.text", 256).alias("text_sha256"), "b.truncated")
+
+
+def evidence_packing(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey"), "l_linenumber", F.col("l_quantity").cast("long").alias("length"), F.col("l_suppkey") % 4)
+    return selection.packed(lines, "l_orderkey", [F.asc("l_linenumber"), F.asc("length")], 80, 6)
+
+
+def nested_update(spark, sf_dir):
+    job = F.struct(F.col("o_orderkey").alias("id"), F.struct(F.col("o_orderstatus").alias("status"), F.lit(0).alias("tries")).alias("state"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.to_json(job.withField("state.status", F.when(F.col("o_orderkey") % 2 == 0, "done").otherwise(F.col("o_orderstatus")))).alias("job"))
+
+
 _REP = """SELECT seq AS id, seq % 2 = 0 AS is_full, 'E' || (template_id % 3) AS signature, source, CASE seq % 9 WHEN 0 THEN 'a' WHEN 1 THEN 'b' END AS service, CASE WHEN seq % 4 = 0 THEN host END AS host,
   CASE WHEN seq % 3 = 0 THEN 'r' || (seq // 40) END AS request, CASE seq % 5 WHEN 0 THEN 't1' WHEN 1 THEN 't2' END AS thread, seq, ts, ts + 400 AS te, seq % 11 <> 0 AS wall FROM e WHERE level = 'error' AND ts IS NOT NULL AND seq % 13 <> 0"""
 _KEYWORD = "len(list_intersect(list_distinct(['the', 'that', 'and', 'tion', 'whthan']), list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^a-z0-9]+'), lambda w: len(w) > 1)))"
@@ -303,6 +352,26 @@ SELECT source, line_no, array_to_string(list_sort(list_filter(string_split({_sql
 UNION ALL SELECT o_orderkey, 'decision_we_decided', 'decision', 'maybe `' || o_orderkey, CASE WHEN length('maybe `' || o_orderkey) < 12 THEN 50 ELSE 60 END, CASE WHEN length('maybe `' || o_orderkey) < 12 THEN 43 ELSE 58 END FROM orders WHERE o_orderkey % 4 = 1 AND length('maybe `' || o_orderkey) >= 8
 UNION ALL SELECT o_orderkey, 'pref_i_prefer', 'preference', 'tea over number ' || o_orderkey || '.', CASE WHEN length('tea over number ' || o_orderkey || '.') >= 20 THEN 63 ELSE 58 END, CASE WHEN length('tea over number ' || o_orderkey || '.') >= 20 THEN 67 ELSE 57 END FROM orders WHERE o_orderkey % 4 = 3""",
     "calendar_times": "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 1 THEN strftime(o_orderdate, '%a %b %-d %H:%M:%S %Y') END AS local_text FROM orders",
+    "quality_findings": _with(""", t AS (SELECT count(*) AS n, count(*) FILTER (seq % 10 < 6) AS wall, count(*) FILTER (seq % 10 = 6) AS un, count(*) FILTER (template_id % 3 <> 0) AS plain, count(trace_id) AS traced, count(*) FILTER (level <> 'unknown') AS known FROM e),
+  s AS (SELECT count(DISTINCT source) FILTER (CAST(source[4:] AS INT) % 3 = 1) AS failed, count(DISTINCT source) FILTER (CAST(source[4:] AS INT) % 3 = 2) AS ignored FROM e), p AS (SELECT max(c) AS c FROM (SELECT count(*) AS c FROM e GROUP BY template_id)),
+  w AS (SELECT count(*) AS weak FROM (SELECT source FROM e GROUP BY 1 HAVING count(*) >= 2 AND count(*) FILTER (seq % 10 < 6) * 10000 // count(*) < 5000)), m AS (SELECT *, (n - wall - un) * 10000 // n AS ord, un * 10000 // n AS uns, c * 10000 // n AS top FROM t, s, p, w)
+SELECT 'lq.timestamp.order_only_dominant' AS id, 'critical' AS severity, 95 AS priority, ord AS measured FROM m WHERE ord >= 8000 UNION ALL SELECT 'lq.timestamp.mixed_certainty', 'high', 85, ord FROM m WHERE ord < 8000 AND wall > 0 AND wall < n
+UNION ALL SELECT 'lq.timestamp.unresolved_local_share', CASE WHEN uns >= 2500 THEN 'high' ELSE 'medium' END, 80, uns FROM m WHERE uns >= 500 UNION ALL SELECT 'lq.selection.failed_sources', 'high', 78, failed FROM m WHERE failed > 0
+UNION ALL SELECT 'lq.severity.stored_level_not_provenance', CASE WHEN known * 10000 // n < 7000 THEN 'high' ELSE 'info' END, CASE WHEN known * 10000 // n < 7000 THEN 72 ELSE 35 END, known * 10000 // n FROM m UNION ALL SELECT 'lq.noise.review_only_concentration', CASE WHEN top >= 5000 THEN 'high' ELSE 'medium' END, 70, top FROM m WHERE top >= 2500 AND n >= 20
+UNION ALL SELECT 'lq.timestamp.source_weak_certainty', 'medium', 65, weak FROM m WHERE weak > 0 UNION ALL SELECT 'lq.trace.low_parser_trace_id_coverage', 'medium', 60, traced * 10000 // n FROM m WHERE traced * 10000 // n < 2000 UNION ALL SELECT 'lq.parse.mostly_plain', 'medium', 55, plain * 10000 // n FROM m WHERE plain * 10000 // n >= 6000
+UNION ALL SELECT 'lq.selection.coverage_buckets', 'info', 40, ignored FROM m WHERE ignored > 0"""),
+    "original_records": _with("""SELECT seq, message || CASE WHEN seq % 3 = 0 THEN ' password=[REDACTED:ASSIGNMENT]' ELSE ' äöü' END AS whole, CASE WHEN strlen(whole) > 60 THEN whole[:60] ELSE whole END AS text, CAST(strlen(message) + CASE WHEN seq % 3 = 0 THEN 24 ELSE 7 END AS INT) AS source_bytes,
+  CAST(length(whole) AS INT) AS redacted_chars, strlen(whole) > 60 AS truncated, seq % 3 = 0 AS redaction_applied FROM e""").replace("SELECT seq, message ||", "SELECT * EXCLUDE (whole) FROM (SELECT seq, message ||") + ")",
+    "exception_graphs": _with(f"""SELECT seq, {_sql_pick('seq', "'app.JobError>java.io.IOException'", "'java.lang.IllegalStateException'", "''")} AS types, {_sql_pick('seq', "'a.B.run>d.E.f'", "''", "''")} AS frames, {_sql_pick('seq', "'disk ' || template_id", "'k' || template_id", "''")} AS root_detail,
+  {_sql_pick('seq', "'a.B.run'", "'sig:java.lang.IllegalStateException'", "'unknown_site'")} AS site, seq % 3 = 0 AS complete FROM e"""),
+    "bundle_check": """SELECT 'f' || s_suppkey AS path, CASE WHEN s_suppkey % 7 = 0 THEN 'undeclared' WHEN s_suppkey % 10 = 1 THEN 'declared_twice' WHEN s_suppkey % 3 = 0 THEN 'size_mismatch' WHEN s_suppkey % 5 = 0 THEN 'digest_mismatch' ELSE 'ok' END AS status FROM supplier
+UNION ALL SELECT 'gf' || s_suppkey, 'missing' FROM supplier WHERE s_suppkey % 11 = 1""",
+    "reviewed_selection": "SELECT 'f' || s_suppkey AS identity, CASE WHEN s_suppkey % 5 = 0 THEN 'missing' WHEN s_suppkey % 3 = 0 THEN 'changed' ELSE 'selected' END AS status FROM supplier WHERE s_suppkey % 2 = 0",
+    "bounded_lines": r"SELECT doc_id, sha256(substring(regexp_replace(coalesce(text, ''), '\r?\n?\z', ''), 1, 500)) AS text_sha256, length(regexp_replace(coalesce(text, ''), '\r?\n?\z', '')) > 500 AS truncated FROM documents",
+    "evidence_packing": """WITH RECURSIVE l AS (SELECT l_orderkey, CAST(floor(l_quantity) AS BIGINT) AS length, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, CAST(floor(l_quantity) AS BIGINT)) AS place FROM lineitem QUALIFY place <= 6),
+  f AS (SELECT l_orderkey, 0 AS place, CAST(0 AS BIGINT) AS used, '' AS places FROM (SELECT DISTINCT l_orderkey FROM l) UNION ALL SELECT l.l_orderkey, CAST(l.place AS INT), CASE WHEN used + length <= 80 THEN used + length ELSE used END, CASE WHEN used + length <= 80 THEN places || ',' || l.place ELSE places END FROM f JOIN l ON l.l_orderkey = f.l_orderkey AND l.place = f.place + 1)
+SELECT l_orderkey, used, places[2:] AS places FROM f QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY place DESC) = 1""",
+    "nested_update": """SELECT o_orderkey, '{"id":' || o_orderkey || ',"state":{"status":"' || CASE WHEN o_orderkey % 2 = 0 THEN 'done' ELSE o_orderstatus END || '","tries":0}}' AS job FROM orders""",
     "substring_search": """WITH h AS (SELECT DISTINCT conv_id, turn, role, text, instr(lower(text), 'thand') AS place FROM conversations WHERE contains(lower(text), 'thand')), x AS (SELECT *, greatest(1, place - 40) AS s FROM h)
 SELECT conv_id, turn, CASE WHEN s > 1 THEN '…' ELSE '' END || substring(text, s, 85) || CASE WHEN s + 85 <= length(text) THEN '…' ELSE '' END AS excerpt FROM x ORDER BY conv_id, turn LIMIT 200""",
 }
