@@ -135,3 +135,12 @@ def test_an_empty_corpus_has_one_finding(spark):
     events = spark.createDataFrame([], "seq long, source string, trace_id string, level string, template_id long")
     sources = spark.createDataFrame([], "source string, state string")
     assert [r.id for r in quality.findings(events, F.lit("wall"), F.lit(True), sources).collect()] == ["lq.corpus.empty"]
+
+
+def test_redacted_params_keep_their_places(spark):
+    from tidelog.functions import text
+
+    df = spark.createDataFrame([(["a", "token=abcdefgh12", None],), ([],), (None,)], "p array<string>")
+    assert [r[0] for r in df.select(text.redacted_params(F.col("p"))).collect()] == [["a", "token=[REDACTED:ASSIGNMENT]", None], [], None]
+    cut = df.limit(1).select(text.original(F.lit("aäö\n"), 4).alias("o")).first().o
+    assert (cut.text, cut.source_bytes, cut.redacted_chars, cut.truncated, cut.redaction_applied) == ("aä", 5, 3, True, False)

@@ -135,8 +135,9 @@ def original(record: Column, limit: int = 65_536) -> Column:
     """What is kept of a source record: its redacted text cut at `limit` bytes between characters, its size before, and whether it was cut or redacted."""
     bare = F.regexp_replace(record, r"\r?\n?$", "")
     out = redacted(bare)
-    # A cut inside a character leaves a replacement character at the end, which goes.
-    cut = F.regexp_replace(F.decode(F.substring(F.encode(out, "UTF-8"), 1, limit), "UTF-8"), "\ufffd+$", "") if limit else F.lit("")
+    # A cut inside a character leaves bytes that are no text, which go.
+    raw = F.substring(F.encode(out, "UTF-8"), 1, limit).cast("string")
+    cut = F.coalesce(F.try_validate_utf8(raw), F.regexp_replace(F.make_valid_utf8(raw), "\ufffd+$", ""))
     long = F.octet_length(out) > limit
     return F.struct(F.when(long, cut).otherwise(out).alias("text"), F.octet_length(bare).alias("source_bytes"), F.length(out).alias("redacted_chars"), long.alias("truncated"), (out != bare).alias("redaction_applied"))
 
