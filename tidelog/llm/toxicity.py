@@ -2,10 +2,10 @@
 
 A sentence is toxic with probability sigmoid(bias + weights of its telling words and
 beginnings of words), 0 without any. A document is clean if all its sentences are and no leak, one probability
-for all documents, strikes it: a noisy-or. Words are counted over all labelled rows in
-Spark; the FEATURES that speak most for the label (by likelihood ratio) are kept. Weights
-are fitted on the driver to at most SAMPLE_ROWS labelled rows, those with the smallest
-hashes of their ids. Neither labels nor lang, source or doc_id are inputs of a score.
+for all documents, strikes it: a noisy-or. It is learned from at most SAMPLE_ROWS labelled
+rows, those with the smallest hashes of their ids: Spark counts their words, the FEATURES
+that speak most for the label (by likelihood ratio) are kept, and weights are fitted on the
+driver. Neither labels nor lang, source or doc_id are inputs of a score.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .tables import short_batches
+from .scratch import Scratch
 
 SAMPLE_ROWS = 20_000
 FEATURES = 4096
@@ -178,24 +178,27 @@ def held_out(doc_id: str = "doc_id"):
 
 
 def detector(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, features: int = FEATURES) -> NoisyOr:
-    """Counts words over all labelled rows that are not held out and fits the weights to at most `sample_rows` of them."""
-    short_batches(docs.sparkSession)
+    """Learns from at most `sample_rows` labelled rows that are not held out, those whose ids have the smallest hashes."""
+    scratch = Scratch(docs.sparkSession, "toxicity")
     usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1) and doc_id is not null").where(~held_out())
-    taught = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(usable, "doc_id")
-    n, bad_docs = taught.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    order, n = F.xxhash64("doc_id"), texts.select("doc_id").join(usable, "doc_id").count()
+    if n > 2 * sample_rows:  # a fifth more than wanted, so that few texts are shuffled besides
+        first = order < int(-(2**63) + 2**64 * (1.2 * sample_rows / n))
+        texts, usable = texts.where(first), usable.where(first)
+    sample = texts.join(usable, "doc_id").orderBy(order, F.xxhash64("text"), "toxic").limit(sample_rows)
+    sample = scratch.keep(sample.select("toxic", "text").repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "sample")
+    n, bad_docs = sample.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     if not 0 < bad_docs < n:
         return NoisyOr(np.zeros(0, np.uint64), np.zeros(0), 0.0, float(np.log1p(-(bad_docs + 0.5) / (n + 1))))
-    words = taught.select("toxic", "text").mapInArrow(_counted, "word long, bad long, good long").groupBy("word").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    words = sample.mapInArrow(_counted, "word long, bad long, good long").groupBy("word").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     a, b, bads, goods = F.col("bad").cast("double"), F.col("good").cast("double"), float(bad_docs), float(n - bad_docs)
     term = lambda seen, own, other: F.when(seen > 0, seen * F.log(seen * n / (own * other))).otherwise(0.0)
     ratio = 2 * (term(a, a + b, bads) + term(b, a + b, goods) + term(bads - a, n - a - b, bads) + term(goods - b, n - a - b, goods))
     telling = words.where((a + b >= LEAST_DOCS) & (a * goods > b * bads)).withColumn("ratio", ratio).where(F.col("ratio") >= LEAST_RATIO).orderBy(F.desc("ratio"), "word").limit(min(features, 1 << 16))
     vocabulary = np.sort(telling.select("word").toPandas()["word"].to_numpy(np.int64).view(np.uint64))
-    order = F.xxhash64("doc_id")
-    if n > 2 * sample_rows:  # a fifth more than wanted, so that the driver is sent few rows besides
-        taught = taught.where(order < int(-(2**63) + 2**64 * (1.2 * sample_rows / n)))
-    sample = taught.select("doc_id", F.xxhash64("text").alias("text_key"), "toxic", _sampled(vocabulary)("text").alias("pairs")).orderBy(order, "text_key", "toxic").limit(sample_rows).select("toxic", "pairs").toPandas()
-    return NoisyOr(vocabulary, *fit(sample["toxic"].to_numpy(), list(sample["pairs"]), len(vocabulary)))
+    pairs = sample.select("toxic", _sampled(vocabulary)("text").alias("pairs")).toPandas()
+    return NoisyOr(vocabulary, *fit(pairs["toxic"].to_numpy(), list(pairs["pairs"]), len(vocabulary)))
 
 
 def _located(model: NoisyOr, toxic: float):
