@@ -179,9 +179,13 @@ def citation_parts(raw: Column, kinds: tuple[str, ...]) -> tuple[Column, Column]
     return F.when(good, F.regexp_extract(raw, pattern, 1)), F.when(good, number)
 
 
+#: What may stand before an exception in its line: level, stream, thread in brackets.
+LEAD = r"^\s*(?:(?:ERROR|WARN|INFO|DEBUG|FATAL|TRACE|error|warn|info|debug|fatal|trace) +)?(?:\[stderr\]\s*)?(?:\([^)]{0,96}\)\s*)?"
+
+
 def exception_signature(text: Column) -> Column:
-    """Type and normalised detail of the last exception line; numbers and long hexadecimal become <*>."""
-    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"^\s*(?:Caused by: )?(?:[\w$]+\.)*[A-Z][\w$]*(?:Exception|Error|Panic)\b"))
+    """Type and normalised detail of the last exception line, without what stands before it; numbers and long hexadecimal become <*>."""
+    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(LEAD + r"(?:Caused by: )?(?:[\w$]+\.)*[A-Z][\w$]*(?:Exception|Error|Panic)\b"))
     last = F.get(lines, F.size(lines) - 1)
-    bare = F.regexp_replace(F.lower(F.trim(F.regexp_replace(last, "^\\s*Caused by: ", ""))), r"\b(?:0x)?[0-9a-f]{8,}\b|\d+", "<*>")
+    bare = F.regexp_replace(F.lower(F.trim(F.regexp_replace(last, LEAD + "(?:Caused by: )?", ""))), r"\b(?:0x)?[0-9a-f]{8,}\b|\d+", "<*>")
     return F.array_join(F.slice(F.split(bare, r"\s+"), 1, 24), " ")

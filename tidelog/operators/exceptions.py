@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.maths import interval_gap
+from ..functions.text import LEAD
 
 # The longest prefix before [stderr], the longest thread name, and how far two renderings of one exception may be apart.
 PREFIX, THREAD = 256, 96
@@ -15,8 +16,6 @@ REQUEST_KEYS = ("request_id=", "requestId=", "correlation_id=", "correlationId="
 
 _BLANK_ENDS = r"^\s+|\s+$"
 _NAME = rf"[A-Za-z0-9_][A-Za-z0-9_./: -]{{0,{THREAD - 1}}}"
-#: What may stand before the text of an exception line: level, stream and thread.
-_LEAD = rf"^\s*(?:(?:ERROR|WARN|INFO|DEBUG|FATAL|TRACE|error|warn|info|debug|fatal|trace) +)?(?:\[stderr\]\s*)?(?:\([^)]{{0,{THREAD}}}\)\s*)?"
 
 
 def _keyed(message: Column, keys: tuple[str, ...], stop: str, good: str, within: int) -> Column:
@@ -54,9 +53,9 @@ def line_role(line: Column) -> Column:
     """What a line of a pattern is in a stack trace: frame, cause, scaffold, header, or null."""
     x = F.regexp_replace(line, _BLANK_ENDS, "")
     frame = x.rlike(r"^at |^\.\.\. | at X") | (x.contains(" at ") & x.contains(".java:"))
-    cause = x.rlike(_LEAD + r"(?:Caused by:|Suppressed:)") | x.rlike(r'^--- End of inner exception|^File "')
+    cause = x.rlike(LEAD + r"(?:Caused by:|Suppressed:)") | x.rlike(r'^--- End of inner exception|^File "')
     scaffold = x.rlike(r"^Exception in thread|Exception wrapper|^Wrapped by:|^Nested exception")
-    header = x.rlike(_LEAD + r"(?:\S+\s+){0,7}(?i:[a-z_$][\w$]*(?:\.[\w$]+)+(?<=exception|error|throwable))[:,;)\]]*(?:\s|$)")
+    header = x.rlike(LEAD + r"(?:\S+\s+){0,7}(?i:[a-z_$][\w$]*(?:\.[\w$]+)+(?<=exception|error|throwable))[:,;)\]]*(?:\s|$)")
     return F.when(frame, "frame").when(cause, "cause").when(scaffold, "scaffold").when(header, "header")
 
 
