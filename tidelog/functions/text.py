@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -42,7 +44,8 @@ SECRETS = (
     ("PRIVATE_KEY", r"()-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]*?-----END [A-Z ]*PRIVATE KEY-----"),
     ("JWT", _START + r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{4,}"),
     ("AWS_KEY", _START + r"(?:AKIA|ASIA)[0-9A-Z]{16}"),
-    ("GITHUB_TOKEN", _START + r"gh[pousr]_[A-Za-z0-9]{20,}"),
+    ("AWS_SECRET", r"((?i:aws_secret_access_key)[ \t=:]*)[A-Za-z0-9/+=]{30,}"),
+    ("GITHUB_TOKEN", _START + r"(?:gh[pousr]_|github_pat_)[A-Za-z0-9_]{20,}"),
     ("API_KEY", _START + r"(?:sk|xai)-[A-Za-z0-9_-]{16,}"),
     ("BEARER", _START + r"[Bb][Ee][Aa][Rr][Ee][Rr][ \t]+[A-Za-z0-9._~+/-]{12,}=*"),
     ("URL_CREDENTIALS", r"(://)[^\s/:@]+:[^\s/@]+@"),
@@ -54,14 +57,41 @@ SECRETS = (
 AFTER = {"URL_CREDENTIALS": "@"}
 
 
+#: A token of letters, digits, - and _ from which it may be a secret, and the different characters it has at least.
+ENTROPY_LENGTH, ENTROPY_KINDS = 32, 16
+_TOKEN = r"[A-Za-z0-9_-]+|[^A-Za-z0-9_-]+"
+
+
+def _random_looking(token: Column) -> Column:
+    """A long token of letters and digits mixed, with many different characters."""
+    mixed = (F.length(token) >= ENTROPY_LENGTH) & token.rlike("^[A-Za-z0-9_-]+$") & token.rlike("[0-9]") & token.rlike("[A-Za-z]") & ~token.contains("REDACTED")
+    return F.when(mixed, F.size(F.array_distinct(F.split(token, ""))) >= ENTROPY_KINDS).otherwise(False)
+
+
+def _long_tokens(text: Column) -> Column:
+    return text.rlike(f"[A-Za-z0-9_-]{{{ENTROPY_LENGTH},}}")
+
+
+def without_random_tokens(text: Column) -> Column:
+    """Long tokens that look random give way; only texts that hold a long token are taken apart."""
+    parts = F.transform(F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(0)), lambda t: F.when(_random_looking(t), "[REDACTED:HIGH_ENTROPY]").otherwise(t))
+    return F.when(_long_tokens(text), F.array_join(parts, "")).otherwise(text)
+
+
 def redacted(text: Column) -> Column:
+    """`text` with each secret replaced by its class, patterns first, then long tokens that look random."""
     for name, pattern in SECRETS:
         text = F.regexp_replace(text, pattern, f"$1[REDACTED:{name}]{AFTER.get(name, '')}")
-    return text
+    return without_random_tokens(text)
 
 
 def secret_classes(text: Column) -> Column:
-    return F.array_compact(F.array(*(F.when(text.rlike(p), F.lit(n)) for n, p in SECRETS)))
+    """Classes of the secrets of a text; a random-looking token counts as such outside of the other classes."""
+    left = text
+    for name, pattern in SECRETS:
+        left = F.regexp_replace(left, pattern, f"$1[REDACTED:{name}]")
+    random = F.when(_long_tokens(left), F.exists(F.regexp_extract_all(left, F.lit(_TOKEN), F.lit(0)), _random_looking))
+    return F.array_compact(F.array(*(F.when(text.rlike(p), F.lit(n)) for n, p in SECRETS), F.when(random, F.lit("HIGH_ENTROPY"))))
 
 
 #: What may not be shared besides secrets, in this order, and what stands for it.
@@ -79,7 +109,7 @@ def share_safe(text: Column, identifiers: tuple[str, ...] = (), limit: int = 400
         out = F.regexp_replace(out, pattern, stand_in.replace("[", "\\[").replace("]", "\\]"))
     for name in identifiers:
         if name.strip():
-            out = F.regexp_replace(out, r"(?iu)\Q" + name.strip() + r"\E", "[identity-redacted]")
+            out = F.regexp_replace(out, "(?iu)" + re.escape(name.strip()), "[identity-redacted]")
     return F.when(F.length(out) > limit, F.concat(F.substring(out, 1, limit), F.lit("…"))).otherwise(out)
 
 

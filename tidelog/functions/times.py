@@ -25,14 +25,18 @@ _STAMP = r"^([0-9]{4}-[0-9]{2}-[0-9]{2})[T ]([0-9]{2}:[0-9]{2}:[0-9]{2})(?:[.,][
 
 
 def explicit_time(raw: Column) -> tuple[Column, Column]:
-    """Whole seconds of a date and time with an offset or a UTC suffix, and why not: explicit, unresolved_local, or none."""
+    """Whole seconds of an epoch in digits, or of a date and time with an offset or a UTC suffix, and why not: explicit, unresolved_local, or none.
+
+    A number is taken first; a fraction behind its seconds is cut off.
+    """
+    epoch = F.when(F.trim(raw).rlike(r"^[0-9]{1,19}(?:\.[0-9]+)?$"), epoch_seconds(F.regexp_extract(F.trim(raw), r"^([0-9]+)", 1).try_cast("long")))
     local = F.try_to_timestamp(F.concat_ws(" ", F.regexp_extract(raw, _STAMP, 1), F.regexp_extract(raw, _STAMP, 2)), F.lit("yyyy-MM-dd HH:mm:ss"))
     rest = F.regexp_replace(F.trim(raw), _STAMP, "")
     sign = F.when(rest.startswith("-"), -1).otherwise(1)
     offset = r"^[+-]([01][0-9]|2[0-3]):?([0-5][0-9])$"
     shift = sign * (F.regexp_extract(rest, offset, 1).try_cast("long") * 3600 + F.regexp_extract(rest, offset, 2).try_cast("long") * 60)
     whole = F.trim(raw).rlike(_STAMP) & local.isNotNull()
-    seconds = F.when(whole & F.upper(rest).isin(*UTC_ZONES), F.unix_seconds(local)).when(whole & rest.rlike(offset), F.unix_seconds(local) - shift)
+    seconds = F.when(epoch.isNotNull(), epoch).when(whole & F.upper(rest).isin(*UTC_ZONES), F.unix_seconds(local)).when(whole & rest.rlike(offset), F.unix_seconds(local) - shift)
     open_ = whole & ((rest == "") | F.upper(rest).isin(*AMBIGUOUS_ZONES))
     return seconds, F.when(seconds.isNotNull(), "explicit").when(open_, "unresolved_local").otherwise("none")
 

@@ -54,9 +54,15 @@ def lane_quality(lanes: DataFrame, loaded: DataFrame) -> DataFrame:
 def due(watchers: DataFrame, runs: DataFrame, now: int, least: int = 60) -> DataFrame:
     """Enabled watchers that are due: never run, or longer ago than their interval and a jitter that their id fixes.
 
+    The jitter is the number in the first eight bytes, lowest first, of the sha256 of the id as
+    text, modulo a tenth of the interval (1 to 60 seconds) and one.
     `watchers` has id, enabled and every (seconds, at least `least`), `runs` id and last_ts.
     """
     every = F.greatest(F.col("every"), F.lit(least))
-    jitter = F.pmod(F.col("id") * 48271, F.floor(every / 10) + 1)
+    digest = F.sha2(F.col("id").cast("string").cast("binary"), 256)
+    octets = F.concat(*(F.substring(digest, 2 * i + 1, 2) for i in range(7, -1, -1)))
+    window = F.least(F.greatest(F.floor(every / 10), F.lit(1)), F.lit(60)).cast("long") + 1
+    half = lambda at: F.conv(F.substring(octets, at, 8), 16, 10).cast("long")
+    jitter = ((half(1) % window) * ((F.lit(1 << 32) % window)) + half(9)) % window
     joined = watchers.where("enabled").join(runs, "id", "left")
     return joined.where(F.col("last_ts").isNull() | (F.lit(now) - F.col("last_ts") >= every + jitter)).select("id", "last_ts", jitter.alias("jitter"))

@@ -13,8 +13,13 @@ def latest(rows: DataFrame, key: str, *order: str) -> DataFrame:
 
 
 def revised(events: DataFrame, updates: DataFrame) -> DataFrame:
-    """Events with the times of `updates` (seq, expected_ts, new_ts) where the expected time still holds."""
-    joined = events.join(updates, "seq", "left")
+    """Events with the times of `updates` (seq, expected_ts, new_ts) where the expected time still holds.
+
+    A seq with several updates keeps its time, as none of them is the one meant; `state.apply_times`
+    refuses such updates as a whole.
+    """
+    single = updates.groupBy("seq").agg(F.count("*").alias("_n"), F.min("expected_ts").alias("expected_ts"), F.min("new_ts").alias("new_ts")).where("_n = 1").drop("_n")
+    joined = events.join(single, "seq", "left")
     hold = F.col("ts").eqNullSafe(F.col("expected_ts")) & F.col("new_ts").isNotNull()
     return joined.select("seq", F.when(hold, F.col("new_ts")).otherwise(F.col("ts")).alias("ts"), F.coalesce(hold, F.lit(False)).alias("changed"))
 

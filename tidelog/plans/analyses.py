@@ -338,7 +338,7 @@ r AS (SELECT other AS id, score * 0.85::DOUBLE AS score, true AS reached FROM n
 SELECT id, round(max(score), 6) AS score, bool_and(reached) AS reached FROM (SELECT id, score, false AS reached FROM h UNION ALL SELECT id, score, reached FROM r) GROUP BY 1""",
     "lane_sources": "SELECT s_suppkey, array_to_string(list_sort(list_intersect(['src' || (s_suppkey % 8), 'src' || ((s_suppkey + 1) % 8), 'src' || ((s_suppkey + 4) % 8), 'src' || ((s_suppkey + 9) % 8)], ['src0', 'src2', 'src3', 'src5'])), ',') AS sources FROM supplier",
     "uncited_evidence": "SELECT p_partkey AS evidence, p_brand FROM part WHERE p_size > 10 AND p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 40)",
-    "watchers_due": """WITH w AS (SELECT c_custkey AS id, greatest(c_custkey % 30 * 86400 * 20, 60) AS every, (c_custkey * 48271) % (greatest(c_custkey % 30 * 86400 * 20, 60) // 10 + 1) AS jitter FROM customer WHERE c_mktsegment <> 'BUILDING'),
+    "watchers_due": """WITH w AS (SELECT c_custkey AS id, greatest(c_custkey % 30 * 86400 * 20, 60) AS every, CAST(list_reduce(list_transform(range(7, -1, -1), lambda i: CAST('0x' || substr(sha256(c_custkey::VARCHAR), 2 * i + 1, 2) AS BIGINT)::HUGEINT), lambda a, b: a * 256 + b) % (least(greatest(greatest(c_custkey % 30 * 86400 * 20, 60) // 10, 1), 60) + 1) AS BIGINT) AS jitter FROM customer WHERE c_mktsegment <> 'BUILDING'),
 r AS (SELECT o_custkey AS id, max(CAST(floor(epoch(o_orderdate)) AS BIGINT)) AS last_ts FROM orders GROUP BY 1)
 SELECT id, last_ts, jitter FROM w LEFT JOIN r USING (id) WHERE last_ts IS NULL OR 1000000000 - last_ts >= every + jitter""",
     "stale_leases": "SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderstatus = 'O' AND o_orderdate <= TIMESTAMP '1996-06-30 00:00:00'",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 
@@ -130,8 +131,50 @@ def duplicate_keys(raw: Column) -> Column:
 
 
 def canonical_json(raw: Column) -> Column:
-    """JSON without blanks and with the keys of each object in order, as a variant keeps them; null for what is no JSON or has a key twice."""
-    return F.to_json(F.try_parse_json(raw))
+    """JSON without blanks and with the keys of each object in order; null for what is no JSON or has a key twice.
+
+    Spark's variant writes numbers anew. A document with a number that does not survive that, by
+    its digits or its exponent, keeps the text of its numbers instead.
+    """
+    return F.coalesce(F.to_json(F.try_parse_json(F.when(~raw.rlike(_LOSSY), raw))), F.pandas_udf(_exact, "string")(F.when(raw.rlike(_LOSSY), raw)))
+
+
+#: More digits than a double or a long keeps, or an exponent of two digits or more.
+_LOSSY = r"[0-9][0-9.]{14,}|[0-9.][eE][+-]?[0-9]{2,}"
+
+
+class _Number(str):
+    """The text of a number."""
+
+
+def _written(x) -> str:
+    if isinstance(x, _Number):
+        return str(x)
+    if isinstance(x, dict):
+        return "{" + ",".join(f"{json.dumps(k, ensure_ascii=False)}:{_written(x[k])}" for k in sorted(x)) + "}"
+    if isinstance(x, list):
+        return "[" + ",".join(map(_written, x)) + "]"
+    return json.dumps(x, ensure_ascii=False)
+
+
+def _once_each(pairs: list) -> dict:
+    if len({k for k, _ in pairs}) < len(pairs):
+        raise ValueError("a key twice")
+    return dict(pairs)
+
+
+def _no_constant(name: str):
+    raise ValueError(name)
+
+
+def _exact(raw: pd.Series) -> pd.Series:
+    def one(text):
+        try:
+            return None if text is None else _written(json.loads(text, parse_int=_Number, parse_float=_Number, parse_constant=_no_constant, object_pairs_hook=_once_each))
+        except (ValueError, RecursionError):
+            return None
+
+    return raw.map(one)
 
 
 def export_lines(events: DataFrame) -> DataFrame:
