@@ -43,8 +43,8 @@ def resolved(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
 
     A local time may fall in no period of its zone (gap), in one, or in several (fold). What is
     written behind it decides a fold if it names just one of the periods; if it names none of
-    them the reason is mismatch. A zone that `table` has not is unknown_zone, a null time
-    no_time. Only resolved times have ts and offset. Times meet periods by zone and year.
+    them the reason is mismatch. A zone that `table` has not is unknown_zone, a time outside of
+    its years out_of_range, a null time no_time. Only resolved times have ts and offset. Times meet periods by zone and year.
     """
     year = lambda second: F.floor(second / 31_557_600)
     spans = table.select(F.col("zone").alias("_zone"), (F.col("from_utc") + F.col("offset")).alias("_from"), (F.col("until_utc") + F.col("offset")).alias("_until"), F.col("offset").alias("_offset"), F.col("abbreviation").alias("_name"))
@@ -55,10 +55,10 @@ def resolved(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
     found = met.groupBy(key).agg(
         F.first("local").alias("local"), F.first("zone").alias("zone"), F.first("abbreviation").alias("abbreviation"), F.count("_offset").alias("n"), F.count_if(agrees).alias("named"), F.min(F.when(agrees, F.col("_offset"))).alias("offset")
     )
-    known = table.select(F.col("zone").alias("_known")).distinct()
+    known = table.groupBy(F.col("zone").alias("_known")).agg(F.min(F.col("from_utc") + F.col("offset")).alias("_least"), F.max(F.col("until_utc") + F.col("offset")).alias("_most"))
     told = found.join(known, F.col("zone") == F.col("_known"), "left")
     reason = (
-        F.when(F.col("local").isNull(), "no_time").when(F.col("_known").isNull(), "unknown_zone").when(F.col("n") == 0, "gap").when(F.col("named") == 1, "resolved")
+        F.when(F.col("local").isNull(), "no_time").when(F.col("_known").isNull(), "unknown_zone").when((F.col("local") < F.col("_least")) | (F.col("local") >= F.col("_most")), "out_of_range").when(F.col("n") == 0, "gap").when(F.col("named") == 1, "resolved")
         .when(F.col("named") > 1, "fold").otherwise("mismatch")
     )
     done = F.col("reason") == "resolved"
