@@ -209,9 +209,9 @@ class _Index:
         sample = rows.where(order < int(-(2**63) + 2**64 * (1.2 * SAMPLE_ROWS / n))) if n > 2 * SAMPLE_ROWS else rows
         sample = sample.orderBy(order, "rid").limit(SAMPLE_ROWS).select("q").toPandas()["q"]
         self.centroids = {}
-        for dim in sorted({len(q) for q in sample}):
-            x = np.array([q for q in sample if len(q) == dim], np.float64).reshape(-1, dim)
-            self.centroids[dim] = kmeans(x, min(LISTS, max(1, int(np.sqrt(len(x)))))) if dim else np.zeros((1, 0))
+        for dim in sorted({len(q) for q in sample} - {0}):
+            x = np.array([q for q in sample if len(q) == dim], np.float64)
+            self.centroids[dim] = kmeans(x, min(LISTS, max(1, int(np.sqrt(len(x))))))
         placed = rows.withColumn("near", _assigned(self.centroids)("q")).select("rid", "vec_id", "label", "q", F.size("q").alias("dim"), "near.list", "near.gap")
         self.parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
         line = F.monotonically_increasing_id()  # the partition's number above 33 bits of the row's
