@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import state
 from ..functions import embeddings, text
+from ..operators import retrieval, vector_graph
 from ..shared import fresh_folder
 from ..sources import documents, formats, grammars, readonly, zones
 from ..sources.events import events, table
@@ -124,3 +125,15 @@ SELECT d.doc_id, coalesce(axis, 0) AS axis, round(coalesce(share, 0), 6) AS shar
 }
 
 QUERIES = {name: globals()[name] for name in ORACLES}
+
+
+def graph_recall(spark, sf_dir):
+    """Every fiftieth vector against all, over graphs: how many of the ten nearest are found, by query."""
+    rows = table(spark, sf_dir, "embeddings")
+    asked = rows.where("vec_id % 50 = 0")
+    exact = retrieval.nearest_vectors(rows, asked, 10).select("query_id", "vec_id")
+    found = vector_graph.search(vector_graph.indexed(rows), asked, 10).select("query_id", "vec_id")
+    return exact.join(found.withColumn("hit", F.lit(1)), ["query_id", "vec_id"], "left").groupBy("query_id").agg(F.count("*").alias("n"), F.count("hit").alias("found"))
+
+
+QUERIES["graph_recall"] = graph_recall
