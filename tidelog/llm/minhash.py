@@ -143,7 +143,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similar: tuple[int,
     classes = scratch.keep(
         sketched.where("cid is not null").groupBy("cid", "hi").agg(
             F.count("*").alias("copies"), F.min("doc_id").alias("first_id"), F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("rep"), F.first("sig").alias("sig")
-        ),
+        ).withColumnRenamed("cid", "lo").withColumn("cid", F.monotonically_increasing_id()),  # equal sets have equal lo and hi; the number tells classes apart
         "classes",
     )
     posts = classes.select("cid", "copies", F.posexplode("sig").alias("pos", "value")).select(
@@ -202,9 +202,9 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similar: tuple[int,
         whole = components(more, scratch, "second").withColumnsRenamed({"node": "part", "root": "whole"})
         nodes = part.unionByName(part.select(F.col("part").alias("cid"), "part")).unionByName(more.select(F.col("a").alias("cid"), F.col("a").alias("part"))).unionByName(more.select(F.col("b").alias("cid"), F.col("b").alias("part"))).distinct()
         part = nodes.join(whole, "part", "left").select("cid", F.coalesce("whole", "part").alias("part"))
-    labelled = classes.join(part, "cid", "left").select("cid", "hi", F.coalesce("part", "cid").alias("group_key"), "first_id")
+    labelled = classes.join(part, "cid", "left").select("lo", "hi", F.coalesce("part", "cid").alias("group_key"), "first_id")
     smallest = labelled.groupBy("group_key").agg(F.min("first_id").alias("component_id"))
-    named = scratch.keep(labelled.join(smallest, "group_key").select("cid", "hi", "group_key", "component_id"), "named")
+    named = scratch.keep(labelled.join(smallest, "group_key").select(F.col("lo").alias("cid"), "hi", "group_key", "component_id"), "named")
     scratch.drop("classes", "prefix", "listed", "star", "links-1", "rare", "rest", "links-2", *(f"{a}-{b}" for a in ("first", "second") for b in ("local", "nodes", "met", "top")))
     full = sketched.where("cid is not null").join(named, ["cid", "hi"]).select("doc_id", "n_shingles", "component_id", "group_key", "text_key")
     blank = sketched.where("cid is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("group_key"), "text_key")
