@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MAX_EXCLUDED = 256
+# Bases of a time that stand for a clock.
+WALL = ("explicit_wall", "resolved_local")
 
 
 @dataclass(frozen=True)
@@ -31,6 +33,7 @@ class EventFilter:
     wildcards: bool = False  # % and _ in the keyword match anything, as in LIKE
     literal: str = ""  # case counts
     pattern: str = ""
+    wall_only: bool = False  # rows whose basis is a clock's
 
     def condition(self) -> Column:
         if len(set(self.excluded_templates)) > MAX_EXCLUDED:
@@ -55,6 +58,8 @@ class EventFilter:
             out.append(F.contains(c("message"), F.lit(self.literal)))
         if self.pattern:
             out.append(c("message").rlike(self.pattern))
+        if self.wall_only:
+            out.append(c("basis").isin(*WALL))
         return reduce(lambda a, b: a & b, out)
 
     def apply(self, events: DataFrame) -> DataFrame:

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import levels, maths, text, times
-from ..operators import changes, facts, records, retrieval, search
-from ..sources.events import WALL, events, table
+from ..operators import changes, facts, records, reports, retrieval, search
+from ..operators.filters import WALL, EventFilter
+from ..sources.events import events, table
 from .events import DAY, START, _with
 
 ASKED = "error user purchase k view"
@@ -20,7 +21,7 @@ def _basis():
 
 
 def wall_time_scope(spark, sf_dir):
-    rows = events(spark, sf_dir).withColumn("basis", _basis()).where(F.col("basis").isin(*WALL))
+    rows = EventFilter(wall_only=True).apply(events(spark, sf_dir).withColumn("basis", _basis()))
     return rows.groupBy("source", "basis").agg(F.count("*").alias("n"), F.min("ts").alias("first_ts"))
 
 
@@ -39,7 +40,7 @@ def template_facts(spark, sf_dir):
 
 
 def reduction_ratio(spark, sf_dir):
-    return events(spark, sf_dir).groupBy("source").agg(F.round(F.count("*") / F.countDistinct("template_id"), 6).alias("lines_per_template"))
+    return reports.reduction(events(spark, sf_dir), "source")
 
 
 def problem_scores(spark, sf_dir):
@@ -49,7 +50,7 @@ def problem_scores(spark, sf_dir):
 
 def ingest_confidence(spark, sf_dir):
     outcome = F.when(F.col("template_id") % 5 == 0, "plain").when(F.col("template_id") % 5 == 1, "json").otherwise("logfmt")
-    return events(spark, sf_dir).groupBy("source", outcome.alias("outcome"), _basis().alias("reason")).agg(F.count("*").alias("n"))
+    return reports.confidence(events(spark, sf_dir), "source", outcome, _basis())
 
 
 def suppression_preview(spark, sf_dir):
@@ -57,8 +58,7 @@ def suppression_preview(spark, sf_dir):
 
 
 def report_counts(spark, sf_dir):
-    lines = table(spark, sf_dir, "lineitem")
-    return lines.groupBy("l_returnflag").agg(F.countDistinct("l_orderkey").alias("cases"), F.countDistinct("l_suppkey").alias("models"), F.countDistinct("l_suppkey", "l_partkey").alias("pairs"), F.count("*").alias("runs"))
+    return reports.counted_runs(table(spark, sf_dir, "lineitem"), "l_returnflag", "l_orderkey", "l_suppkey", "l_partkey")
 
 
 def revised_event_stats(spark, sf_dir):
@@ -108,7 +108,7 @@ def embedding_plan(spark, sf_dir):
 
 def inbox_batch(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", (F.length(F.coalesce("text", F.lit(""))) % 100).alias("confidence"), (F.col("turn") * 17 % 100).alias("salience"))
-    return turns.where("confidence >= 70 and salience >= 30")
+    return reports.worth_review(turns)
 
 
 def pool_recall(spark, sf_dir):
@@ -130,14 +130,14 @@ def neighbour_expansion(spark, sf_dir):
 
 def lane_sources(spark, sf_dir):
     own = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.concat(F.lit("src"), ((F.col("s_suppkey") + i * i) % 8).cast("string")))
-    both = F.array_sort(F.array_intersect(own, F.array(*(F.lit(f"src{i}") for i in (0, 2, 3, 5)))))
+    both = reports.shared_sources(own, [f"src{i}" for i in (0, 2, 3, 5)])
     return table(spark, sf_dir, "supplier").select("s_suppkey", F.array_join(both, ",").alias("sources"))
 
 
 def uncited_evidence(spark, sf_dir):
     visible = table(spark, sf_dir, "part").where("p_size > 10").select(F.col("p_partkey").alias("evidence"), "p_brand")
     cited = table(spark, sf_dir, "lineitem").where("l_quantity > 40").select(F.col("l_partkey").alias("evidence"))
-    return visible.join(cited, "evidence", "left_anti")
+    return reports.uncovered(visible, cited, "evidence")
 
 
 def watchers_due(spark, sf_dir):
@@ -147,18 +147,16 @@ def watchers_due(spark, sf_dir):
 
 
 def stale_leases(spark, sf_dir):
-    return table(spark, sf_dir, "orders").where("o_orderstatus = 'O' and o_orderdate <= timestamp'1996-06-30 00:00:00'").select("o_orderkey", "o_orderdate").orderBy("o_orderdate", "o_orderkey")
+    return reports.stale(table(spark, sf_dir, "orders"), F.col("o_orderstatus") == "O", "o_orderdate", F.lit("1996-06-30 00:00:00").cast("timestamp"), "o_orderkey")
 
 
 def source_ranking(spark, sf_dir):
-    counts = events(spark, sf_dir).groupBy("source").agg(F.count("*").alias("n"), F.count_if(F.col("message").contains("error")).alias("hits"))
-    base = F.when(F.col("source").isin("src0", "src4"), 20).otherwise(10)
-    return counts.select("source", (base + F.when(F.col("hits") * 5 > F.col("n"), 5).otherwise(0)).cast("long").alias("score")).orderBy(F.desc("score"), "source").limit(5)
+    return reports.ranked_sources(events(spark, sf_dir), F.col("message").contains("error"), ["src0", "src4"], 5)
 
 
 def page_with_total(spark, sf_dir):
     rows = events(spark, sf_dir).where("level = 'error'").select("ts", "seq", "message")
-    return rows.orderBy("ts", "seq").limit(50).crossJoin(rows.agg(F.count("*").alias("total")))
+    return reports.with_total(rows, ["ts", "seq"], 50)
 
 
 def ordered_search(spark, sf_dir):
@@ -181,9 +179,9 @@ def otel_levels(spark, sf_dir):
 
 def template_params(spark, sf_dir):
     words = F.split("message", " ")
-    params = F.filter(words, lambda w: w.rlike("[0-9]"))
     pattern = F.array_join(F.transform(words, lambda w: F.when(w.rlike("[0-9]"), "<*>").otherwise(w)), " ")
-    return events(spark, sf_dir).groupBy(pattern.alias("pattern")).agg(F.count("*").alias("n"), F.countDistinct(F.array_join(params, "|")).alias("kinds"), F.max(F.array_join(params, "|")).alias("last"))
+    rows = events(spark, sf_dir).withColumn("pattern", pattern)
+    return rows.withColumn("params", reports.parameters(F.col("message"), F.col("pattern"))).groupBy("pattern").agg(F.count("*").alias("n"), F.countDistinct(F.array_join("params", "|")).alias("kinds"), F.max(F.array_join("params", "|")).alias("last"))
 
 
 def _paths():
@@ -265,9 +263,7 @@ _GAPS = [(START + d * DAY, START + d * DAY + 3 * 3600) for d in (2, 9, 10, 25)]
 
 
 def gap_membership(spark, sf_dir):
-    gaps = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in _GAPS))
-    inside = F.exists(gaps, lambda g: (g["a"] <= F.col("ts")) & (F.col("ts") <= g["b"]))
-    clamped = F.greatest(F.lit(START + DAY), F.least(F.lit(START + 27 * DAY), F.col("ts")))
+    inside, clamped = reports.in_gaps(F.col("ts"), _GAPS), reports.clamped(F.col("ts"), START + DAY, START + 27 * DAY)
     return events(spark, sf_dir).where(inside | (clamped != F.col("ts"))).select("seq", inside.alias("in_gap"), clamped.alias("clamped"))
 
 
