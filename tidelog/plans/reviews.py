@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .. import state
+from .. import packages, state
 from ..functions import embeddings, text
 from ..operators import retrieval, vector_graph
 from ..shared import fresh_folder
@@ -137,3 +137,30 @@ def graph_recall(spark, sf_dir):
 
 
 QUERIES["graph_recall"] = graph_recall
+
+
+def package_there_and_back(spark, sf_dir):
+    """Events and templates as a package, checked and read again."""
+    root = fresh_folder(spark, "package")
+    rows = events(spark, sf_dir)
+    packages.export({"events": rows.select("seq", "source", "message"), "templates": rows.select("template_id").distinct()}, root)
+    back = packages.load(spark, root)
+    return back["events"].groupBy("source").agg(F.count("*").alias("n"), F.max("seq").alias("last_seq"), F.max(F.sha2("message", 256)).alias("greatest")).withColumn("templates", back["templates"].agg(F.count("*")).scalar())
+
+
+def declared_zones(spark, sf_dir):
+    """Two sources with a declared zone, one of them taken back."""
+    kept = state.Versioned(spark, fresh_folder(spark, "zoned"))
+    wall = F.col("seq") % 3 == 0
+    rows = events(spark, sf_dir).select("seq", "source", F.when(wall, F.col("ts")).alias("ts"), F.col("ts").alias("local"), F.lit(None).cast("string").alias("abbreviation"), F.when(wall, "explicit_wall").otherwise("unresolved_local").alias("basis"))
+    state.append(kept, rows, 0)
+    state.apply_zones(kept, {"src0": "Asia/Kolkata", "src1": "Asia/Tokyo"}, 1)
+    state.clear_zone(kept, "src1", 2)
+    return kept.read().select("seq", "ts", "basis")
+
+
+ORACLES |= {
+    "package_there_and_back": _with("SELECT source, count(*) AS n, max(seq) AS last_seq, max(sha256(message)) AS greatest, (SELECT count(DISTINCT coalesce(template_id, -1)) FROM e) AS templates FROM e GROUP BY 1"),
+    "declared_zones": _with("""SELECT seq, CASE WHEN seq % 3 = 0 THEN ts WHEN source = 'src0' THEN ts - 19800 END AS ts, CASE WHEN seq % 3 = 0 THEN 'explicit_wall' WHEN source = 'src0' AND ts IS NOT NULL THEN 'resolved_local' ELSE 'unresolved_local' END AS basis FROM e"""),
+}
+QUERIES |= {"package_there_and_back": package_there_and_back, "declared_zones": declared_zones}

@@ -11,10 +11,14 @@ from __future__ import annotations
 import json
 import uuid
 from dataclasses import dataclass
+from zoneinfo import available_timezones
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import fresh_folder, kept
+from .sources import zones
+
 
 class Conflict(RuntimeError):
     """The revision that a change was based on is no longer the last, or its updates do not match."""
@@ -175,3 +179,51 @@ def audit(table: Versioned) -> DataFrame:
     """revision, kind, note (JSON) of every commit, in order; the log is only ever appended to."""
     rows = [(c.revision, c.kind, json.dumps(c.note, sort_keys=True)) for c in table.history()]
     return table.spark.createDataFrame(rows, "revision int, kind string, note string").orderBy("revision")
+
+
+def upsert_templates(templates: Versioned, rows: DataFrame, expected: int) -> Commit:
+    """Templates by template_id, new ones added and known ones replaced, as one revision; one named twice, or without an id, refuses the whole."""
+    wrong = rows.groupBy("template_id").agg(F.count("*").alias("n")).where("n > 1 or template_id is null").limit(1).collect()
+    if wrong:
+        raise Conflict(f"template {wrong[0].template_id} is not named once")
+    old = templates.read().join(rows.select("template_id"), "template_id", "left_anti") if expected else rows.limit(0)
+    return templates.commit(old.unionByName(rows), expected, "templates", {"rows": rows.count()})
+
+
+def apply_zones(events: Versioned, declared: dict[str, str], expected: int) -> Commit:
+    """Resolves the local times of whole sources by their declared zones.
+
+    Events have local (calendar seconds), abbreviation and basis besides seq, source and ts. A
+    time that its line gives with an offset (explicit_wall) stays; a local one that the zone
+    settles gets ts and basis resolved_local, any other has no ts and basis unresolved_local, also
+    if an earlier declaration had settled it. The note counts reasons.
+    """
+    if not expected or events.revision() != expected:
+        raise Conflict(f"expected revision {expected}, found {events.revision()}")
+    unknown = sorted(set(declared.values()) - available_timezones())
+    if unknown:
+        raise Conflict(f"no zone {unknown[0]}")
+    now = events.read(expected)
+    zone = F.create_map(*(F.lit(x) for pair in sorted(declared.items()) for x in pair)) if declared else F.create_map().cast("map<string,string>")
+    local = now.where(F.col("source").isin(*declared) & (F.col("basis") != "explicit_wall") & F.col("local").isNotNull())
+    told = zones.resolved(local.select("seq", "local", F.try_element_at(zone, F.col("source")).alias("zone"), "abbreviation"), zones.offsets(events.spark, list(declared.values())), "seq")
+    told = kept(told, fresh_folder(events.spark, "zones")).select("seq", F.col("ts").alias("_ts"), "reason")
+    counts = {r.reason: r.n for r in told.groupBy("reason").agg(F.count("*").alias("n")).collect()}
+    joined = now.join(told, "seq", "left")
+    new = F.col("reason").isNotNull()
+    basis = F.when(new & (F.col("reason") == "resolved"), "resolved_local").when(new, "unresolved_local").otherwise(F.col("basis"))
+    table = joined.withColumns({"ts": F.when(new, F.col("_ts")).otherwise(F.col("ts")), "basis": basis}).select(now.columns)
+    return events.commit(table, expected, "zones", {"declared": declared, "reasons": counts})
+
+
+def clear_zone(events: Versioned, source: str, expected: int) -> Commit:
+    """Takes back what declarations have settled for a source: its resolved local times are unresolved again; Conflict if there are none."""
+    if not expected or events.revision() != expected:
+        raise Conflict(f"expected revision {expected}, found {events.revision()}")
+    now = events.read(expected)
+    mine = (F.col("source") == source) & (F.col("basis") == "resolved_local")
+    n = now.where(mine).count()
+    if not n:
+        raise Conflict(f"nothing to clear for {source}")
+    table = now.withColumns({"ts": F.when(~F.coalesce(mine, F.lit(False)), F.col("ts")), "basis": F.when(mine, "unresolved_local").otherwise(F.col("basis"))})
+    return events.commit(table.select(now.columns), expected, "clear_zone", {"source": source, "cleared": n})
