@@ -26,7 +26,8 @@ def tfidf_search(spark, sf_dir):
 
 def rrf_fusion(spark, sf_dir):
     docs, asked = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    a, b = retrieval.bm25(docs, "doc_id", asked, "item_id", 50), retrieval.tfidf(docs, "doc_id", asked, "item_id", 50)
+    both = retrieval.Postings(docs, "doc_id", asked, "item_id")
+    a, b = retrieval.bm25(docs, "doc_id", asked, "item_id", 50, postings=both), retrieval.tfidf(docs, "doc_id", asked, "item_id", 50, postings=both)
     return retrieval.fused(a, b, "doc_id", 10).select("query_id", "doc_id", "score", "rank")
 
 
