@@ -13,7 +13,6 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
