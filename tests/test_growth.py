@@ -60,3 +60,23 @@ def test_nearest_vectors_hold_a_tile_at_a_time():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert n == 40_960 and peak < 200e6
+
+
+def test_keyword_scores_by_blocks_of_queries(spark, monkeypatch):
+    """More queries than a block and texts than a matrix, against plain sums; no task gathers more than the best of each query."""
+    monkeypatch.setattr(retrieval, "QUERIES_SCORED", 3)
+    monkeypatch.setattr(retrieval, "CELLS", 40)
+    words = [f"w{i}" for i in range(12)]
+    rng = np.random.default_rng(5)
+    texts = [(i, " ".join(rng.choice(words, rng.integers(1, 9)))) for i in range(150)] + [(None, "w1 w2"), (200, None)]
+    asked = [(i, " ".join(rng.choice(words, 3)) + " unseen") for i in range(10)] + [(11, "nothing")]
+    docs, queries = spark.createDataFrame(texts, "doc_id int, text string").repartition(5), spark.createDataFrame(asked, "item_id long, text string")
+    df = {w: sum(w in (t or "").split() for _, t in texts) for w in words}
+    expected = set()
+    for q, text_ in asked:
+        terms = set(text_.split()) & set(words)
+        sums = [(-round(sum(1 + np.log(len(texts) / (1 + df[w])) for w in terms & set((t or "").split())), 6), -1 if i is None else i) for i, t in texts if terms & set((t or "").split())]
+        expected |= {(q, i, n + 1, -s) for n, (s, i) in enumerate(sorted(sums)[:7])}
+    found = retrieval.tfidf(docs, "doc_id", queries, "item_id", 7)
+    assert {(r["query_id"], -1 if r["doc_id"] is None else r["doc_id"], r["rank"], r["score"]) for r in found.collect()} == expected
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString().replace("Join Inner, (query#", "")
