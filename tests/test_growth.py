@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tidelog.functions import text
-from tidelog.operators import retrieval
+from tidelog.operators import incidents, retrieval
 
 
 def test_secrets_in_long_runs_take_time_in_proportion(spark):
@@ -80,3 +80,19 @@ def test_keyword_scores_by_blocks_of_queries(spark, monkeypatch):
     found = retrieval.tfidf(docs, "doc_id", queries, "item_id", 7)
     assert {(r["query_id"], -1 if r["doc_id"] is None else r["doc_id"], r["rank"], r["score"]) for r in found.collect()} == expected
     assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString().replace("Join Inner, (query#", "")
+
+
+def test_correlation_makes_no_row_a_focus_second(spark):
+    """Against all pairs; events meet at most one row of the buckets beside theirs."""
+    rng = np.random.default_rng(6)
+    rows = [(i, int(t), int(k)) for i, (t, k) in enumerate(zip(rng.integers(0, 400, 600), rng.integers(0, 9, 600)))] + [(600, None, 1), (601, 5, None), (602, 5000, 3)]
+    focus = sorted({t for _, t, k in rows if k in (2, 5) and t is not None and t % 50 < 20})
+    rows = [r for r in rows if r[2] not in (2, 5) or r[1] in focus]
+    votes: dict = {}
+    for _, t, k in rows:
+        near = sorted((abs(t - f), f) for f in focus if abs(t - f) <= 10) if t is not None and k is not None and k not in (2, 5) else []
+        if near:
+            votes.setdefault(k, []).append(1 if t < near[0][1] else -1)
+    found = incidents.correlate(spark.createDataFrame(rows + rows[:9], "seq long, ts long, template_id long"), [2, 5], 10, 50)
+    assert {(r["template_id"], r["n"], r["precedes"]) for r in found.collect()} == {(k, len(v), sum(v) > 0) for k, v in votes.items()}
+    assert "Generate explode" not in found._jdf.queryExecution().optimizedPlan().toString()

@@ -40,16 +40,24 @@ def follow(events: DataFrame, trace_id: str) -> DataFrame:
 def correlate(events: DataFrame, focus_templates: list[int], width: int, top: int) -> DataFrame:
     """Templates near the focus templates' events, and whether they mostly come before them.
 
-    A range join by buckets of the window: an event meets the focus events of its own
-    bucket and the two next to it. Focus events count once a second, so a burst of
-    them does not multiply; of two equally near seconds the earlier counts.
+    Events, each once, count by second and template first. Nearest is the last focus second at or before,
+    or the first after: of the own bucket of the window by running extremes, of the buckets
+    beside it their last and first focus second, one row a bucket. No event meets several
+    focus seconds; of two equally near the earlier counts.
     """
-    focus = events.where(F.col("template_id").isin(*focus_templates)).select(F.col("ts").alias("focus_ts")).distinct()
-    focus = focus.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("focus_ts") / width) - 1, F.floor(F.col("focus_ts") / width) + 1)))
-    others = events.where(~F.col("template_id").isin(*focus_templates)).select("seq", "ts", "template_id", F.floor(F.col("ts") / width).alias("bucket"))
-    near = others.join(focus, "bucket").where(F.abs(F.col("ts") - F.col("focus_ts")) <= width)
-    nearest = near.groupBy("seq", "ts", "template_id").agg(F.min(F.struct(F.abs(F.col("ts") - F.col("focus_ts")).alias("apart"), F.col("focus_ts").alias("at"))).alias("nearest"))
-    voted = nearest.groupBy("template_id").agg(F.count("*").alias("n"), F.sum(F.when(F.col("ts") < F.col("nearest.at"), 1).otherwise(-1)).alias("votes"))
+    is_focus = F.col("template_id").isin(*focus_templates)
+    counts = events.where(F.col("ts").isNotNull() & F.col("template_id").isNotNull()).select("seq", "ts", "template_id").distinct().groupBy("ts", "template_id").agg(F.count("*").alias("n"))
+    focus = counts.where(is_focus).select("ts").distinct().select("ts", F.floor(F.col("ts") / width).alias("bucket"))
+    ends = focus.groupBy("bucket").agg(F.min("ts").alias("first"), F.max("ts").alias("last"))
+    seconds = counts.where(~is_focus).groupBy("ts").agg(F.lit(None).cast("long").alias("focus_ts")).unionByName(focus.select("ts", F.col("ts").alias("focus_ts")))
+    seconds = seconds.groupBy("ts").agg(F.max("focus_ts").alias("focus_ts")).withColumn("bucket", F.floor(F.col("ts") / width))
+    before, after = (Window.partitionBy("bucket").orderBy(o).rowsBetween(Window.unboundedPreceding, 0) for o in (F.asc("ts"), F.desc("ts")))
+    at = seconds.select("ts", "bucket", F.max("focus_ts").over(before).alias("low"), F.min("focus_ts").over(after).alias("high"))
+    at = at.join(ends.select((F.col("bucket") + 1).alias("bucket"), F.col("last").alias("earlier")), "bucket", "left").join(ends.select((F.col("bucket") - 1).alias("bucket"), F.col("first").alias("later")), "bucket", "left")
+    at = at.select("ts", F.coalesce("low", "earlier").alias("low"), F.coalesce("high", "later").alias("high"))
+    is_low = F.col("high").isNull() | (F.col("ts") - F.col("low") <= F.col("high") - F.col("ts"))
+    nearest = at.select("ts", F.when(is_low & F.col("low").isNotNull(), F.col("low")).otherwise(F.col("high")).alias("at")).where(F.abs(F.col("ts") - F.col("at")) <= width)
+    voted = counts.where(~is_focus).join(nearest, "ts").groupBy("template_id").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("ts") < F.col("at"), F.col("n")).otherwise(-F.col("n"))).alias("votes"))
     scored = voted.select("template_id", "n", (F.col("votes") > 0).alias("precedes"), F.round(F.col("n") * F.when(F.col("votes") > 0, 1.2).otherwise(1.0), 6).alias("score"))
     return scored.orderBy(F.desc("score"), "template_id").limit(top)
 
