@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import time
 
 import pandas as pd
 import pytest
@@ -162,3 +163,20 @@ def test_components(spark):
             a, b = sorted((root(a), root(b)))
             parent[b] = a
     assert {r.node: r.component for r in graphs.components(spark.createDataFrame(edges, "a long, b long")).collect()} == {x: root(x) for x in parent}
+
+
+def test_small_components_take_little_time():
+    """20,000 components of three rows; a row without a time has no clock and joins by a shared trace only."""
+    began = time.time()
+    for i in range(20_000):
+        rows = [rendering(i + k, k, trace="t", site=str(k)) for k in range(3)]
+        assert [x[1] for x in renderings._grown_chains(rows)] == [i] * 3
+    assert time.time() - began < 20
+    r = rendering
+    assert chain_of([r(1, trace="t", site="a"), r(2, None, trace="t", site="b"), r(3, None, thread="w", site="c"), r(4, None, thread="w", site="d")]) == {1: [1, 2], 3: [3], 4: [4]}
+
+
+def test_records_are_told_once(spark):
+    """What a record is, is not worked out again for a filter before the table."""
+    plan = renderings._told(events(spark, [(1, "a", 0, FULL)]))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Exception wrapper") == 1

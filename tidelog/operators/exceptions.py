@@ -2,29 +2,35 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.maths import interval_gap
-from ..functions.text import LEAD
+from ..functions.text import LEAD, _once
 
 # The longest prefix before [stderr], the longest thread name, and how far two renderings of one exception may be apart.
 PREFIX, THREAD = 256, 96
 SEQ_GAP, WALL_GAP = 512, 2
 THREAD_KEYS = ("thread=", "thread_id=", "threadId=", "tid=")
 REQUEST_KEYS = ("request_id=", "requestId=", "correlation_id=", "correlationId=", "transaction_id=", "transactionId=", "trace_id=", "traceId=")
+#: Strings of which a message with one of the keys holds one.
+_THREAD_HINTS, _REQUEST_HINTS = ("thread", "tid="), ("_id=", "Id=")
 
-_BLANK_ENDS = r"^\s+|\s+$"
+_BLANKS = " \t\n\x0b\f\r"
 _NAME = rf"[A-Za-z0-9_][A-Za-z0-9_./: -]{{0,{THREAD - 1}}}"
 
 
-def _keyed(message: Column, keys: tuple[str, ...], stop: str, good: str, within: int) -> Column:
+def _keyed(message: Column, keys: tuple[str, ...], hints: tuple[str, ...], stop: str, good: str, within: int) -> Column:
     """The value behind the first of `keys` that has a good one and begins early enough."""
-    found = []
-    for key in keys:
-        at, value = F.instr(message, key), F.regexp_extract(message, rf"{key}([^{stop}]*)", 1)
-        found.append(F.when((at > 0) & (at <= within + 1) & value.rlike(good), value))
-    return F.coalesce(*found)
+
+    def behind(key: str) -> Column:
+        value = _once(F.regexp_extract(message, rf"{key}([^{stop}]*)", 1), lambda v: F.when(v.rlike(good), v))
+        return _once(F.instr(message, key), lambda at: F.when((at > 0) & (at <= within + 1), value))
+
+    return F.when(reduce(or_, (message.contains(h) for h in hints)), F.coalesce(*map(behind, keys)))
 
 
 def envelope(message: Column) -> Column:
@@ -34,29 +40,50 @@ def envelope(message: Column) -> Column:
     name is malformed and stays in the payload. Without the stream the message is its
     own payload. Threads named by a key and in brackets that differ are a conflict.
     """
-    at = F.instr(message, "[stderr]")
-    streamed = (at > 0) & (at <= PREFIX + 1)
-    rest = F.ltrim(F.substr(message, at + 8))
-    bracket = F.regexp_extract(rest, rf"^\(({_NAME})\)", 1)
-    opens = streamed & rest.startswith("(")
-    inner = F.when(opens & (bracket != ""), bracket)
-    explicit = _keyed(message, THREAD_KEYS, r"\s,\];)", rf"^[A-Za-z0-9_][A-Za-z0-9_./:-]{{0,{THREAD - 1}}}$", PREFIX)
-    payload = F.when(~streamed, message).when(inner.isNotNull(), F.regexp_replace(rest, rf"^\({_NAME}\)[ \t]*", "")).otherwise(rest)
-    return F.struct(
-        F.when(streamed, "stderr").alias("stream"), F.coalesce(explicit, inner).alias("thread"),
-        _keyed(message, REQUEST_KEYS, r"\s,\];)\"", rf"^[A-Za-z0-9_:.-]{{1,{THREAD}}}$", 4 * PREFIX).alias("request"),
-        payload.alias("payload"), F.coalesce(explicit != inner, F.lit(False)).alias("conflict"), (opens & (bracket == "")).alias("malformed"),
-    )
+    rest = _once(F.instr(message, "[stderr]"), lambda at: F.when((at > 0) & (at <= PREFIX + 1), F.ltrim(F.substr(message, at + 8))))  # null without the stream
+    explicit = _keyed(message, THREAD_KEYS, _THREAD_HINTS, r"\s,\];)", rf"^[A-Za-z0-9_][A-Za-z0-9_./:-]{{0,{THREAD - 1}}}$", PREFIX)
+    request = _keyed(message, REQUEST_KEYS, _REQUEST_HINTS, r"\s,\];)\"", rf"^[A-Za-z0-9_:.-]{{1,{THREAD}}}$", 4 * PREFIX)
+
+    def parts(p: Column) -> Column:
+        rest, bracket, explicit = p["rest"], p["bracket"], p["explicit"]
+        inner, streamed = F.nullif(bracket, F.lit("")), rest.isNotNull()
+        payload = F.when(~streamed, message).when(inner.isNotNull(), F.regexp_replace(rest, rf"^\({_NAME}\)[ \t]*", "")).otherwise(rest)
+        return F.struct(
+            F.when(streamed, "stderr").alias("stream"), F.coalesce(explicit, inner).alias("thread"), request.alias("request"),
+            payload.alias("payload"), F.coalesce(explicit != inner, F.lit(False)).alias("conflict"), F.when(message.isNotNull(), F.coalesce(bracket == "", F.lit(False))).alias("malformed"),
+        )
+
+    # `bracket`: null if none opens, empty if it holds no name of a thread.
+    opened = _once(rest, lambda r: F.struct(r.alias("rest"), F.when(r.startswith("("), F.regexp_extract(r, rf"^\(({_NAME})\)", 1)).alias("bracket"), explicit.alias("explicit")))
+    return _once(opened, parts)
 
 
 def line_role(line: Column) -> Column:
     """What a line of a pattern is in a stack trace: frame, cause, scaffold, header, or null."""
-    x = F.regexp_replace(line, _BLANK_ENDS, "")
-    frame = x.rlike(r"^at |^\.\.\. | at X") | (x.contains(" at ") & x.contains(".java:"))
-    cause = x.rlike(LEAD + r"(?:Caused by:|Suppressed:)") | x.rlike(r'^--- End of inner exception|^File "')
-    scaffold = x.rlike(r"^Exception in thread|Exception wrapper|^Wrapped by:|^Nested exception")
-    header = x.rlike(LEAD + r"(?:\S+\s+){0,7}(?i:[a-z_$][\w$]*(?:\.[\w$]+)+(?<=exception|error|throwable))[:,;)\]]*(?:\s|$)")
-    return F.when(frame, "frame").when(cause, "cause").when(scaffold, "scaffold").when(header, "header")
+    return _once(F.btrim(line, F.lit(_BLANKS)), lambda x: F.when(_frame(x), "frame").when(_cause(x), "cause").when(_scaffold(x), "scaffold").when(_header(x), "header"))
+
+
+# Plain searches come before patterns that cannot match without them.
+def _frame(x: Column) -> Column:
+    return x.startswith("at ") | x.startswith("... ") | x.contains(" at X") | (x.contains(" at ") & x.contains(".java:"))
+
+
+def _cause(x: Column) -> Column:
+    return ((x.contains("Caused by:") | x.contains("Suppressed:")) & x.rlike(LEAD + r"(?:Caused by:|Suppressed:)")) | x.startswith("--- End of inner exception") | x.startswith('File "')
+
+
+def _scaffold(x: Column) -> Column:
+    return x.startswith("Exception in thread") | x.contains("Exception wrapper") | x.startswith("Wrapped by:") | x.startswith("Nested exception")
+
+
+def _header(x: Column) -> Column:
+    named = _once(F.lower(x), lambda low: low.contains("exception") | low.contains("error") | low.contains("throwable"))
+    return named & x.rlike(LEAD + r"(?:\S+\s+){0,7}(?i:[a-z_$][\w$]*(?:\.[\w$]+)+(?<=exception|error|throwable))[:,;)\]]*(?:\s|$)")
+
+
+def below_stack(line: Column) -> Column:
+    """Whether a line's role is frame or cause."""
+    return _once(F.btrim(line, F.lit(_BLANKS)), lambda x: _frame(x) | _cause(x))
 
 
 def pattern_role(pattern: Column) -> Column:
@@ -71,16 +98,24 @@ def pattern_role(pattern: Column) -> Column:
 
 def graph(message: Column) -> Column:
     """Struct of types from the outer to the root exception, the first frame below each, the root's detail, the site, and complete."""
-    lines = F.transform(F.split(message, "\n"), lambda x: F.regexp_replace(x, _BLANK_ENDS, ""))
     typed = r"^(?:Caused by: |Suppressed: )?((?:[\w$]+\.)*[A-Z][\w$]*(?:Exception|Error|Throwable))(?::\s*(.*))?$"
-    kept = F.filter(lines, lambda x: x.rlike(typed) | x.rlike(r"^at \S"))
-    types = F.filter(kept, lambda x: x.rlike(typed))
-    # A frame is the first below a type if the line kept before it is a type.
-    heads = F.filter(kept, lambda x, i: x.rlike(r"^at \S") & (i > 0) & F.coalesce(F.get(kept, i - 1).rlike(typed), F.lit(False)))
-    frames = F.transform(heads, lambda x: F.regexp_extract(x, r"^at ([^(\s]+)", 1))
-    names, root = F.transform(types, lambda x: F.regexp_extract(x, typed, 1)), F.get(types, F.size(types) - 1)
-    site = F.coalesce(F.get(frames, F.lit(0)), F.concat(F.lit("sig:"), F.get(names, F.size(names) - 1)), F.lit("unknown_site"))
-    return F.struct(F.array_join(names, ">").alias("types"), F.array_join(frames, ">").alias("frames"), F.coalesce(F.regexp_extract(root, typed, 2), F.lit("")).alias("root_detail"), site.alias("site"), ((F.size(types) > 0) & (F.size(frames) > 0)).alias("complete"))
+    is_type = lambda x: (x.contains("Exception") | x.contains("Error") | x.contains("Throwable")) & x.rlike(typed)
+    told = lambda x: F.struct(x.alias("line"), F.when(x.startswith("at "), F.when(x.rlike(r"^at \S"), False)).when(is_type(x), True).alias("type"))
+    lines = F.transform(F.split(message, "\n"), lambda line: _once(F.btrim(line, F.lit(_BLANKS)), told))
+
+    def parts(kept: Column) -> Column:
+        types = F.transform(F.filter(kept, lambda x: x["type"]), lambda x: x["line"])
+        # A frame is the first below a type if the line kept before it is a type.
+        heads = F.filter(kept, lambda x, i: ~x["type"] & (i > 0) & F.coalesce(F.get(kept, i - 1)["type"], F.lit(False)))
+        frames = F.transform(heads, lambda x: F.regexp_extract(x["line"], r"^at ([^(\s]+)", 1))
+        return F.struct(F.transform(types, lambda x: F.regexp_extract(x, typed, 1)).alias("names"), frames.alias("frames"), F.get(types, F.size(types) - 1).alias("root"))
+
+    def said(p: Column) -> Column:
+        names, frames = p["names"], p["frames"]
+        site = F.coalesce(F.get(frames, F.lit(0)), F.concat(F.lit("sig:"), F.get(names, F.size(names) - 1)), F.lit("unknown_site"))
+        return F.struct(F.array_join(names, ">").alias("types"), F.array_join(frames, ">").alias("frames"), F.coalesce(F.regexp_extract(p["root"], typed, 2), F.lit("")).alias("root_detail"), site.alias("site"), ((F.size(names) > 0) & (F.size(frames) > 0)).alias("complete"))
+
+    return _once(_once(F.filter(lines, lambda x: x["type"].isNotNull()), parts), said)
 
 
 def families(renderings: DataFrame, top: int) -> DataFrame:

@@ -8,15 +8,18 @@ over blocks of sequence numbers, so a busy source is shared by many tasks.
 
 from __future__ import annotations
 
-import numpy as np
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import exception_signature
+from ..functions.text import _once, exception_signature
 from ..shared import fresh_folder, kept
-from .exceptions import envelope, graph, line_role
-from .graphs import components, each_component
+from .exceptions import below_stack, envelope, graph, line_role
+from .graphs import components
 
 # Records and bytes of a rendering, gaps in sequence numbers and seconds between its records, the span of a chain.
 MAX_RECORDS, MAX_PAYLOAD, SEQ_GAP, WALL_GAP, CHAIN_SPAN = 400, 8_192, 8, 5, 5
@@ -38,11 +41,6 @@ def _last_before(rows: DataFrame, lane: list[str], is_mark: Column, name: str, o
     return marked.join(ends, same, "left").withColumn(name, F.coalesce("_here", "_earlier")).drop("_here", "_earlier", "_block", *[f"_{c}" for c in lane])
 
 
-def _once(value: Column, step) -> Column:
-    """`step` of a value, as an array's one element, so that what follows refers to the result instead of repeating it."""
-    return F.get(F.transform(F.array(value), step), F.lit(0))
-
-
 def _told(events: DataFrame) -> DataFrame:
     """Each record with its envelope and what its line is."""
     rows = events.where("seq is not null and source is not null").select("seq", "source", "ts", "wall", "service", "host", "trace_id", F.coalesce("message", F.lit("")).alias("message"))
@@ -52,15 +50,15 @@ def _told(events: DataFrame) -> DataFrame:
     rows = rows.withColumn("role", F.when(single, _once(F.trim("payload"), line_role)))
     rows = rows.withColumn("wrapped", F.col("e.stream").isNotNull() | F.col("role").isNotNull())
     rows = rows.withColumn("text", F.when(F.col("wrapped"), F.col("payload")).otherwise(F.col("message")))
-    below = F.slice(F.split("text", "\n"), 2, 1 << 30)
-    rows = rows.withColumns({"said": exception_signature(F.col("text")), "whole": F.exists(F.transform(below, line_role), lambda y: F.coalesce(y.isin("frame", "cause"), F.lit(False)))})
+    rows = rows.withColumn("said", exception_signature(F.col("text")))
+    rows = rows.withColumn("whole", F.when(F.col("said").isNotNull(), F.exists(F.slice(F.split("text", "\n"), 2, 1 << 30), below_stack)))
     wrapped, whole, said = F.col("wrapped"), F.col("whole"), F.col("said")
     kind = (
         F.when(~wrapped & whole & said.isNotNull(), "full").when(~wrapped, "closer").when(F.col("bad") & said.isNotNull(), "alone").when(F.col("bad"), "closer")
         .when(whole & said.isNotNull(), "complete").when(said.isNotNull() & (F.col("role") == "cause"), "cause").when(said.isNotNull(), "header").when(F.col("role").isNotNull(), "frame")
     )
     told = rows.select("seq", "source", "ts", F.coalesce("wall", F.lit(True)).alias("wall"), "service", "host", F.col("trace_id").alias("trace"), F.col("e.thread").alias("thread"), F.col("e.request").alias("request"), F.col("bad").alias("conflict"), F.col("text").alias("payload"), said.alias("signature"), kind.alias("what"))
-    return told.where("what is not null").withColumn("block", F.floor(F.col("seq") / BLOCK))
+    return told.withColumn("block", F.floor(F.col("seq") / BLOCK))
 
 
 def _grown(rows: Column) -> Column:
@@ -103,7 +101,7 @@ def renderings(events: DataFrame) -> DataFrame:
     are left out. What follows a header without another one over more than REACH records is left out.
     """
     path = fresh_folder(events.sparkSession, "renderings")
-    told = kept(_told(events), path)
+    told = kept(_told(events), path).where("what is not null")  # behind the table, as a filter before it would tell each record twice
     single = told.where(F.col("what").isin("full", "alone", "complete"))
     alone = single.select(
         F.col("seq").alias("id"), F.when(F.col("what") == "full", "full").otherwise("wrapped").alias("kind"), "source", "thread", "signature", F.lit(1).alias("records"), F.lit(True).alias("complete"), F.col("seq").alias("first_seq"), F.col("seq").alias("last_seq"),
@@ -126,76 +124,137 @@ def renderings(events: DataFrame) -> DataFrame:
     return alone.unionByName(wrapped)
 
 
-def _same(values: list) -> np.ndarray:
-    """Whether two rows have equal values, nulls never."""
-    codes, _ = pd.factorize(pd.Series(values, dtype=object), use_na_sentinel=True)
-    return (codes[:, None] == codes[None, :]) & (codes >= 0)[:, None]
+def _groups(values: list) -> tuple[list[int], list[int]]:
+    """For each row the rows of an equal value and those of another one, as bits; nulls are in neither."""
+    of: dict = {}
+    for i, v in enumerate(values):
+        if v is not None:
+            of[v] = of.get(v, 0) | 1 << i
+    some = sum(of.values())
+    same = [0 if v is None else of[v] for v in values]
+    return same, [some & ~m if m else 0 for m in same]
 
 
-def _differ(values: list) -> np.ndarray:
-    some = np.array([v is not None for v in values], bool)
-    return ~_same(values) & some[:, None] & some[None, :]
+def _related(col: dict) -> list[int]:
+    """For each row the rows of the same signature or with types that end alike, as bits."""
+    same, _ = _groups(col["signature"])
+    types = [tuple(t) for t in col["types"]]
+    of: dict = {}
+    for i, t in enumerate(types):
+        of[t] = of.get(t, 0) | 1 << i
+    ends = dict.fromkeys(of, 0)
+    for t in of:
+        for k in range(len(t)):
+            if t[k:] in of:
+                ends[t] |= of[t[k:]]
+                ends[t[k:]] |= of[t]
+    return [m | ends[t] for m, t in zip(same, types)]
 
 
-def grow(rows: pd.DataFrame) -> pd.DataFrame:
-    """Chains among the rows of one component: id, chain (the id of its first), place, link, ambiguous.
+def _up_to(values: list[int]) -> Callable[[int], int]:
+    """The rows whose value is at most a bound, as bits, by bound."""
+    order = sorted(range(len(values)), key=values.__getitem__)
+    bounds, masks = [values[i] for i in order], [0]
+    for i in order:
+        masks.append(masks[-1] | 1 << i)
+    return lambda bound: masks[bisect_right(bounds, bound)]
 
-    Rows come by first_ts, first_seq, source. From each row not yet taken a chain grows: a
-    candidate conflicts with no member, is related to one, brings a new site, and keeps the
-    chain within its span. It joins by a shared trace or request, if no site occurs twice among
-    all that share it with the seed, or by the thread if no other free row could claim it.
-    The earliest that may join is taken, until none is left.
-    """
-    rows = rows.sort_values(["first_ts", "first_seq", "source"], kind="stable").reset_index(drop=True).astype(object)
-    rows = rows.where(rows.notna(), None)
-    col = {c: list(rows[c]) for c in rows}
+
+def _bits(mask: int) -> Iterator[int]:
+    while mask:
+        yield (mask & -mask).bit_length() - 1
+        mask &= mask - 1
+
+
+def _grown_chains(rows: list[dict]) -> Iterator[tuple]:
+    """`grow` on a list of rows. What holds between two rows is a bit of a number; a row's numbers come from groups of equal values, not from all pairs."""
+    rows = sorted(rows, key=lambda r: (r["first_ts"] is None, r["first_ts"] or 0, r["first_seq"], r["source"] is None, r["source"] or ""))
     n = len(rows)
-    bad, wall = np.array(col["conflict"], bool), np.array(col["wall"], bool)
-    thread, host = _same(col["thread"]), _differ(col["host"])
-    conflict = bad[:, None] | bad[None, :] | _differ(col["trace"]) | _differ(col["request"]) | (_same(col["source"]) & _differ(col["thread"])) | host | _differ(col["service"])
-    anchor = _same(col["trace"]) | _same(col["request"])
-    types = [tuple(t) for t in col["types"]]
-    suffix = lambda a, b: bool(a and b) and a[-len(b) :] == b
-    kinds = sorted(set(types))
-    number = {t: i for i, t in enumerate(kinds)}
-    ends = np.array([[suffix(a, b) or suffix(b, a) for b in kinds] for a in kinds], bool).reshape(len(kinds), len(kinds))
-    at = np.array([number[t] for t in types])
-    related = _same(col["signature"]) | ends[at[:, None], at[None, :]]
-    lo, hi = (np.array([f(a, b) for a, b in zip(col["first_ts"], col["last_ts"])], np.int64) for f in (min, max))
-    gap = np.maximum(0, np.maximum(lo[:, None] - hi[None, :], lo[None, :] - hi[:, None]))
-    near = wall[:, None] & wall[None, :] & (gap <= CHAIN_SPAN)
-    both_timed = wall[:, None] & wall[None, :]
-    claims = ~conflict & related & (anchor | (near & thread))
-    np.fill_diagonal(claims, False)
-    site = np.array(col["site"], object)
-    free, out = np.ones(n, bool), []
+    every = (1 << n) - 1
+    col = {c: [r[c] for r in rows] for c in rows[0]}
+    timed = [bool(w) and a is not None and b is not None for w, a, b in zip(col["wall"], col["first_ts"], col["last_ts"])]
+    lo, hi = ([f(a, b) if t else 0 for a, b, t in zip(col["first_ts"], col["last_ts"], timed)] for f in (min, max))
+    bits_of = lambda flags: sum(1 << i for i, f in enumerate(flags) if f)
+    wall, bad = bits_of(timed), bits_of(col["conflict"])
+    short = bits_of(b - a <= CHAIN_SPAN for a, b in zip(lo, hi))
+    lo_to, hi_to = _up_to(lo), _up_to(hi)
+    (thread, other_thread), (source, _), (trace, other_trace), (request, other_request) = (_groups(col[c]) for c in ("thread", "source", "trace", "request"))
+    other_host, other_service = _groups(col["host"])[1], _groups(col["service"])[1]
+    conflict = [every if bad >> i & 1 else bad | other_trace[i] | other_request[i] | source[i] & other_thread[i] | other_host[i] | other_service[i] for i in range(n)]
+    anchor = [a | b for a, b in zip(trace, request)]
+    related = _related(col)
+    site, _ = _groups([("site", x) for x in col["site"]])
+    near = lambda i: wall & lo_to(hi[i] + CHAIN_SPAN) & ~hi_to(lo[i] - CHAIN_SPAN - 1) if timed[i] else 0
+    claims: list[int | None] = [None] * n
+
+    def rivals(i: int) -> int:
+        if claims[i] is None:
+            claims[i] = ~conflict[i] & related[i] & (anchor[i] | (near(i) & thread[i])) & ~(1 << i)
+        return claims[i] & free
+
+    free = every
     for seed in range(n):
-        if not free[seed]:
+        if not free >> seed & 1:
             continue
-        free[seed] = False
+        free &= ~(1 << seed)
         chain, links = [seed], ["seed"]
-        sharing = np.flatnonzero(~conflict[seed] & anchor[seed] & related[seed] & (~both_timed[seed] | near[seed]))
-        unique = len(set(site[sharing])) == len(sharing)
+        sharing = ~conflict[seed] & anchor[seed] & related[seed] & ((~wall | near(seed)) if timed[seed] else every)
+        unique = all((site[i] & sharing).bit_count() == 1 for i in _bits(sharing))
         ambiguous = not unique
+        at, kin, sites, shared, threads, all_timed, first, last = conflict[seed], related[seed], site[seed], anchor[seed], thread[seed], timed[seed], lo[seed], hi[seed]
         while True:
-            timed = wall[chain].all()
-            can = free & ~conflict[chain].any(0) & related[chain].any(0) & ~np.isin(site, site[chain])
-            exact = anchor[chain].any(0)
-            fits = (np.maximum(hi, hi[chain].max()) - np.minimum(lo, lo[chain].min())) <= CHAIN_SPAN
-            all_timed = timed & wall
-            can &= np.where(exact, unique, all_timed & thread[chain].any(0)) & (~all_timed | fits)
-            candidates = np.flatnonzero(can)
-            rivals = (claims[candidates] & free[None, :]).any(1)
-            sure = candidates[exact[candidates] | ~rivals]
-            if not len(sure):
-                ambiguous |= len(candidates) > 1
+            can = free & ~at & kin & ~sites
+            can &= (shared if unique else 0) | (wall & threads & ~shared if all_timed else 0)
+            if all_timed and can & wall:
+                fits = short & lo_to(first + CHAIN_SPAN) & hi_to(first + CHAIN_SPAN) & ~lo_to(last - CHAIN_SPAN - 1) if last - first <= CHAIN_SPAN else 0
+                can &= ~wall | fits
+            pick = next((i for i in _bits(can) if shared >> i & 1 or not rivals(i)), None)
+            if pick is None:
+                ambiguous |= can.bit_count() > 1
                 break
-            pick = sure[0]
-            links.append("anchor" if exact[pick] else "thread")
+            links.append("anchor" if shared >> pick & 1 else "thread")
             chain.append(pick)
-            free[pick] = False
-        out += [(col["id"][i], col["id"][seed], k, link, ambiguous) for k, (i, link) in enumerate(zip(chain, links))]
-    return pd.DataFrame(out, columns=["id", "chain", "place", "link", "ambiguous"])
+            free &= ~(1 << pick)
+            at, kin, sites, shared, threads = at | conflict[pick], kin | related[pick], sites | site[pick], shared | anchor[pick], threads | thread[pick]
+            all_timed &= timed[pick]
+            if timed[pick]:
+                first, last = min(first, lo[pick]), max(last, hi[pick])
+        yield from ((col["id"][i], col["id"][seed], k, link, ambiguous) for k, (i, link) in enumerate(zip(chain, links)))
+
+
+_OUT = ["id", "chain", "place", "link", "ambiguous"]
+
+
+def grow(rows: pd.DataFrame) -> pd.DataFrame:
+    """Chains among the rows of one component: id, chain (the id of its first), place, link, ambiguous.
+
+    Rows come by first_ts, first_seq, source. From each row not yet taken a chain grows: a
+    candidate conflicts with no member, is related to one, brings a new site, and keeps the
+    chain within its span. It joins by a shared trace or request, if no site occurs twice among
+    all that share it with the seed, or by the thread if no other free row could claim it.
+    The earliest that may join is taken, until none is left. A row without a time has no clock.
+    """
+    rows = rows.astype(object)
+    return pd.DataFrame(_grown_chains(rows.where(rows.notna(), None).to_dict("records")) if len(rows) else [], columns=_OUT)
+
+
+def _chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The chains of a partition sorted by component; a task holds a batch and one component."""
+    schema = pa.schema([("id", pa.int64()), ("chain", pa.int64()), ("place", pa.int32()), ("link", pa.string()), ("ambiguous", pa.bool_())])
+    out = lambda found: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found) if found else [()] * len(_OUT), schema)], schema=schema)
+    held: list[dict] = []
+    for batch in batches:
+        found: list[tuple] = []
+        columns = {c: batch.column(c).to_pylist() for c in batch.schema.names}
+        for values in zip(*columns.values()):
+            row = dict(zip(columns, values))
+            if held and held[0]["component"] != row["component"]:
+                found += _grown_chains(held)
+                held = []
+            held.append(row)
+        yield out(found)
+    if held:
+        yield out(list(_grown_chains(held)))
 
 
 _CHAIN = "id long, chain long, place int, link string, ambiguous boolean"
@@ -227,6 +286,7 @@ def chains(full: DataFrame, max_component: int = MAX_COMPONENT) -> DataFrame:
     sizes = placed.groupBy("component").agg(F.count("*").alias("size"))
     sized = placed.join(sizes, "component")
     few = sized.where(F.col("size").between(2, max_component)).drop("size")
-    grown = few.repartition("component").sortWithinPartitions("component").mapInPandas(each_component(grow), _CHAIN)
+    parts = int(full.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # given, as rows cost far more than their bytes say
+    grown = few.repartition(parts, "component").sortWithinPartitions("component").mapInArrow(_chained, _CHAIN)
     lone = sized.where("size = 1").select("id", F.col("id").alias("chain"), F.lit(0).alias("place"), F.lit("seed").alias("link"), F.lit(False).alias("ambiguous"))
     return grown.unionByName(lone).unionByName(sized.where(F.col("size") > max_component).select("id", F.col("id").alias("chain"), F.lit(0).alias("place"), F.lit("too_large").alias("link"), F.lit(True).alias("ambiguous")))
