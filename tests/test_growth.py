@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tidelog.functions import text
-from tidelog.operators import incidents, retrieval
+from tidelog.operators import evidence, incidents, retrieval
 
 
 def test_secrets_in_long_runs_take_time_in_proportion(spark):
@@ -96,3 +96,13 @@ def test_correlation_makes_no_row_a_focus_second(spark):
     found = incidents.correlate(spark.createDataFrame(rows + rows[:9], "seq long, ts long, template_id long"), [2, 5], 10, 50)
     assert {(r["template_id"], r["n"], r["precedes"]) for r in found.collect()} == {(k, len(v), sum(v) > 0) for k, v in votes.items()}
     assert "Generate explode" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_repeated_references_go_in_tasks_of_their_own(spark):
+    """Not in those of a join by seq, which are few for many rows."""
+    rows = spark.createDataFrame([(b, s, s + b % 2) for b in range(6) for s in (1, 2, 2, 9)], "bookmark long, seq long, expected_ts long")
+    known = spark.createDataFrame([(1, 1), (2, 2)], "seq long, ts long")
+    found = evidence.resolved(rows.join(known.select("seq"), "seq", "left"), known)
+    assert {tuple(r) for r in found.collect()} == {(b, 3, 1, 0 if b % 2 else 2, "stale") for b in range(6)}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [bookmark" in plan and plan.index("RepartitionByExpression [bookmark") > plan.index("Aggregate [bookmark")

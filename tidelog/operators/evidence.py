@@ -47,10 +47,15 @@ def telemetry(rounds: DataFrame, key: str, order: str, reported: list[str], pres
 
 
 def resolved(references: DataFrame, events: DataFrame) -> DataFrame:
-    """Bookmarks over references (bookmark, seq, expected_ts): valid if every event is there as it was."""
+    """Bookmarks over references (bookmark, seq, expected_ts): valid if every event is there as it was.
+
+    Repeated references go in tasks of their own, as many as the session shuffles into. Behind a join by seq they would
+    go in the join's tasks, which Spark merges by their bytes, and all of their sets would be held there at once.
+    """
     there = events.select("seq", "ts", F.lit(True).alias("_there"))
     state = F.col("_there").isNotNull() & F.col("ts").eqNullSafe(F.col("expected_ts"))
-    joined = references.dropDuplicates(["bookmark", "seq", "expected_ts"]).join(there, "seq", "left").withColumn("_ok", state)
+    keys, parts = ["bookmark", "seq", "expected_ts"], int(references.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    joined = references.repartition(parts, *keys).dropDuplicates(keys).join(there, "seq", "left").withColumn("_ok", state)
     out = joined.groupBy("bookmark").agg(F.count("*").alias("n_refs"), F.count_if(F.col("_there").isNull()).alias("missing"), F.count_if("_ok").alias("valid"))
     return out.withColumn("status", F.when(F.col("valid") == F.col("n_refs"), "valid").otherwise("stale"))
 
