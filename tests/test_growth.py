@@ -7,8 +7,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from tidelog import shared
 from tidelog.functions import text
 from tidelog.operators import evidence, incidents, retrieval
+from tidelog.sources import framing, grammars
 
 
 def test_secrets_in_long_runs_take_time_in_proportion(spark):
@@ -106,3 +108,23 @@ def test_repeated_references_go_in_tasks_of_their_own(spark):
     assert {tuple(r) for r in found.collect()} == {(b, 3, 1, 0 if b % 2 else 2, "stale") for b in range(6)}
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "RepartitionByExpression [bookmark" in plan and plan.index("RepartitionByExpression [bookmark") > plan.index("Aggregate [bookmark")
+
+
+def test_an_assignment_is_looked_for_where_one_ends(spark):
+    """A name without a long value behind it is no reason to try the pattern."""
+    t = F.col("t")
+    rows = spark.createDataFrame([("x-api-key: Basic q",), ("X-Api-Key: 'Basic123",), ("token",)], "t string")
+    assert [r[0] for r in rows.select(text._may_hold("ASSIGNMENT", t, F.lower(t))).collect()] == [False, True, False]
+
+
+def test_lines_are_dealt_before_they_are_told(spark, monkeypatch):
+    """Framing and grammars work on lines behind the exchange, so that a file read by one task is no bound, and ranges are found from bare lines."""
+    rows = spark.createDataFrame([("a", i, "x") for i in range(9)], "source string, line_no long, line string")
+    made = []
+    monkeypatch.setattr(framing, "kept", lambda df, path: made.append(df) or shared.kept(df, path))
+    assert framing.framed(rows, 4).count() == 9
+    g = grammars.LineGrammar("g", 1, ("year", "=-", "month", "=-", "day", "= ", "hour", "=:", "minute"), ("space", "message"))
+    for plan, mark in ((made[0], "stack backtrace"), (grammars._marked(rows, g), "(?<year>")):
+        told = plan._jdf.queryExecution().optimizedPlan().toString()
+        assert "Repartition" in told and mark in told and mark not in told[told.rindex("Repartition") :]
+    assert grammars.selected(rows, [g]).first()["outcome"] == "no_match"

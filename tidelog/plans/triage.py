@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text, times
 from ..operators import episodes, exceptions, pages, quality, ranking, rules, selection
 from ..sources import archives, documents
-from ..sources.events import events, table
+from ..sources.events import dealt, events, table
 from .events import _with
 
 
@@ -219,7 +219,7 @@ def checked_events(spark, sf_dir):
 def share_safe_texts(spark, sf_dir):
     name = F.col("o_orderkey").cast("string")
     raw = F.concat(F.lit("see https://h/"), name, F.lit("?q=1 in /var/log/app/"), name, F.lit(".log, C:\\tmp\\b"), name, F.lit(" by Bob; x-api-key: Basic q"), name, F.lit(" or a/b/c"))
-    return table(spark, sf_dir, "orders").select("o_orderkey", text.share_safe(raw, ("bob",)).alias("shown"))
+    return dealt(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey").select("o_orderkey", text.share_safe(raw, ("bob",)).alias("shown"))
 
 
 def condensed_queries(spark, sf_dir):
