@@ -226,10 +226,11 @@ def framed(rows: DataFrame, block_lines: int = BLOCK_LINES) -> DataFrame:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     path = fresh_folder(spark, "framing")
     bare = F.regexp_replace(F.coalesce(F.col("line"), F.lit("")), r"\r$", "")
-    told = rows.select(F.col("source").cast("string").alias("source"), F.col("line_no").cast("long").alias("number"), bare.alias("line"))
-    told = told.withColumns({"flags": looks(F.col("line")), "size": F.octet_length("line"), "shape": F.when(F.col("line").rlike(r'[{}"\\]'), F.regexp_replace("line", r'[^"\\{}]+', ".")).otherwise("")})
+    lines = rows.select(F.col("source").cast("string").alias("source"), F.col("line_no").cast("long").alias("number"), bare.alias("line"))
     order = [F.col("source").asc_nulls_first(), "number"]
-    blocks = kept(told.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_blocks(block_lines), _BLOCK_SQL), f"{path}/blocks")
+    # Dealt first, then told what they look like: ranges are found by a pass of their own, and files of few row groups are read by few tasks.
+    told = lines.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumns({"flags": looks(F.col("line")), "size": F.octet_length("line"), "shape": F.when(F.col("line").rlike(r'[{}"\\]'), F.regexp_replace("line", r'[^"\\{}]+', ".")).otherwise("")})
+    blocks = kept(told.mapInArrow(_blocks(block_lines), _BLOCK_SQL), f"{path}/blocks")
     ordered = blocks.select("source", "part", "no", *_CODES, "after").repartition(parts, "source").sortWithinPartitions(F.col("source").asc_nulls_first(), "part", "no")
     entries = ordered.mapInArrow(_entries, "part int, no int, before string")
     pieces = kept(blocks.drop("after").join(entries, ["part", "no"]).mapInArrow(_fragments, _FRAGMENT_SQL), f"{path}/fragments")
