@@ -9,12 +9,15 @@ none is chosen.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 from zoneinfo import available_timezones
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .events import dealt
+
 # Tokens of a time stamp, slots, patterns of paths, characters of a name, bytes of a line, lines that join a record.
 MAX_TOKENS, MAX_SLOTS, MAX_PATTERNS, MAX_NAME, MAX_LINE_BYTES, MAX_CONTINUED = 24, 16, 32, 128, 64 * 1024, 512
 #: Lines of a block in which records are looked for at a time.
@@ -106,26 +109,39 @@ def groups(g: LineGrammar) -> dict[str, int]:
     return {name: i + 1 for i, name in enumerate(re.findall(r"\(\?<([a-z]+)>", pattern(g)))}
 
 
+def _day(g: LineGrammar, line: Column) -> Column:
+    """The day of a line that matches, from its stamp alone; null for a day that is none."""
+    at = groups(g)
+    stamp = "^(" + "".join(re.escape(t[1]) if t.startswith("=") else _TOKENS[t] for t in g.time) + ")"
+    return F.try_to_date(F.concat_ws("-", *(F.regexp_extract(line, stamp, at[name]) for name in ("year", "month", "day"))), "yyyy-MM-dd")
+
+
+def begins(g: LineGrammar, line: Column) -> Column:
+    """Whether a line begins a record."""
+    return (F.octet_length(line) <= MAX_LINE_BYTES) & line.rlike(pattern(g)) & _day(g, line).isNotNull()
+
+
 def read(g: LineGrammar, line: Column) -> Column:
     """Struct of stamp, ts, level, logger, thread, message of a line, null if it begins no record: no match, a day that is none, or too long."""
     p, at = pattern(g), groups(g)
     part = lambda name: F.regexp_extract(line, p, at[name]) if name in at else F.lit(None).cast("string")
-    day = F.try_to_date(F.concat_ws("-", part("year"), part("month"), part("day")), "yyyy-MM-dd")
-    begins = (F.octet_length(line) <= MAX_LINE_BYTES) & line.rlike(p) & day.isNotNull()
+    day = _day(g, line)
     number = lambda name: F.coalesce(part(name).try_cast("long"), F.lit(0))
     local = F.unix_date(day).cast("long") * 86_400 + number("hour") * 3600 + number("minute") * 60 + number("second")
     offset = part("offset")
     shift = F.when(F.length(offset) == 6, F.when(offset.startswith("-"), -1).otherwise(1) * (F.substring(offset, 2, 2).try_cast("long") * 3600 + F.substring(offset, 5, 2).try_cast("long") * 60)).otherwise(0)
     ts = local - shift if g.timed else F.lit(None).cast("long")
-    return F.when(begins, F.struct(part("stamp").alias("stamp"), ts.alias("ts"), part("level").alias("level"), part("logger").alias("logger"), part("thread").alias("thread"), part("message").alias("message")))
+    return F.when(begins(g, line), F.struct(part("stamp").alias("stamp"), ts.alias("ts"), part("level").alias("level"), part("logger").alias("logger"), part("thread").alias("thread"), part("message").alias("message")))
 
 
-def _marked(rows: DataFrame, g: LineGrammar) -> DataFrame:
-    """Each line with what it reads as, the record it joins (start), and its place among the lines that join it."""
+def _marked(rows: DataFrame, g: LineGrammar, reading: Callable[[LineGrammar, Column], Column] = read) -> DataFrame:
+    """Each line with what it reads as (null if it begins no record), the record it joins (start), and its place among the lines that join it."""
     line = F.coalesce(F.col("line"), F.lit(""))
-    lines = rows.select("source", F.col("line_no").cast("long").alias("line_no"), line.alias("line")).withColumn("read", read(g, F.col("line")))
+    # Dealt first, then read: files of few row groups are read by few tasks.
+    lines = dealt(rows.select("source", F.col("line_no").cast("long").alias("line_no"), line.alias("line"), F.floor(F.col("line_no").cast("long") / BLOCK).alias("block")), "source", "block")
+    lines = lines.withColumn("read", reading(g, F.col("line")))
     is_long = F.octet_length("line") > MAX_LINE_BYTES
-    lines = lines.withColumns({"joins": (F.col("read").isNull() & ~is_long & F.lit(g.continued)).cast("long"), "block": F.floor(F.col("line_no") / BLOCK)})
+    lines = lines.withColumn("joins", (F.col("read").isNull() & ~is_long & F.lit(g.continued)).cast("long"))
     within = Window.partitionBy("source", "block").orderBy("line_no")
     lines = lines.withColumn("run", F.sum("joins").over(within))
     # Records cross blocks: the last start before a block, and how many lines have joined by then, from one row a block.
@@ -182,7 +198,7 @@ def selected(rows: DataFrame, grammars: list[LineGrammar]) -> DataFrame:
         named = F.lit(not g.paths)
         for p in g.paths:
             named = named | glob(F.col("source"), p)
-        marked = _marked(rows.where(named), g)
+        marked = _marked(rows.where(named), g, lambda g, line: F.when(begins(g, line), True))  # its parts are not asked for
         whole = F.col("start").isNotNull() & ((F.col("joins") == 0) | (F.col("place") <= MAX_CONTINUED))
         dropped = F.col("start").isNotNull() & ~whole
         counted = marked.groupBy("source").agg(F.count_if(F.col("read").isNotNull()).alias("records"), F.count_if(whole).alias("whole"), F.count_if(~dropped).alias("total"))
