@@ -7,7 +7,7 @@ import time
 import pandas as pd
 import pytest
 
-from tidelog.operators import graphs, renderings
+from tidelog.operators import exceptions, graphs, renderings
 
 SCHEMA = "seq long, source string, ts long, wall boolean, message string, service string, host string, trace_id string"
 FULL = "boom\njava.lang.IllegalStateException: q\n\tat a.b(C.java:5)"
@@ -141,6 +141,43 @@ def test_forced_pairs():
         assert graphs.forced(pairs) == largest(pairs), pairs
 
 
+def test_forced_pairs_of_a_long_path_take_little_time():
+    """A path of 9,999 pairs has one largest matching; with one more left side, or closed to a ring, it has several."""
+    path = [(i, i) for i in range(5000)] + [(i + 1, i) for i in range(4999)]
+    began = time.time()
+    assert graphs.forced(path + [(5000, 4999)]) == set()
+    assert graphs.forced(path) == {(i, i) for i in range(5000)}
+    assert graphs.forced(path + [(0, 4999)]) == set()
+    assert time.time() - began < 20
+
+
+def test_near_renderings_meet_once(spark):
+    """Spans of a second to years against all pairs; one that is in time for its thread or has no key at all pairs with its like, another does not."""
+    rng = random.Random(8)
+    made = []
+    for i in range(300):
+        first = rng.randrange(-3000, 60_000)
+        made.append((i, rng.choice(["full", "wrapped"]), rng.choice("xy"), f"s{i}", rng.choice([None, "r"]) if i % 4 == 0 else None, rng.choice([None, None, "t1", "t2"]), i, i, None if i % 50 == 7 else first, None if i % 50 == 9 else first + rng.choice([0, 3, 59, 61, 900, 7000, 10**8 if i % 60 == 0 else 5]), rng.random() < 0.9))
+    rows = spark.createDataFrame(made, "id long, kind string, signature string, source string, request string, thread string, first_seq long, last_seq long, first_ts long, last_ts long, wall boolean")
+    rows = rows.selectExpr("*", "cast(null as string) service", "cast(null as string) host", "cast(null as string) trace", "false conflict")
+    want = set()
+    for a in made:
+        for b in made:
+            if (a[1], b[1]) != ("full", "wrapped") or a[2] != b[2]:
+                continue
+            near = a[10] and b[10] and None not in (*a[8:10], *b[8:10]) and max(0, b[8] - a[9], a[8] - b[9]) <= 2
+            anchor = a[4] is not None and a[4] == b[4]
+            if a[5] and b[5] and a[5] != b[5] and not anchor:
+                continue
+            if anchor and (near or not (a[10] and b[10])) or near and (a[5] and a[5] == b[5]):
+                want.add((a[0], b[0], "strong"))
+            elif near and not (a[4] or b[4] or a[5] or b[5]):
+                want.add((a[0], b[0], "moderate"))
+    known = {i[0] for i in made if None not in i[8:10]}
+    got = [tuple(r) for r in exceptions.candidates(rows).collect() if r[0] in known and r[1] in known]
+    assert len(got) == len(set(got)) and set(got) == {w for w in want if w[0] in known and w[1] in known} and len(want) > 100
+
+
 def test_matching_resolves_a_tie(spark):
     rows = [(1, 10), (1, 11), (2, 11), (5, 50), (5, 51), (None, 3), (1, 10)]
     got = {(r.left, r.right): r.status for r in graphs.matched(spark.createDataFrame(rows, "left long, right long")).collect()}

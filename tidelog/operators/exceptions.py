@@ -14,6 +14,8 @@ from ..functions.text import LEAD, _once
 # The longest prefix before [stderr], the longest thread name, and how far two renderings of one exception may be apart.
 PREFIX, THREAD = 256, 96
 SEQ_GAP, WALL_GAP = 512, 2
+#: Seconds of the slots in which spans of time meet.
+SLOTS = (60, 600, 6_000, 60_000)
 THREAD_KEYS = ("thread=", "thread_id=", "threadId=", "tid=")
 REQUEST_KEYS = ("request_id=", "requestId=", "correlation_id=", "correlationId=", "transaction_id=", "transactionId=", "trace_id=", "traceId=")
 #: Strings of which a message with one of the keys holds one.
@@ -129,6 +131,36 @@ def families(renderings: DataFrame, top: int) -> DataFrame:
     return counted.withColumn("each", each).orderBy(F.desc("records"), "signature").limit(top)
 
 
+def _near(a: DataFrame, b: DataFrame) -> DataFrame:
+    """The pairs of `a` and `b` of one signature and thread that may be near in time, each once.
+
+    Two spans meet where one holds the start of the other, so a start goes to one slot of each
+    width and a span to the slots it covers, of the least width that does not cut it into many.
+    """
+
+    def clocked(rows: DataFrame, s: str, slack: int) -> DataFrame:
+        x = lambda c: F.col(f"{s}.{c}")
+        lone = x("thread").isNotNull() | F.coalesce(x("request"), x("trace")).isNull()
+        begin, end = x("first_ts") - slack, x("last_ts") + slack
+        return rows.where(x("wall") & begin.isNotNull() & end.isNotNull() & lone).select(F.col("signature").alias(f"{s}_signature"), s, x("thread").alias(f"{s}_thread"), begin.alias(f"{s}_begin"), end.alias(f"{s}_end"))
+
+    slot = lambda t, width: F.floor(t / width)
+    starts = lambda rows, s: rows.withColumn("start", F.explode(F.array(*(F.struct(F.lit(w).alias("width"), slot(F.col(f"{s}_begin"), w).alias("slot")) for w in SLOTS))))
+
+    def spans(rows: DataFrame, s: str) -> DataFrame:
+        begin, end = F.col(f"{s}_begin"), F.col(f"{s}_end")
+        width = F.coalesce(*(F.when(end - begin <= w, w) for w in SLOTS), F.lit(SLOTS[-1]))
+        rows = rows.withColumn("span_width", width)
+        lo, hi = slot(begin, F.col("span_width")), slot(end, F.col("span_width"))
+        return rows.withColumn("span_slot", F.explode(F.sequence(lo, F.greatest(lo, hi))))
+
+    alike = (F.col("a_signature") == F.col("b_signature")) & F.col("a_thread").eqNullSafe(F.col("b_thread")) & (F.col("span_width") == F.col("start.width")) & (F.col("span_slot") == F.col("start.slot"))
+    a, b = clocked(a, "a", WALL_GAP), clocked(b, "b", 0)
+    later = spans(a, "a").join(starts(b, "b"), alike & F.col("b_begin").between(F.col("a_begin"), F.col("a_end")))
+    earlier = spans(b, "b").join(starts(a, "a"), alike & (F.col("a_begin") > F.col("b_begin")) & (F.col("a_begin") <= F.col("b_end")))
+    return later.unionByName(earlier, allowMissingColumns=True).select(F.col("a_signature").alias("signature"), "a", "b")
+
+
 def paired(renderings: DataFrame) -> DataFrame:
     """Full renderings of an exception with the wrapped one that repeats it: left, right, confidence, status.
 
@@ -137,15 +169,22 @@ def paired(renderings: DataFrame) -> DataFrame:
     one signature belong together if they share a request or trace, or are at most two
     seconds apart with equal threads (strong) or with no keys at all (moderate); what
     differs in request, trace, service or host, or is in conflict, never does. They are
-    brought together by equality on request, on trace, or on minutes of time, so no
-    signature meets itself as a whole. A pair is `paired` if neither side has another
-    candidate, else `ambiguous`.
+    brought together by equality on request, on trace, or on thread (none and no other key
+    is a thread of its own) and slots of time, so no signature meets itself as a whole. A
+    pair is `paired` if neither side has another candidate, else `ambiguous`.
     """
+    pairs = candidates(renderings)
+    lefts, rights = (pairs.groupBy(c).agg(F.count("*").alias(f"of_{c}")) for c in ("left", "right"))
+    alone = (F.col("of_left") == 1) & (F.col("of_right") == 1)
+    return pairs.join(lefts, "left").join(rights, "right").select("left", "right", "confidence", F.when(alone, "paired").otherwise("ambiguous").alias("status"))
+
+
+def candidates(renderings: DataFrame) -> DataFrame:
+    """left, right, confidence of the pairs of `paired`, each once."""
     rows = renderings.where((F.col("signature") != "") & ~F.col("conflict"))
     side = lambda kind, name: rows.where(F.col("kind") == kind).select("signature", F.struct(*(c for c in rows.columns if c != "signature")).alias(name))
     a, b = side("full", "a"), side("wrapped", "b")
-    minutes = lambda s, slack: F.explode(F.sequence(F.floor((F.col(f"{s}.first_ts") - slack) / 60), F.floor((F.col(f"{s}.last_ts") + slack) / 60)))
-    timed = a.where("a.wall").withColumn("minute", minutes("a", WALL_GAP)).join(b.where("b.wall").withColumn("minute", minutes("b", 0)), ["signature", "minute"]).drop("minute")
+    timed = _near(a, b)
     both = timed
     for key in ("request", "trace"):
         both = both.unionByName(a.withColumn("k", F.col(f"a.{key}")).join(b.withColumn("k", F.col(f"b.{key}")), ["signature", "k"]).drop("k"))
@@ -159,10 +198,7 @@ def paired(renderings: DataFrame) -> DataFrame:
     timeless = ~(x("wall") & y("wall"))
     keyless = F.coalesce(x("request"), x("trace"), x("thread"), y("request"), y("trace"), y("thread")).isNull()
     confidence = F.when(barred, None).when(anchor & (timeless | near), "strong").when(near & same("thread"), "strong").when(near & keyless, "moderate")
-    pairs = both.select(x("id").alias("left"), y("id").alias("right"), confidence.alias("confidence")).where("confidence is not null").distinct()
-    lefts, rights = (pairs.groupBy(c).agg(F.count("*").alias(f"of_{c}")) for c in ("left", "right"))
-    alone = (F.col("of_left") == 1) & (F.col("of_right") == 1)
-    return pairs.join(lefts, "left").join(rights, "right").select("left", "right", "confidence", F.when(alone, "paired").otherwise("ambiguous").alias("status"))
+    return both.select(x("id").alias("left"), y("id").alias("right"), confidence.alias("confidence")).where("confidence is not null").distinct()
 
 
 def template_episodes(events: DataFrame, episodes: DataFrame, lane: list[str], block: int = 1000) -> DataFrame:

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,72 +40,140 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
 
 
-def each_component(work: Callable[[pd.DataFrame], pd.DataFrame]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """`work` on each component of a partition sorted by component; a task holds a batch and one component."""
+def each_component(work: Callable[[pd.DataFrame, list[int]], pd.DataFrame]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """`work` on the whole components of a batch and where each begins, of a partition sorted by component; a task holds a batch and one component."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
         for batch in batches:
             rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
-            last = rows["component"].iloc[-1] if len(rows) else None
-            done = [work(g) for c, g in rows.groupby("component", sort=False) if c != last]
-            held = rows[rows["component"] == last]
-            if done:
-                yield pd.concat(done, ignore_index=True)
-        if held is not None and len(held):
-            yield work(held)
+            if len(rows):
+                begins = _begins(rows)
+                if len(begins) > 1:
+                    yield work(rows.iloc[: begins[-1]], begins[:-1])
+                held = rows.iloc[begins[-1] :]
+        if held is not None:
+            yield work(held, [0])
 
     return run
 
 
-def _augment(at, adjacent: dict, owner: dict, tried: set, without) -> bool:
-    """Whether `at` gets a partner, by a path without recursion that moves earlier partners on."""
-    path, todo = [], [(at, iter(adjacent[at]))]
-    while todo:
-        node, rest = todo[-1]
-        for right in rest:
-            if right in tried or (node, right) == without:
-                continue
-            tried.add(right)
-            path.append((node, right))
+def _begins(rows: pd.DataFrame) -> list[int]:
+    c = rows["component"].to_numpy()
+    return np.flatnonzero(np.append(True, c[1:] != c[:-1])).tolist()
+
+
+def _largest(adjacent: dict) -> tuple[dict, dict]:
+    """A matching of the largest size, as partners of left sides and owners of right sides: shortest paths to free right sides are flipped, many at a time."""
+    partner, owner = {}, {}
+    for left, rights in adjacent.items():
+        right = next((r for r in rights if r not in owner), None)
+        if right is not None:
+            partner[left], owner[right] = right, left
+    while True:
+        depth = {left: 0 for left in adjacent if left not in partner}
+        free, level, ends = list(depth), list(depth), False
+        while level and not ends:
+            behind = []
+            for left in level:
+                for right in adjacent[left]:
+                    if right not in owner:
+                        ends = True
+                    elif owner[right] not in depth:
+                        depth[owner[right]] = depth[left] + 1
+                        behind.append(owner[right])
+            level = behind
+        if not ends:
+            return partner, owner
+        rest = {left: iter(adjacent[left]) for left in depth}
+        for left in free:
+            _flip(left, rest, depth, partner, owner)
+
+
+def _flip(left, rest: dict, depth: dict, partner: dict, owner: dict) -> None:
+    """Gives `left` a partner along a path down the levels, if there is one; what was tried is not tried again."""
+    path, rights = [left], []
+    while path:
+        for right in rest[path[-1]]:
             if right not in owner:
-                for left, r in reversed(path):
-                    owner[r] = left
-                return True
-            todo.append((owner[right], iter(adjacent[owner[right]])))
-            break
+                for a, r in zip(path, [*rights, right], strict=True):
+                    partner[a], owner[r] = r, a
+                return
+            if depth.get(owner[right]) == depth[path[-1]] + 1:
+                rights.append(right)
+                path.append(owner[right])
+                break
         else:
-            todo.pop()
-            if path:
-                path.pop()
-    return False
+            path.pop()
+            if rights:
+                rights.pop()
+
+
+def _reached(begin: Iterable, after: dict, seen: set) -> list:
+    todo = [v for v in begin if v not in seen]
+    seen.update(todo)
+    found = []
+    while todo:
+        found.append(todo.pop())
+        for w in after[found[-1]]:
+            if w not in seen:
+                seen.add(w)
+                todo.append(w)
+    return found
+
+
+def _on_rings(after: dict, before: dict) -> set:
+    """The nodes that lie on a ring of a directed graph without loops."""
+    seen, finished = set(), []
+    for root in after:
+        todo = [] if root in seen else [(root, iter(after[root]))]
+        seen.add(root)
+        while todo:
+            node, rest = todo[-1]
+            found = next((w for w in rest if w not in seen), None)
+            if found is None:
+                finished.append(node)
+                todo.pop()
+            else:
+                seen.add(found)
+                todo.append((found, iter(after[found])))
+    seen, rings = set(), set()
+    for root in reversed(finished):
+        group = _reached([root], before, seen)
+        if len(group) > 1:
+            rings.update(group)
+    return rings
 
 
 def forced(pairs: list[tuple]) -> set[tuple]:
-    """The pairs that every matching of the largest size holds."""
+    """The pairs that every matching of the largest size holds.
+
+    A pair of one such matching can be spared only if it lies on a path that begins or ends at
+    a free side, or on a ring, whose pairs alternate between in the matching and not; so one
+    matching and a few passes over the pairs tell.
+    """
     adjacent: dict = {}
     for left, right in sorted(pairs):
         adjacent.setdefault(left, []).append(right)
-    owner: dict = {}
-    for left in adjacent:
-        _augment(left, adjacent, owner, set(), None)
-    found = set()
-    for right, left in list(owner.items()):
-        # The pair can be spared if its left side gets another partner, or its right side another owner.
-        other = {r: v for r, v in owner.items() if r != right}
-        if _augment(left, adjacent, other, set(), (left, right)):
-            continue
-        free = [v for v in adjacent if v not in owner.values()]
-        if not any(_augment(v, {**adjacent, left: [r for r in adjacent[left] if r != right]}, dict(other), set(), None) for v in free):
-            found.add((left, right))
-    return found
-
-
-def _settled(edges: pd.DataFrame) -> pd.DataFrame:
-    pairs = list(zip(edges["left"], edges["right"], strict=True))
-    sure = forced(pairs)
-    lefts, rights = {p[0] for p in sure}, {p[1] for p in sure}
-    status = ["paired" if p in sure else "ruled_out" if p[0] in lefts or p[1] in rights else "ambiguous" for p in pairs]
+    partner, owner = _largest(adjacent)
+    after = {left: [owner[r] for r in rights if owner.get(r, left) != left] for left, rights in adjacent.items()}
+    before: dict = {left: [] for left in adjacent}
+    for left, others in after.items():
+        for other in others:
+            before[other].append(left)
+    loose = _on_rings(after, before)
+    loose.update(_reached((left for left in adjacent if left not in partner), after, set()))
+    loose.update(_reached((left for left, rights in adjacent.items() if any(r not in owner for r in rights)), before, set()))
+    return {(left, right) for left, right in partner.items() if left not in loose}
+
+
+def _settled(edges: pd.DataFrame, begins: list[int]) -> pd.DataFrame:
+    pairs = list(zip(edges["left"].tolist(), edges["right"].tolist(), strict=True))
+    status = []
+    for lo, hi in zip(begins, [*begins[1:], len(pairs)], strict=True):
+        sure = forced(pairs[lo:hi])
+        lefts, rights = {p[0] for p in sure}, {p[1] for p in sure}
+        status += ["paired" if p in sure else "ruled_out" if p[0] in lefts or p[1] in rights else "ambiguous" for p in pairs[lo:hi]]
     return pd.DataFrame({"left": edges["left"].to_numpy(), "right": edges["right"].to_numpy(), "status": status})
 
 

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import graphs, renderings
+from ..operators import exceptions, graphs, renderings
 from ..shared import fresh_folder
 from ..sources import files, framing
 from ..sources.events import events
 from .events import _with
-from .triage import exception_pairs
+from .triage import two_renderings
 
 
 def _pick(number, *values):
@@ -59,7 +59,7 @@ def exception_chains(spark, sf_dir):
 
 
 def exception_matching(spark, sf_dir):
-    return graphs.matched(exception_pairs(spark, sf_dir).select("left", "right"))
+    return graphs.matched(exceptions.candidates(two_renderings(spark, sf_dir)).select("left", "right"))
 
 
 _STAMP = "strftime(make_timestamp(coalesce(ts, 0) * 1000000), '%Y-%m-%d %H:%M:%S')"

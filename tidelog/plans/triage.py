@@ -45,15 +45,19 @@ def exception_families(spark, sf_dir):
     return exceptions.families(rows, 24)
 
 
-def exception_pairs(spark, sf_dir):
+def two_renderings(spark, sf_dir):
+    """Errors as full and wrapped renderings by turns."""
     seq, no = F.col("seq"), F.lit(None).cast("string")
-    rows = events(spark, sf_dir).where("level = 'error' and ts is not null").select(
+    return events(spark, sf_dir).where("level = 'error' and ts is not null").select(
         seq.alias("id"), F.when(seq % 2 == 0, "full").otherwise("wrapped").alias("kind"), F.concat(F.lit("E"), (F.col("template_id") % 3).cast("string")).alias("signature"), "source",
         F.when(seq % 9 == 0, "a").when(seq % 9 == 1, "b").alias("service"), F.when(seq % 4 == 0, F.col("host")).alias("host"), F.when(seq % 3 == 0, F.concat(F.lit("r"), F.floor(seq / 40).cast("string"))).alias("request"),
         no.alias("trace"), F.when(seq % 5 == 0, "t1").when(seq % 5 == 1, "t2").alias("thread"), seq.alias("first_seq"), seq.alias("last_seq"), F.col("ts").alias("first_ts"), (F.col("ts") + 400).alias("last_ts"),
         (seq % 11 != 0).alias("wall"), (seq % 13 == 0).alias("conflict"),
     )
-    return exceptions.paired(rows)
+
+
+def exception_pairs(spark, sf_dir):
+    return exceptions.paired(two_renderings(spark, sf_dir))
 
 
 def template_episodes(spark, sf_dir):
