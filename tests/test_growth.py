@@ -5,11 +5,12 @@ import tracemalloc
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from tidelog import shared
 from tidelog.functions import text
-from tidelog.operators import evidence, incidents, retrieval
+from tidelog.operators import evidence, incidents, retrieval, vector_graph
 from tidelog.sources import framing, grammars
 
 
@@ -128,3 +129,20 @@ def test_lines_are_dealt_before_they_are_told(spark, monkeypatch):
         told = plan._jdf.queryExecution().optimizedPlan().toString()
         assert "Repartition" in told and mark in told and mark not in told[told.rindex("Repartition") :]
     assert grammars.selected(rows, [g]).first()["outcome"] == "no_match"
+
+
+def test_graphs_hold_a_block_at_a_time():
+    """A shard of 8,192 vectors is built in less than 80 MB beside its batch; three blocks of 1,024 rows against all take 200 MB."""
+    x = np.random.default_rng(5).normal(size=(8192, 8))
+    batch = pa.RecordBatch.from_arrays([pa.array(np.zeros(8192, np.int32)), pa.array(np.arange(8192)), pa.array(x.tolist())], names=["shard", "vec_id", "embedding"])
+    tracemalloc.start()
+    (built,) = vector_graph._built(iter([batch]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert built.num_rows == 8192 and peak < 80_000_000, peak
+
+
+def test_graphs_refuse_two_dimensions():
+    batch = pa.RecordBatch.from_arrays([pa.array(np.zeros(2, np.int32)), pa.array([1, 2]), pa.array([[1.0, 0.0], [1.0, 0.0, 0.0, 0.0]])], names=["shard", "vec_id", "embedding"])
+    with pytest.raises(ValueError):
+        list(vector_graph._built(iter([batch])))

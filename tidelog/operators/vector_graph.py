@@ -20,8 +20,8 @@ from .retrieval import nearest_vectors
 # Fixed value: the number of vectors from which the graph is taken.
 EXACT = 50_000
 SHARD_ROWS, DEGREE, BEAM = 8_192, 32, 128
-#: Queries that walk a shard's graph together.
-TOGETHER = 512
+#: Queries that walk a shard's graph together, and vectors that meet all of their shard at a time when it is built.
+TOGETHER, BLOCK = 512, 256
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -36,15 +36,16 @@ def graph(x: np.ndarray, degree: int = DEGREE) -> np.ndarray:
     wide = min(4 * near, n - 1) if n > 1 else 0
     picks = np.tile((np.arange(n)[:, None] + 1) % n, (1, degree))
     back: list[list[int]] = [[] for _ in range(n)]
-    for lo in range(0, n, 1024):
+    for lo in range(0, n, BLOCK):
         if not wide:
             break
-        s = x[lo : lo + 1024] @ x.T
-        s[np.arange(len(s)), np.arange(lo, lo + len(s))] = -np.inf
-        cand = np.argpartition(-s, wide - 1, axis=1)[:, :wide]
-        cand = np.take_along_axis(cand, np.argsort(-np.take_along_axis(s, cand, 1), axis=1, kind="stable"), 1)
+        far = x[lo : lo + BLOCK] @ x.T
+        np.negative(far, out=far)
+        far[np.arange(len(far)), np.arange(lo, lo + len(far))] = np.inf
+        cand = np.argpartition(far, wide - 1, axis=1)[:, :wide]
+        cand = np.take_along_axis(cand, np.argsort(np.take_along_axis(far, cand, 1), axis=1, kind="stable"), 1)
         for r, row in enumerate(cand):
-            own, mutual = s[r, row], x[row] @ x[row].T
+            own, mutual = -far[r, row], x[row] @ x[row].T
             chosen: list[int] = []
             for j in range(wide):
                 if len(chosen) < near and all(mutual[j, c] <= own[j] for c in chosen):
@@ -98,8 +99,12 @@ def walk(x: np.ndarray, links: np.ndarray, q: np.ndarray, top: int, beam: int =
     return ids[:, :top], score[:, :top]
 
 
-def _vectors(column: pa.Array) -> np.ndarray:
-    return np.array(column.to_pylist(), np.float64).reshape(len(column), -1)
+def _vectors(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """The lists of a column, which are of one length and without nulls, as rows of an array."""
+    sizes = pc.min_max(pc.list_value_length(column)).as_py()
+    if sizes["min"] != sizes["max"]:
+        raise ValueError(f"vectors of {sizes['min']} and {sizes['max']} dimensions in one graph")
+    return pc.list_flatten(column).to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
 def _built(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,7 +113,8 @@ def _built(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def out() -> pa.RecordBatch:
         rows = pa.Table.from_batches(held)
         links = graph(_unit(_vectors(rows.column("embedding"))))
-        return pa.RecordBatch.from_arrays([rows.column(c).combine_chunks() for c in ("shard", "vec_id", "embedding")] + [pa.array(np.arange(len(links))), pa.array(links.tolist(), pa.list_(pa.int64()))], names=["shard", "vec_id", "embedding", "node", "links"])
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(links) + 1, dtype=np.int32) * links.shape[1]), pa.array(links.ravel()))
+        return pa.RecordBatch.from_arrays([rows.column(c).combine_chunks() for c in ("shard", "vec_id", "embedding")] + [pa.array(np.arange(len(links))), lists], names=["shard", "vec_id", "embedding", "node", "links"])
 
     for batch in batches:
         shard = batch.column("shard").to_numpy()
@@ -135,11 +141,12 @@ def _searched(top: int, beam: int):
                 if kind[lo] == 0:
                     held.append(part)
                     continue
-                if not held:
-                    continue
-                if built is None:
+                if held:
                     rows = pa.Table.from_batches(held)
-                    built = (rows.column("vec_id").to_numpy(), _unit(_vectors(rows.column("embedding"))), _vectors(rows.column("links")).astype(np.int64))
+                    built, held = (rows.column("vec_id").to_numpy(), _unit(_vectors(rows.column("embedding"))), _vectors(rows.column("links"))), []
+                    del rows
+                if built is None:
+                    continue
                 ids, x, links = built
                 part = part.filter(pc.equal(pc.list_value_length(part.column("embedding")), x.shape[1]))
                 for a in range(0, part.num_rows, TOGETHER):
