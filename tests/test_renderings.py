@@ -5,9 +5,10 @@ import random
 import time
 
 import pandas as pd
+import pyarrow as pa
 import pytest
 
-from tidelog.operators import exceptions, graphs, renderings
+from tidelog.operators import exceptions, graphs, long_chains, renderings
 
 SCHEMA = "seq long, source string, ts long, wall boolean, message string, service string, host string, trace_id string"
 FULL = "boom\njava.lang.IllegalStateException: q\n\tat a.b(C.java:5)"
@@ -122,6 +123,57 @@ def test_chains_of_components_as_of_all(spark):
     assert {r.link for r in renderings.chains(full, 2).collect()} >= {"too_large"}
 
 
+def test_chains_of_a_large_component(spark):
+    """One thread of 2,600 renderings and one trace of 2,300 more, in two components, as bit sets on all of them."""
+    rng = random.Random(6)
+    rows = [(i, "a", i // 2, True, f"x thread=w\njava.io.PException: q\n\tat a.B{rng.randrange(60)}(C.java:5)", None, rng.choice([None, None, "h"]), rng.choice([None, f"t{i // 4}"])) for i in range(2600)]
+    rows += [(i, "b", i, i % 2 == 0, f"x\njava.io.QException: q\n\tat a.B{i}(C.java:5)", None, rng.choice("gh"), "u") for i in range(3000, 5300)]
+    full = renderings.renderings(spark.createDataFrame(rows, SCHEMA))
+    got = sorted(tuple(r) for r in renderings.chains(full).collect())
+    local = []
+    for r in full.collect():
+        kind = r.payload.split("\n")[1].split(":")[0]
+        local.append(rendering(r.id, r.first_ts, r.payload.split("at ")[-1].split("(")[0], (kind,), r.signature, source=r.source, host=r.host, trace=r.trace, thread=r.thread, wall=r.wall))
+    assert got == sorted(map(tuple, renderings.grow(pd.DataFrame(local)).itertuples(index=False)))
+    assert {x[3] for x in got} == {"seed", "anchor", "thread"} and max(x[2] for x in got) > 500
+
+
+def test_large_components_as_bit_sets():
+    """Renderings with all kinds of keys, gaps, spans and conflicts, cut into batches anywhere."""
+    texts = ("signature", "source", "service", "host", "trace", "request", "thread", "site")
+    schema = pa.schema([(c, pa.string()) for c in texts] + [(c, pa.int64()) for c in ("id", "first_seq", "first_ts", "last_ts")] + [("wall", pa.bool_()), ("conflict", pa.bool_()), ("types", pa.list_(pa.string()))])
+    joined = set()
+    for seed in range(150):
+        rng = random.Random(seed)
+        some = lambda name, share, of: f"{name}{rng.randrange(of)}" if rng.random() < share else None
+        n, seconds, clocks, own, threads, traces, hosts = rng.choice([8, 40, 150]), rng.choice([1, 30, 200]), rng.choice([0, 0.5, 0.95]), rng.choice([0, 0.5]), rng.choice([1, 3, 30]), rng.choice([1, 5, 30]), rng.choice([0, 0.1, 0.8])
+        rows = []
+        for i in range(n):
+            ts = rng.randrange(seconds) - 20
+            rows.append(
+                rendering(
+                    i, ts, f"render:{i}" if rng.random() < own else some("p", 0.98, 5), rng.choice([("A",), ("A",), ("B", "A"), ("C", "B", "A"), ("D",)]), some("s", 0.97, 4), source=some("f", 0.97, 3), service=some("v", hosts / 3, 2), host=some("h", hosts, 2), trace=some("t", rng.random(), traces),
+                    request=some("r", rng.random() / 2, traces), thread=some("w", rng.random(), threads), first_ts=ts if rng.random() < 0.97 else None, last_ts=ts + rng.choice([0, 0, 0, -3, 2, 9]), wall=rng.random() < clocks or None, conflict=rng.random() < 0.03,
+                )
+            )
+        cut = rng.randrange(n)
+        parts = [pa.RecordBatch.from_pylist(some_rows, schema) for some_rows in (rows[:cut], rows[cut:])]
+        want = list(renderings._grown_chains(rows))
+        assert list(long_chains.grown(parts, renderings.CHAIN_SPAN)) == want, seed
+        joined.update((x[3], x[4]) for x in want)
+    assert len(joined) == 6
+
+
+def test_a_large_component_takes_little_time():
+    """A thread of 30,000 renderings with 10,000 in a second, each of its own site: bit sets would take 30,000 times 30,000 bits."""
+    schema = pa.schema([(c, pa.string()) for c in ("signature", "source", "service", "host", "trace", "request", "thread", "site")] + [(c, pa.int64()) for c in ("id", "first_seq", "first_ts", "last_ts")] + [("wall", pa.bool_()), ("conflict", pa.bool_()), ("types", pa.list_(pa.string()))])
+    began = time.time()
+    got = list(long_chains.grown([pa.RecordBatch.from_pylist([rendering(i, i // 10_000, f"p{i}", thread="w") for i in range(30_000)], schema)], renderings.CHAIN_SPAN))
+    # Each row but the last two has two others that could claim the next.
+    assert [x[1] for x in got] == [*range(29_999), 29_998] and got[-1][2:] == (1, "thread", False)
+    assert sum(x[4] for x in got) == 29_998 and time.time() - began < 20
+
+
 def largest(pairs):
     best, found = 0, []
     for k in range(len(pairs), -1, -1):

@@ -10,7 +10,9 @@ from __future__ import annotations
 
 from bisect import bisect_right
 from collections.abc import Callable, Iterator
+from itertools import islice
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -18,6 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import _once, exception_signature
 from ..shared import fresh_folder, kept
+from . import long_chains
 from .exceptions import below_stack, envelope, graph, line_role
 from .graphs import components
 
@@ -26,8 +29,8 @@ MAX_RECORDS, MAX_PAYLOAD, SEQ_GAP, WALL_GAP, CHAIN_SPAN = 400, 8_192, 8, 5, 5
 #: Beyond so many sequence numbers behind its header a rendering can hold no further record.
 REACH = MAX_RECORDS * SEQ_GAP
 BLOCK = 2 * REACH
-#: Renderings that chains may be grown among at a time; a larger component stays unresolved.
-MAX_COMPONENT = 2_048
+#: Renderings of a component that chains are grown among on bit sets; a larger one is grown by `long_chains`, in memory that grows with its rows only.
+ON_BITS = 2_048
 
 
 def _last_before(rows: DataFrame, lane: list[str], is_mark: Column, name: str, own: bool) -> DataFrame:
@@ -241,32 +244,45 @@ def grow(rows: pd.DataFrame) -> pd.DataFrame:
 def _chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The chains of a partition sorted by component; a task holds a batch and one component."""
     schema = pa.schema([("id", pa.int64()), ("chain", pa.int64()), ("place", pa.int32()), ("link", pa.string()), ("ambiguous", pa.bool_())])
-    out = lambda found: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found) if found else [()] * len(_OUT), schema)], schema=schema)
-    held: list[dict] = []
+    found = (chain for parts in _components(batches) for chain in (_grown_chains(parts) if isinstance(parts[0], dict) else long_chains.grown(parts, CHAIN_SPAN)))
+    while some := list(islice(found, 10_000)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*some), schema)], schema=schema)
+
+
+def _components(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
+    """The components of a sorted partition, each as its rows or, if it is too large for bit sets, as batches."""
+    held: list[pa.RecordBatch] = []  # of the component that may go on
     for batch in batches:
-        found: list[tuple] = []
-        columns = {c: batch.column(c).to_pylist() for c in batch.schema.names}
-        for values in zip(*columns.values()):
-            row = dict(zip(columns, values))
-            if held and held[0]["component"] != row["component"]:
-                found += _grown_chains(held)
-                held = []
-            held.append(row)
-        yield out(found)
+        c = batch.column("component").to_numpy()
+        cuts = [0, *(np.flatnonzero(c[1:] != c[:-1]) + 1).tolist(), len(c)]
+        if held and len(c) and held[0].column("component")[0].as_py() != c[0]:
+            yield _rows_or(held)
+            held = []
+        if len(cuts) > 2:  # what begins and ends in the batch, besides what goes on from the last one
+            yield _rows_or([*held, batch.slice(0, cuts[1])])
+            held = []
+            rows = batch.slice(cuts[1], cuts[-2] - cuts[1]).to_pylist()
+            for lo, hi in zip(cuts[1:-2], cuts[2:-1]):
+                yield rows[lo - cuts[1] : hi - cuts[1]] if hi - lo <= ON_BITS else [batch.slice(lo, hi - lo)]
+        held += [batch.slice(cuts[-2])] if len(c) else []
     if held:
-        yield out(list(_grown_chains(held)))
+        yield _rows_or(held)
+
+
+def _rows_or(parts: list[pa.RecordBatch]) -> list:
+    return [row for p in parts for row in p.to_pylist()] if sum(p.num_rows for p in parts) <= ON_BITS else parts
 
 
 _CHAIN = "id long, chain long, place int, link string, ambiguous boolean"
 
 
-def chains(full: DataFrame, max_component: int = MAX_COMPONENT) -> DataFrame:
-    """id, chain, place, link (seed, anchor, thread or too_large), ambiguous of renderings of kind full, as `grow` says.
+def chains(full: DataFrame, max_component: int | None = None) -> DataFrame:
+    """id, chain, place, link (seed, anchor or thread), ambiguous of renderings of kind full, as `grow` says.
 
     Renderings can only meet in a chain if they share the type of the root exception and a trace,
     a request, or a thread within the chain's span of time. Components of such renderings are
-    found first; each is grown by one task. In a component of more than `max_component`
-    renderings nothing is joined, and each says too_large.
+    found first; each is grown by one task, whatever its size. Only a caller that gives
+    `max_component` has larger ones left as they are: each of their renderings says too_large.
     """
     path = fresh_folder(full.sparkSession, "chains")
     said = F.split_part("signature", F.lit(":"), F.lit(1))
@@ -285,8 +301,10 @@ def chains(full: DataFrame, max_component: int = MAX_COMPONENT) -> DataFrame:
     placed = rows.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
     sizes = placed.groupBy("component").agg(F.count("*").alias("size"))
     sized = placed.join(sizes, "component")
-    few = sized.where(F.col("size").between(2, max_component)).drop("size")
-    parts = int(full.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # given, as rows cost far more than their bytes say
-    grown = few.repartition(parts, "component").sortWithinPartitions("component").mapInArrow(_chained, _CHAIN)
     lone = sized.where("size = 1").select("id", F.col("id").alias("chain"), F.lit(0).alias("place"), F.lit("seed").alias("link"), F.lit(False).alias("ambiguous"))
-    return grown.unionByName(lone).unionByName(sized.where(F.col("size") > max_component).select("id", F.col("id").alias("chain"), F.lit(0).alias("place"), F.lit("too_large").alias("link"), F.lit(True).alias("ambiguous")))
+    several = sized.where("size > 1" if max_component is None else f"size between 2 and {max_component}").drop("size")
+    parts = int(full.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # given, as rows cost far more than their bytes say
+    grown = several.repartition(parts, "component").sortWithinPartitions("component").mapInArrow(_chained, _CHAIN).unionByName(lone)
+    if max_component is None:
+        return grown
+    return grown.unionByName(sized.where(F.col("size") > max(max_component, 1)).select("id", F.col("id").alias("chain"), F.lit(0).alias("place"), F.lit("too_large").alias("link"), F.lit(True).alias("ambiguous")))
