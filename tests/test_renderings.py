@@ -8,7 +8,7 @@ import pandas as pd
 import pyarrow as pa
 import pytest
 
-from tidelog.operators import exceptions, graphs, long_chains, renderings
+from tidelog.operators import exceptions, graphs, long_chains, matchings, renderings
 
 SCHEMA = "seq long, source string, ts long, wall boolean, message string, service string, host string, trace_id string"
 FULL = "boom\njava.lang.IllegalStateException: q\n\tat a.b(C.java:5)"
@@ -237,6 +237,37 @@ def test_matching_resolves_a_tie(spark):
     assert {r.status for r in graphs.matched(spark.createDataFrame(rows, "left long, right long"), 1).collect()} == {"too_large"}
 
 
+def test_matching_of_a_large_component(spark):
+    """22,653 pairs: 301 needs 600, so 300 needs 0, and 150 left sides are free to choose among 150 others. In one task and by rounds."""
+    rows = [(a, b) for a in range(150) for b in range(151)] + [(300, 600), (300, 0), (301, 600)]
+    want = {(a, b): "ambiguous" if b else "ruled_out" for a, b in rows} | {(300, 600): "ruled_out", (300, 0): "paired", (301, 600): "paired"}
+    pairs = spark.createDataFrame(rows, "left long, right long")
+    assert {(r.left, r.right): r.status for r in graphs.matched(pairs).collect()} == want
+    assert {(r.left, r.right): r.status for r in graphs.matched(pairs, at_once=20_000).collect()} == want
+
+
+def test_matching_by_rounds(spark):
+    """Many small graphs as one, with free sides on the left, the right or neither."""
+    rng = random.Random(7)
+    pairs = set()
+    for c in range(0, 6000, 100):
+        n = rng.randrange(2, 12)
+        m = max(1, n + rng.choice([-1, 0, 0, 0, 1]))
+        pairs |= {(c + i, c + i) for i in range(min(n, m)) if rng.random() < 0.9}
+        pairs |= {(c + rng.randrange(n), c + rng.randrange(m)) for _ in range(int(n * rng.choice([0.5, 1, 2])))}
+    got = {(r.left, r.right): r.status for r in matchings.settled(spark.createDataFrame(sorted(pairs), "left long, right long")).collect()}
+    sure = graphs.forced(sorted(pairs))
+    lefts, rights = {a for a, _ in sure}, {b for _, b in sure}
+    assert got == {(a, b): "paired" if (a, b) in sure else "ruled_out" if a in lefts or b in rights else "ambiguous" for a, b in pairs}
+    assert len(set(got.values())) == 3
+
+
+def test_rings(spark):
+    """Two rings with a way between them, a chord, and ways in and out."""
+    arcs = [(1, 2), (2, 3), (3, 1), (3, 4), (4, 5), (5, 6), (6, 7), (7, 5), (6, 5), (0, 1), (7, 8), (8, 9)]
+    assert {r.node for r in matchings.on_rings(spark.createDataFrame(arcs, "u long, v long")).collect()} == {1, 2, 3, 5, 6, 7}
+
+
 def test_components(spark):
     rng = random.Random(5)
     edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(260)] + [(i, i + 1) for i in range(1000, 1100)] + [(None, 1), (7, 7)]
